@@ -6,7 +6,7 @@ that working memory follows the piece and not the batch or the longest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,3 +141,58 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
 def distinct_shingles(h: np.ndarray, n: int) -> np.ndarray:
     """The distinct shingle hashes of one text, ascending: with fewer than n words the whole sequence is one shingle; none without words."""
     return np.unique(shingles(h, min(n, len(h)))) if len(h) else np.zeros(0, U)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges data[starts[i]:ends[i]], as they are."""
+    power, inverse = _power(len(data) + 1)
+    total = np.empty(len(data) + 1, U)
+    total[0] = 0
+    np.cumsum((data.astype(U) + U(1)) * power[:-1], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U))
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions starts[i], ..., starts[i] + lengths[i] - 1 for all i, one after another."""
+    total = int(lengths.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(total)
+
+
+class Pool:
+    """Ids of the distinct units that a worker met, by the units' hashes; forgets all beyond ``limit`` units."""
+
+    def __init__(self, limit: int = 400_000) -> None:
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[int, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.at = np.zeros((1 << 16, 2), np.int64)
+
+    def __reduce__(self) -> tuple:
+        return Pool, (self.limit,)
+
+    def find(self, keys: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(start in self.ids, length) for each key; ``encode`` gets the places of new keys, and returns their ids and offsets."""
+        if len(self.place) + len(keys) > self.limit:
+            self.clear()
+        found = np.array([self.place.get(k, -1) for k in keys.tolist()], np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            ids, at = encode(new)
+            n = len(self.place)
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while n + len(new) > len(self.at):
+                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.at[n : n + len(new), 0] = at[:-1] + self.used
+            self.at[n : n + len(new), 1] = np.diff(at)
+            self.used += len(ids)
+            found[new] = np.arange(n, n + len(new))
+            self.place.update(zip(keys[new].tolist(), range(n, n + len(new)), strict=True))
+        return self.at[found, 0], self.at[found, 1]

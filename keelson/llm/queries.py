@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from keelson.llm import langid
+from keelson.llm import chat, huffman, langid, quality, unigram
 from keelson.llm.common import read
 
 
+def op2_chat_formatting(spark, sf_dir):
+    return chat.query(read(spark, sf_dir, "conversations"))
+
+
+def op3_quality_ranking(spark, sf_dir):
+    return quality.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_unigram_encoding(spark, sf_dir):
+    return unigram.query(read(spark, sf_dir, "documents"))
+
+
+def op9_huffman_files(spark, sf_dir):
+    return huffman.query(read(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark, sf_dir):
     return langid.query(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_language_id,)}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_quality_ranking, op8_unigram_encoding, op9_huffman_files, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
