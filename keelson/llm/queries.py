@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from keelson.llm import chat, huffman, langid, quality, unigram
+from keelson.llm import chat, huffman, langid, quality, secrets, unigram
 from keelson.llm.common import read
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secrets.query(read(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark, sf_dir):
     return chat.query(read(spark, sf_dir, "conversations"))
 
@@ -26,5 +30,5 @@ def op10_language_id(spark, sf_dir):
     return langid.query(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_quality_ranking, op8_unigram_encoding, op9_huffman_files, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_formatting, op3_quality_ranking, op8_unigram_encoding, op9_huffman_files, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
