@@ -162,37 +162,73 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Pool:
-    """Ids of the distinct units that a worker met, by the units' hashes; forgets all beyond ``limit`` units."""
+    """Ids of the distinct units that a worker met, by the units' hashes (never 0); forgets all beyond ``limit`` units.
 
-    def __init__(self, limit: int = 400_000) -> None:
+    An open hash table in numpy arrays, probed for all keys in step.
+    """
+
+    def __init__(self, limit: int = 1_000_000) -> None:
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.units = self.used = 0
+        self.keys, self.where = np.zeros(1 << 17, U), np.zeros(1 << 17, np.int32)
+        self.ids = np.zeros(1 << 16, np.int32)
         self.at = np.zeros((1 << 16, 2), np.int64)
 
     def __reduce__(self) -> tuple:
         return Pool, (self.limit,)
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the empty slot where its search ends."""
+        mask = len(self.keys) - 1
+        slot = (keys >> U(64 - mask.bit_length())).astype(np.int64)
+        found = self.keys[slot]
+        open_ = np.flatnonzero((found != keys) & (found != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & mask
+            found = self.keys[slot[open_]]
+            open_ = open_[(found != keys[open_]) & (found != 0)]
+        return slot
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        while len(keys):
+            slot = self._slots(keys)
+            _, first = np.unique(slot, return_index=True)  # of keys that end at one slot, one gets it
+            self.keys[slot[first]], self.where[slot[first]] = keys[first], values[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, values = keys[rest], values[rest]
+
     def find(self, keys: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """(start in self.ids, length) for each key; ``encode`` gets the places of new keys, and returns their ids and offsets."""
-        if len(self.place) + len(keys) > self.limit:
-            self.clear()
-        found = np.array([self.place.get(k, -1) for k in keys.tolist()], np.int64)
-        new = np.flatnonzero(found < 0)
+        """(start in self.ids, length) for each key; ``encode`` gets a place of each distinct new key, and returns their ids and offsets."""
+        keys = np.where(keys == 0, U(1), keys)
+        slot = self._slots(keys)
+        new = np.flatnonzero(self.keys[slot] == 0)
         if len(new):
-            ids, at = encode(new)
-            n = len(self.place)
+            fresh, first = np.unique(keys[new], return_index=True)
+            if self.units + len(fresh) > self.limit and self.units:
+                self.clear()
+                return self.find(keys, encode)
+            ids, at = encode(new[first])
+            n = self.units
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + len(new) > len(self.at):
+            while n + len(fresh) > len(self.at):
                 self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+            if 2 * (n + len(fresh)) > len(self.keys):
+                held = self.keys != 0
+                old, values = self.keys[held], self.where[held]
+                size = 1 << (4 * (n + len(fresh))).bit_length()
+                self.keys, self.where = np.zeros(size, U), np.zeros(size, np.int32)
+                self._put(old, values)
             self.ids[self.used : self.used + len(ids)] = ids
-            self.at[n : n + len(new), 0] = at[:-1] + self.used
-            self.at[n : n + len(new), 1] = np.diff(at)
+            self.at[n : n + len(fresh), 0] = at[:-1] + self.used
+            self.at[n : n + len(fresh), 1] = np.diff(at)
             self.used += len(ids)
-            found[new] = np.arange(n, n + len(new))
-            self.place.update(zip(keys[new].tolist(), range(n, n + len(new)), strict=True))
+            self.units += len(fresh)
+            self._put(fresh, np.arange(n, n + len(fresh), dtype=np.int32))
+            slot = self._slots(keys)
+        found = self.where[slot]
         return self.at[found, 0], self.at[found, 1]

@@ -38,23 +38,23 @@ ANCHORS = (
 ).split()
 
 
-def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """The distinct hashes of a text's chains, ascending."""
-    low = F.lower(text)
-    words = F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
-    spots = F.split(words, f"(?: (?:{'|'.join(sorted(set(ANCHORS)))}))+(?= )", -1)
+def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
+    """df with the column ``out``: the distinct hashes of a text's chains, ascending.
 
-    def after(spots_: Column) -> Column:
-        def one(seg: Column, i: Column) -> Column:
-            more = [F.coalesce(F.get(spots_, i + k), F.lit("")) for k in range(1, chain)]
-            return F.when(i > 0, F.substring_index(F.trim(F.concat(seg, *more)), " ", chain))
-
-        return F.transform(spots_, one)
-
-    chains = F.filter(after(spots), lambda c: F.length(c) > 0)
-    hashes = F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.xxhash64(c))))
-    lone = F.when(F.length(F.trim(words)) > 0, F.xxhash64(words)).when(F.length(low) > 0, F.xxhash64(low))
-    return F.when(F.size(hashes) > 0, hashes).otherwise(F.filter(F.array(lone), lambda x: x.isNotNull()))
+    In steps, as each step's column is used more than once: Catalyst then computes it once.
+    """
+    words = F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
+    df = df.withColumn("_words", words)
+    df = df.withColumn("_spots", F.split("_words", f"(?: (?:{'|'.join(sorted(set(ANCHORS)))}))+(?= )", -1))
+    behind = lambda k: F.slice("_spots", F.lit(k + 1), F.greatest(F.size("_spots") - k, F.lit(0)))
+    chains = behind(1)
+    for k in range(2, chain + 1):
+        chains = F.zip_with(chains, behind(k), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    chains = F.filter(F.transform(chains, lambda c: F.substring_index(F.trim(c), " ", chain)), lambda c: F.length(c) > 0)
+    df = df.withColumn("_hashes", F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.xxhash64(c)))))
+    lone = F.when(F.length(F.trim("_words")) > 0, F.xxhash64("_words")).when(F.length(text) > 0, F.xxhash64(F.lower(text)))
+    df = df.withColumn(out, F.when(F.size("_hashes") > 0, F.col("_hashes")).otherwise(F.filter(F.array(lone), lambda x: x.isNotNull())))
+    return df.drop("_words", "_spots", "_hashes")
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -140,10 +140,10 @@ def query(docs: DataFrame) -> DataFrame:
     t = with_neighbours(docs)
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - int(floor(char_length(text) / 4)))"), F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), quarter))
-    t = t.withColumn("sigs", signatures(F.col("text")))
+    t = with_signatures(t, "text", "sigs")
     order = W.partitionBy("bucket").orderBy("ghost", "key", "text")
     t = t.withColumn("next_sigs", F.lead("sigs").over(order)).where(F.col("ghost") == 0)
-    t = t.withColumn("edited", edited).withColumn("edited_sigs", signatures(F.col("edited")))
+    t = with_signatures(t.withColumn("edited", edited), "edited", "edited_sigs")
     return t.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),

@@ -284,16 +284,14 @@ def encode_buffers(data: np.ndarray, offsets: np.ndarray, m: Unigram) -> tuple[n
     at = np.flatnonzero(edge)
     starts, stops = at[:-1], at[1:]
     h = kernel.span_hashes(data, starts, stops)
-    keys, first, back = np.unique(h, return_index=True, return_inverse=True)
 
     def search(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = starts[first[new]]
-        lengths = stops[first[new]] - s
+        s = starts[new]
+        lengths = stops[new] - s
         return viterbi(data[ranges(s, lengths)], np.concatenate([[0], np.cumsum(lengths)]), m)
 
-    place, lengths = m.pool.find(keys, search)
-    counts = lengths[back]
-    ids = m.pool.ids[ranges(place[back], counts)]
+    place, counts = m.pool.find(h, search)
+    ids = m.pool.ids[ranges(place, counts)]
     ends = np.concatenate([[0], np.cumsum(counts)])
     return ids, ends[np.searchsorted(starts, offsets, "left")]
 
