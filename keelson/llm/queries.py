@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.llm import chat, huffman, langid, quality, secrets, unigram
+from keelson.llm import chat, huffman, langid, quality, secrets, spotsigs, unigram
 from keelson.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op3_quality_ranking(spark, sf_dir):
     return quality.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_spotsigs(spark, sf_dir):
+    return spotsigs.query(read(spark, sf_dir, "documents"))
+
+
 def op8_unigram_encoding(spark, sf_dir):
     return unigram.query(read(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op10_language_id(spark, sf_dir):
     return langid.query(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_formatting, op3_quality_ranking, op8_unigram_encoding, op9_huffman_files, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_formatting, op3_quality_ranking, op4_spotsigs, op8_unigram_encoding, op9_huffman_files, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keelson.llm.common import materialize
+
 CHAIN = 2
 #: Below this ratio of sizes two sets count as unlike (0) without a closer look.
 LEAST = 0.05
@@ -82,7 +84,7 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     indexed under its rarest signatures only: of n signatures, a similar set shares one of the n - ceil(threshold n) + 1
     rarest. Longer postings are never cut; what a signature joins is then pruned by size and verified.
     """
-    base = prints.select("fp", "sigs").dropDuplicates(["fp"]).where(F.size("sigs") > 0)
+    base = materialize(prints.select("fp", "sigs").dropDuplicates(["fp"]).where(F.size("sigs") > 0), "spots")
     posts = base.select("fp", F.explode("sigs").alias("sig"))
     often = posts.groupBy("sig").agg(F.count(F.lit(1)).alias("often"))
     ranked = posts.join(often, "sig").withColumn("rank", F.row_number().over(W.partitionBy("fp").orderBy("often", "sig")))
