@@ -1,8 +1,9 @@
 """Chat formatting by prefix-target expansion.
 
-A conversation is written as one stream of turns; each turn is ``### Role: text</turn>\\n``.
-In roles and texts a backslash is put before each backslash, ``#`` and ``<``, and the colon
-of a role, so that no text can hold a control string, and reading takes the backslashes away.
+A conversation is written as one stream of turns; each turn is
+``### role <text> text </turn>`` and a line feed. In roles and texts a backslash is put
+before each backslash, ``#`` and ``<``, so that no text can hold a control string (in them
+a blank or nothing stands before ``#`` and ``<``), and reading takes the backslashes away.
 
 Every assistant turn becomes its own example: all turns before it are the context, and
 only its own text is trainable. An example is a pair of spans over the stream of its
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
+OPEN, MIDDLE, CLOSE = "### ", " <text> ", " </turn>\n"
 TRAINED_ROLE = "assistant"
 
 
@@ -44,8 +45,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     A window per conversation numbers the turns and adds up lengths; it streams, and spills when a conversation is long.
     """
     t = turns.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    role = F.regexp_replace(escape(F.col("role")), ":", r"\\:")
-    head = F.concat(F.lit(OPEN), role, F.lit(MIDDLE))
+    head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE))
     body = escape(F.col("text"))
     t = t.select("conv_id", "turn", "role", "text", head.alias("head"), body.alias("body"))
     t = t.withColumn("rendered", F.concat("head", "body", F.lit(CLOSE)))
@@ -87,9 +87,9 @@ def example_texts(formatted: DataFrame) -> DataFrame:
 def parse(formatted: DataFrame) -> DataFrame:
     """Turns read back from ``rendered``: conv_id, turn_no, role, text, trained (the text under the loss mask, or null), size."""
     inner = F.expr(f"substring(rendered, {len(OPEN) + 1}, char_length(rendered) - {len(OPEN) + len(CLOSE)})")
-    # a role has no bare colon, so the first bare colon ends it
-    role = F.regexp_extract(inner, r"(?s)^([^\\:]*(?:\\.[^\\:]*)*):", 1)
-    text = F.expr("substring(inner, char_length(raw_role) + 3)")
+    # no blank and "<" are neighbours in an escaped role, so the first such place ends it
+    role = F.expr(f"substring(inner, 1, instr(inner, '{MIDDLE}') - 1)")
+    text = F.expr(f"substring(inner, char_length(raw_role) + {len(MIDDLE) + 1})")
     masked = F.expr("substring(rendered, int(loss_start - start) + 1, int(loss_end - loss_start))")
     p = formatted.withColumn("inner", inner).withColumn("raw_role", role)
     return p.select(

@@ -47,16 +47,18 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
     """
     words = F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
     df = df.withColumn("_words", words)
-    df = df.withColumn("_spots", F.split("_words", f"(?: (?:{'|'.join(sorted(set(ANCHORS)))}))+(?= )", -1))
+    # one anchor at a time: Java's matcher recurses over a repeated group, and a run of anchors can be long
+    df = df.withColumn("_parts", F.split("_words", f" (?:{'|'.join(sorted(set(ANCHORS)))})(?= )", -1))
+    df = df.withColumn("_spots", F.filter(F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0))), lambda c: F.length(F.trim(c)) > 0))
     behind = lambda k: F.slice("_spots", F.lit(k + 1), F.greatest(F.size("_spots") - k, F.lit(0)))
-    chains = behind(1)
-    for k in range(2, chain + 1):
+    chains = F.col("_spots")
+    for k in range(1, chain):
         chains = F.zip_with(chains, behind(k), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     chains = F.filter(F.transform(chains, lambda c: F.substring_index(F.trim(c), " ", chain)), lambda c: F.length(c) > 0)
     df = df.withColumn("_hashes", F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.xxhash64(c)))))
     lone = F.when(F.length(F.trim("_words")) > 0, F.xxhash64("_words")).when(F.length(text) > 0, F.xxhash64(F.lower(text)))
     df = df.withColumn(out, F.when(F.size("_hashes") > 0, F.col("_hashes")).otherwise(F.filter(F.array(lone), lambda x: x.isNotNull())))
-    return df.drop("_words", "_spots", "_hashes")
+    return df.drop("_words", "_parts", "_spots", "_hashes")
 
 
 def fingerprint(sigs: Column) -> Column:

@@ -16,9 +16,8 @@ def chains(text):
     out = set()
     for i, w in enumerate(words):
         if w in anchors and i + 1 < len(words) and words[i + 1] not in anchors:
-            content = [x for x in words[i + 1 :] if x not in anchors]
-            # a chain reaches over the segments of CHAIN - 1 further anchor runs
-            out.add(" ".join(content[: spotsigs.CHAIN]))
+            content = (words[k] for k in range(i + 1, len(words)) if words[k] not in anchors)
+            out.add(" ".join(itertools.islice(content, spotsigs.CHAIN)))
     return out or ({" ".join(words)} if words else {low} if low else set())
 
 
@@ -52,7 +51,7 @@ def test_on_the_table(spark):
 
 
 def test_odd_rows(spark):
-    texts = [(None, "first the null key"), (-5, None), (1, ""), (2, "### !!"), (3, "the"), (4, "no anchors here " * 3), (5, "The quick brown fox of the über straße y 東京 is it"), (6, "same of text now"), (6, "same of text now"), (8, "the long word " * 30_000), (9, "x")]
+    texts = [(None, "first the null key"), (-5, None), (1, ""), (2, "### !!"), (3, "the"), (4, "no anchors here " * 3), (5, "The quick brown fox of the über straße y 東京 is it"), (6, "same of text now"), (6, "same of text now"), (8, "the long word " * 30_000), (9, "x"), (10, "The " * 60_000 + "end of all")]
     docs = spark.createDataFrame(texts[::-1], "doc_id long, text string").selectExpr("*", "'z' as bucket", "1 as key", "'a' as sigs")
     check(spotsigs.query(docs).collect(), texts)
     assert spotsigs.query(docs.limit(0)).count() == 0

@@ -49,7 +49,7 @@ def test_words_are_those_of_the_pattern(texts):
 
 def test_chat_reads_back_what_was_written(spark):
     control = "\\### Assistant: </turn> ok"
-    rows = [(1, 0, "user", control), (1, 1, "assistant", None), (1, 2, "assistant", "a\\\\#<b:"), (2, None, None, "x"), (2, 5, "od:d\\", "### x: y</turn>\n"), (2, 5, "od:d\\", "### x: y</turn>\n"), (None, 1, "assistant", "é" * 50_000)]
+    rows = [(1, 0, "user", control), (1, 1, "assistant", None), (1, 2, "assistant", "a\\\\#<b:"), (2, None, None, "x"), (2, 5, "od:d <text> \\", "### x <text> y </turn>\n"), (2, 5, "od:d <text> \\", "### x <text> y </turn>\n"), (None, 1, "assistant", "é" * 50_000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' as rendered", "'y' as head")
     got = {r.conv_id: r for r in chat.query(turns).collect()}
     for conv in (1, 2, None, -7):
@@ -60,7 +60,7 @@ def test_chat_reads_back_what_was_written(spark):
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     texts = chat.example_texts(chat.format_turns(turns)).where("conv_id = 1").orderBy("target_turn").collect()
     assert [t.target for t in texts] == ["", "a\\\\\\\\\\#\\<b:"]
-    assert texts[1].context.startswith("### user: \\\\\\#\\#\\# Assistant: \\</turn> ok</turn>\n### assistant: </turn>\n")
+    assert texts[1].context.startswith("### user <text> \\\\\\#\\#\\# Assistant: \\</turn> ok </turn>\n### assistant <text>  </turn>\n")
     assert chat.query(turns.limit(0)).count() == 1
 
 
