@@ -205,8 +205,8 @@ def encode_parts(parts: list[str], tokenizer: object) -> tuple[np.ndarray, np.nd
     return np.concatenate([*out, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(x) for x in out])])
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers, the end id last."""
+def tokenize(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END_ID, width: int = 4) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids as little-endian unsigned integers of ``width`` bytes, the end id last."""
     path = tokenizer_path or default_tokenizer()
     with open(path, encoding="utf-8") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())  # a tokenizer file's size
@@ -218,31 +218,38 @@ def tokenize(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = E
             for a, b in kernel.row_slices(offsets, 1 << 21):
                 ids, at = encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tokenizer, pool)
                 n = np.diff(at)
-                full = np.full(len(ids) + b - a, end_id, "<u4")
+                full = np.full(len(ids) + b - a, end_id, f"<u{width}")
                 full[np.arange(len(ids)) + np.repeat(np.arange(b - a), n)] = ids
                 ends = np.concatenate([[0], np.cumsum(n + 1)])
                 raw = pa.py_buffer(full.tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(n + 1), pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), raw])], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(n + 1), pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends * width).astype(np.int32).tobytes()), raw])], ["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def _id_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(batch, ids, offsets) of batches whose column ``ids`` has narrow or wide ids."""
+def narrow_width(tokenizer_path: str | None, end_id: int) -> int:
+    """Bytes that hold every id of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(end_id + 1, Tokenizer.from_file(tokenizer_path or default_tokenizer()).get_vocab_size()) <= 1 << 16 else 4
+
+
+def _id_lists(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(batch, ids, offsets) of batches whose column ``ids`` has ids of ``width`` bytes."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("ids")).cast(pa.large_binary())
         _, offs, data = column.buffers()
         at = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
         raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-        yield batch, np.frombuffer(raw.tobytes(), "<u4"), (at - at[0]) // 4
+        yield batch, np.frombuffer(raw.tobytes(), f"<u{width}"), (at - at[0]) // width
 
 
-def count_ids(tokens: DataFrame) -> np.ndarray:
+def count_ids(tokens: DataFrame, width: int = 4) -> np.ndarray:
     """How often each id occurs: one number for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for _, ids, _ in _id_lists(batches):
+        for _, ids, _ in _id_lists(batches, width):
             own = np.bincount(ids, minlength=len(total))
             own[: len(total)] += total
             total = own
@@ -267,7 +274,7 @@ class Code:
         return MAGIC + struct.pack("<I", len(body)) + body
 
 
-def write_files(tokens: DataFrame, folder: str, code: Code, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write_files(tokens: DataFrame, folder: str, code: Code, file_tokens: int = FILE_TOKENS, width: int = 4) -> DataFrame:
     """Write all documents in ascending doc_id order; the index: path, offset, size, first_token by block.
 
     Bounds of the files are quantiles of the ids; a file has one task, whatever lands in it is split in blocks.
@@ -284,7 +291,7 @@ def write_files(tokens: DataFrame, folder: str, code: Code, file_tokens: int = F
 
     def pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, own_codes, own_lengths = shared.value
-        for batch, ids, at in _id_lists(batches):
+        for batch, ids, at in _id_lists(batches, width):
             for a, b in kernel.row_slices(at, 1 << 20):
                 part = batch.slice(a, b - a)
                 bits, doc_bytes, marks = pack(ids[at[a] : at[b]], at[a : b + 1] - at[a], own_codes, own_lengths)
@@ -354,8 +361,8 @@ def _block(rows: list[tuple]) -> bytes:
     return b"".join([struct.pack("<II", len(rows), len(marks) // 4), ids.tobytes(), nulls.tobytes(), n.tobytes(), size.tobytes(), marks, *(r[3] for r in rows)])
 
 
-def read_blocks(index: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of the documents in the blocks of an index, each block decoded on its own."""
+def read_blocks(index: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of the documents in the blocks of an index, each block decoded on its own; with ``digest`` ids_crc32 instead of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[bytes, tuple] = {}
@@ -381,26 +388,31 @@ def read_blocks(index: DataFrame) -> DataFrame:
                 n = n.astype(np.int64)
                 tokens = unpack(body[spot:], doc_bytes.astype(np.int64), n, checkpoints, *tables[packed[-64:]])
                 ends = np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=nulls.astype(bool)), pa.array(first + ends[:-1]), pa.array(n), pa.Array.from_buffers(pa.binary(), docs, [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(tokens.astype("<u4").tobytes())])],
-                    ["doc_id", "start", "n_tokens", "ids"],
-                )
+                raw = tokens.astype("<u4").tobytes()
+                if digest:
+                    view = memoryview(raw)
+                    last = pa.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
+                else:
+                    last = pa.Array.from_buffers(pa.binary(), docs, [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls.astype(bool)), pa.array(first + ends[:-1]), pa.array(n), last], ["doc_id", "start", "n_tokens", name])
 
-    return index.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    name = "ids_crc32" if digest else "ids"
+    return index.mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {'long' if digest else 'binary'}")
 
 
 def save(docs: DataFrame, folder: str | None = None, tokenizer_path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Tokenize, count, build the code, write the files; the index of blocks."""
     spark: SparkSession = docs.sparkSession
     path = fresh_dir(spark, "tokens")
-    tokenize(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(path)
+    width = narrow_width(tokenizer_path, end_id)
+    tokenize(docs, tokenizer_path, end_id, width).write.option("compression", "zstd").parquet(path)
     tokens = spark.read.parquet(path)
-    code = Code(code_lengths(count_ids(tokens)))
-    return write_files(tokens, folder or fresh_dir(spark, "token-files"), code)
+    code = Code(code_lengths(count_ids(tokens, width)))
+    return write_files(tokens, folder or fresh_dir(spark, "token-files"), code, width=width)
 
 
 def query(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row per document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
     index = save(docs, tokenizer_path=tokenizer_path)
     spread = index.repartition(max(1, min(2000, index.count())), "path", "offset")
-    return read_blocks(spread).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_blocks(spread, digest=True)
