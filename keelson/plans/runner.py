@@ -9,6 +9,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,7 +68,8 @@ class Job:
 
     def preflight(self, start: Watermark) -> list[quality.Finding]:
         try:
-            df, error = self.source(), ""
+            # all columns, so that one that is missing is found by name
+            df, error = scan.read(self.spark, replace(self.cfg, read=replace(self.cfg.read, columns=[]))), ""
         except Exception as e:
             df, error = None, str(e).splitlines()[0]
         return quality.preflight(self.cfg, df, start, scan.indexed_columns(self.spark, self.cfg), self.sink.reachable(), error)

@@ -73,40 +73,35 @@ class Dialect:
             return self._merge(table, source, columns, keys, rest) + (";" if self.upsert_by == "merge" else "")
         raise ValueError(f"{self.name} has no upsert")
 
-    def _merge(self, table: str, source: str, columns: list[str], keys: list[str], rest: list[str], deletes: str = "") -> str:
+    def _merge(self, table: str, source: str, columns: list[str], keys: list[str], rest: list[str]) -> str:
         q = self.quote
-        on = " AND ".join(f"t.{q(k)} = s.{q(k)}" for k in keys)
-        live = f" AND NOT ({deletes})" if deletes else ""
-        sql = f"MERGE INTO {table} t USING {source} ON ({on})"
-        if deletes:
-            sql += f" WHEN MATCHED AND {deletes} THEN DELETE"
+        sql = f"MERGE INTO {table} t USING {source} ON ({' AND '.join(f't.{q(k)} = s.{q(k)}' for k in keys)})"
         if rest:
-            sql += f" WHEN MATCHED{live} THEN UPDATE SET " + ", ".join(f"t.{q(c)} = s.{q(c)}" if self.name not in ("derby", "postgres") else f"{q(c)} = s.{q(c)}" for c in rest)
-        return sql + f" WHEN NOT MATCHED{live} THEN INSERT ({', '.join(map(q, columns))}) VALUES ({', '.join(f's.{q(c)}' for c in columns)})"
-
-    def merge_staged(self, table: str, staged: str, columns: list[str], keys: list[str], op: str = "") -> list[str]:
-        """Statements that bring a staging table's rows into the target: one MERGE where the database can delete in it, else a delete and upserts."""
-        q, rest = self.quote, [c for c in columns if c not in keys]
-        gone = f"s.{q(op)} = 'd'" if op else ""
-        names = ", ".join(map(q, columns))
-        match = lambda a: " AND ".join(f"{a}.{q(k)} = s.{q(k)}" for k in keys)
-        if self.upsert_by in ("merge", "merge_derby") or self.name == "postgres":
-            return [self._merge(table, f"{staged} s", columns, keys, rest, gone) + (";" if self.upsert_by == "merge" else "")]
-        out = []
-        if op:
-            out.append(f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {staged} s WHERE {match(table)} AND {gone})")
-        live = f" WHERE NOT ({gone})" if gone else ""
+            left = "" if self.name in ("derby", "postgres") else "t."
+            sql += " WHEN MATCHED THEN UPDATE SET " + ", ".join(f"{left}{q(c)} = s.{q(c)}" for c in rest)
+        return sql + f" WHEN NOT MATCHED THEN INSERT ({', '.join(map(q, columns))}) VALUES ({', '.join(f's.{q(c)}' for c in columns)})"
+
+    def _exists(self, table: str, staged: str, keys: list[str]) -> str:
+        return f"EXISTS (SELECT 1 FROM {staged} s WHERE " + " AND ".join(f"{table}.{self.quote(k)} = s.{self.quote(k)}" for k in keys) + ")"
+
+    def delete_staged(self, table: str, staged: str, keys: list[str]) -> str:
+        """Delete the rows whose keys a staging table has."""
+        return f"DELETE FROM {table} WHERE {self._exists(table, staged, keys)}"
+
+    def upsert_staged(self, table: str, staged: str, columns: list[str], keys: list[str]) -> list[str]:
+        """Statements that bring a staging table's rows into the target; a database without an upsert deletes and inserts."""
+        q, rest, names = self.quote, [c for c in columns if c not in keys], ", ".join(map(self.quote, columns))
+        if self.upsert_by in ("merge", "merge_derby", "merge_dual"):
+            return [self._merge(table, f"{staged} s", columns, keys, rest) + (";" if self.upsert_by == "merge" else "")]
+        pick = f"INSERT INTO {table} ({names}) SELECT {names} FROM {staged} s"
         if self.upsert_by == "duplicate":
-            sets = ", ".join(f"{q(c)} = VALUES({q(c)})" for c in rest) or f"{q(keys[0])} = VALUES({q(keys[0])})"
-            out.append(f"INSERT INTO {table} ({names}) SELECT {names} FROM {staged} s{live} ON DUPLICATE KEY UPDATE {sets}")
-        elif self.upsert_by == "merge_key":
-            out.append(f"MERGE INTO {table} ({names}) KEY ({', '.join(map(q, keys))}) SELECT {names} FROM {staged} s{live}")
-        elif self.upsert_by == "merge_dual":
-            out.append(self._merge(table, f"(SELECT {names} FROM {staged} s{live}) s", columns, keys, rest))
-        else:
-            out.append(f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {staged} s WHERE {match(table)})")
-            out.append(f"INSERT INTO {table} ({names}) SELECT {names} FROM {staged} s{live}")
-        return out
+            return [pick + " ON DUPLICATE KEY UPDATE " + (", ".join(f"{q(c)} = VALUES({q(c)})" for c in rest) or f"{q(keys[0])} = VALUES({q(keys[0])})")]
+        if self.upsert_by == "conflict":
+            sets = "UPDATE SET " + ", ".join(f"{q(c)} = EXCLUDED.{q(c)}" for c in rest) if rest else "NOTHING"
+            return [f"{pick} ON CONFLICT ({', '.join(map(q, keys))}) DO {sets}"]
+        if self.upsert_by == "merge_key":
+            return [f"MERGE INTO {table} ({names}) KEY ({', '.join(map(q, keys))}) SELECT {names} FROM {staged} s"]
+        return [self.delete_staged(table, staged, keys), pick]
 
 
 STANDARD = Dialect()

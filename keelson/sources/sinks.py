@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import json
 import urllib.error
 import urllib.request
@@ -157,14 +158,24 @@ class JdbcSink(Sink):
         names = {c.lower(): c for c in there.columns}
         keys = [names[k.lower()] for k in self.keys]
         last = merge.keep_latest(rows, keys, [merge.is_delete(rows).cast("int")])
-        last = last.withColumn("KEELSON_OP", F.when(merge.is_delete(last), "d").otherwise("u")).drop(OP)
-        staged = f"KEELSON_{uuid.uuid4().hex[:20].upper()}"
-        texts = ", ".join(f"`{f.name}` VARCHAR(1024)" for f in last.schema.fields if f.dataType.simpleString() == "string")
-        last.write.option("createTableColumnTypes", texts).jdbc(t.url, staged, mode="overwrite", properties=self._properties())
+        gone = merge.is_delete(last)
+        last = last.persist()
+        names = [c for c in last.columns if c != OP]
+        staged = {f"KEELSON_{uuid.uuid4().hex[:20].upper()}": part for part in (last.where(gone).select(*keys), last.where(~gone).select(*names)) if part.limit(1).count()}
         try:
-            self._execute(dialect.merge_staged(t.table, staged, [c for c in last.columns if c != "KEELSON_OP"], keys, "KEELSON_OP"))
+            todo = []
+            for name, part in staged.items():
+                texts = ", ".join(f"`{f.name}` VARCHAR(1024)" for f in part.schema.fields if f.dataType.simpleString() == "string")
+                writer = part.write.option("createTableColumnTypes", texts) if texts else part.write
+                writer.jdbc(t.url, name, mode="overwrite", properties=self._properties())
+                todo += [dialect.delete_staged(t.table, name, keys)] if part.columns == keys and names != keys else dialect.upsert_staged(t.table, name, names, keys)
+            if todo:
+                self._execute(todo)
         finally:
-            self._execute([f"DROP TABLE {staged}"])
+            last.unpersist()
+            for name in staged:
+                with contextlib.suppress(Exception):  # one that was not made
+                    self._execute([f"DROP TABLE {name}"])
 
 
 class ConsoleSink(Sink):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +18,10 @@ class IdRange(InputPartition):
 
 
 class PollingSource(DataSource):
-    """format("keelson_poll"): new ids of a Parquet table whose id only grows, in ranges (from, to] of at most ``batch`` ids.
+    """format("keelson_poll"): new ids of a Parquet table whose id only grows, as ranges (from, to].
 
-    Offsets have an upper end, so a replayed micro-batch reads the same range. Options: path, id, batch, parts, schema.
+    Offsets have an upper end, so a replayed micro-batch reads the same range; a partition has at most ``batch`` ids.
+    Options: path, id, batch, from, schema.
     """
 
     @classmethod
@@ -38,8 +38,7 @@ class PollingSource(DataSource):
 class PollingReader(DataSourceStreamReader):
     def __init__(self, options: dict, schema: object) -> None:
         self.path, self.id = options["path"], options.get("id", "id")
-        self.batch, self.parts = int(options.get("batch", 100_000)), int(options.get("parts", 4))
-        self.names, self.at = schema.fieldNames(), int(options.get("from", -1))
+        self.batch, self.names, self.first = int(options.get("batch", 100_000)), schema.fieldNames(), int(options.get("from", -1))
 
     def _dataset(self) -> object:
         import pyarrow.dataset as ds
@@ -49,26 +48,26 @@ class PollingReader(DataSourceStreamReader):
         return ds.dataset(path, filesystem=fs, format="parquet")
 
     def initialOffset(self) -> dict:
-        return {"id": self.at}
+        return {"id": self.first}
 
     def latestOffset(self) -> dict:
+        """The largest id: from the statistics of row groups, or the column itself where a group has none."""
         import pyarrow.compute as pc
 
-        # only as far as a batch goes: each id column page beyond it is skipped by its statistics
-        rows = self._dataset().to_table(columns=[self.id], filter=(pc.field(self.id) > self.at) & (pc.field(self.id) <= self.at + self.batch))
-        if rows.num_rows:
-            self.at = pc.max(rows[self.id]).as_py()
-        else:
-            later = self._dataset().to_table(columns=[self.id], filter=pc.field(self.id) > self.at)
-            if later.num_rows:
-                self.at = min(pc.min(later[self.id]).as_py() + self.batch - 1, pc.max(later[self.id]).as_py())
-        return {"id": self.at}
+        top = self.first
+        for fragment in self._dataset().get_fragments():
+            for group in fragment.row_groups:
+                said = (group.statistics or {}).get(self.id)
+                if said is not None:
+                    top = max(top, said["max"])
+                else:
+                    rows = fragment.subset(row_group_ids=[group.id]).to_table(columns=[self.id])
+                    top = max(top, pc.max(rows[self.id]).as_py() or top)
+        return {"id": top}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         lo, hi = start["id"], end["id"]
-        self.at = max(self.at, hi)
-        step = max(1, -(-(hi - lo) // self.parts))
-        return [IdRange(a, min(a + step, hi)) for a in range(lo, hi, step)]
+        return [IdRange(a, min(a + self.batch, hi)) for a in range(lo, hi, self.batch)]
 
     def read(self, partition: IdRange) -> Iterator:
         import pyarrow.compute as pc
@@ -77,11 +76,11 @@ class PollingReader(DataSourceStreamReader):
         yield from rows.to_batches()
 
 
-def poll(spark: SparkSession, path: str, id_column: str = "id", batch: int = 100_000, parts: int = 4) -> DataFrame:
+def poll(spark: SparkSession, path: str, id_column: str = "id", batch: int = 100_000) -> DataFrame:
     spark.dataSource.register(PollingSource)
     schema = spark.read.parquet(path).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return spark.readStream.format("keelson_poll").options(path=path, id=id_column, batch=str(batch), parts=str(parts), schema=ddl).load()
+    return spark.readStream.format("keelson_poll").options(path=path, id=id_column, batch=str(batch), schema=ddl).load()
 
 
 def merge_stream(stream: DataFrame, cfg: JobConfig, checkpoint: str) -> object:
@@ -95,7 +94,3 @@ def merge_stream(stream: DataFrame, cfg: JobConfig, checkpoint: str) -> object:
             open_sink(rows.sparkSession, cfg).write(rows)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def offset_text(offset: dict) -> str:
-    return json.dumps(offset, sort_keys=True)
