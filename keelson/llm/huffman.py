@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -190,8 +191,11 @@ def encode_parts(parts: list[str], tokenizer: object) -> tuple[np.ndarray, np.nd
     """(ids, offsets) of parts without white space. Many are put in one text with a special token between them, which costs less than a call for each."""
     run = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
     special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
-    mark, sign = next(iter(special.items()), (None, None))
-    alone = [k for k, p in enumerate(parts) if mark is None or any(s[:2] in p or p[-1:] in s[:-1] or p[:1] in s[1:] for s in special.values())]
+    # the sign is the only token that can be found across a joint if no token's first character is in a part or further on in the sign
+    first = {t[0] for t in special.values()}
+    mark, sign = next(((i, t) for i, t in special.items() if not first & set(t[1:])), (None, None))
+    risky = re.compile("[" + re.escape("".join(first)) + "]") if first else None
+    alone = [k for k, p in enumerate(parts) if mark is None or risky.search(p)]
     together = sorted(set(range(len(parts))) - set(alone))
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(parts)
     for k, x in zip(alone, run([parts[k] for k in alone], add_special_tokens=False), strict=True):
@@ -343,7 +347,8 @@ def write_files(tokens: DataFrame, folder: str, code: Code, file_tokens: int = F
                     flush()
         yield from done()
 
-    ordered = packed.repartition(len(bounds) + 1, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "bits", "n_tokens")
+    # each file is a partition of its own: hashing would put some together
+    ordered = packed.repartitionById(len(bounds) + 1, F.col("file")).sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "bits", "n_tokens")
     index = ordered.mapInArrow(write, "path string, offset long, size long, first_token long").collect()  # one small row for each block
     return spark.createDataFrame(index, "path string, offset long, size long, first_token long")
 
