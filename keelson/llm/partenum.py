@@ -10,11 +10,12 @@ partitions in which a set has nothing are left out where it has at most MORE of
 sets then still share another one.
 
 Texts with equal sets are one class from the start. Classes that share a signature are
-candidates. Not all pairs of such a run are made: first everything is compared with the run's
-smallest and largest class, and what links becomes a component. Where a run still has more
-than one component, what is outside its largest component is compared with the rest, across
-components only. Candidates are pruned without loss by size and by a 256-bit parity sketch (two
-sets differ in at least as many shingles as their sketches in bits), and the others verified on the
+candidates. Not all pairs of such a run are made: first each class is compared with one other,
+the least of the first classes of its runs, and what links becomes a component. Where a run
+has more than one component, each class outside the largest is compared with one class of
+that, another one each round; where then still is more than one, with all the rest, across
+components only. Candidates are pruned without loss by size and by parity sketches (two sets
+differ in at least as many shingles as their sketches in bits), and the others verified on the
 shingles themselves: a link needs 100 * intersection >= percent * union, in whole numbers.
 
 Sets are known by 64-bit hashes of shingles (40 bits where two sets are compared) and of the
@@ -43,6 +44,10 @@ U = kernel.U
 #: Signatures that linked sets share besides one; ratio of a band's ends.
 MORE, WIDTH = 3, 1.3
 N2, K2 = 2, 1
+#: Least bits of the sketch that pairs are pruned by before their shingles are read; it grows with the set.
+WIDE = 1024
+#: Rounds in which each class outside a run's largest component is compared with one class of that.
+ROUNDS = 2
 #: Candidate classes whose ids are broadcast at most (16 bytes each); with more of them, texts join them in a shuffle.
 BROADCAST_CLASSES = 1_000_000
 
@@ -126,25 +131,49 @@ def signatures(shingles: np.ndarray, at: np.ndarray, percent: int) -> Iterator[t
         yield rows[owner[kept]], kernel.mix(sums[kept] + kernel.mix(mark[kept]))
 
 
-def sketch(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Four words of parity bits for each row."""
+def sketch(shingles: np.ndarray, at: np.ndarray, bits: int = 256) -> np.ndarray:
+    """Words of ``bits`` (a power of two) parity bits for each row."""
     n = np.diff(at)
-    bit = kernel.mix(shingles ^ U(0x2545F4914F6CDD1D)) >> U(56)
-    odd = np.bincount(np.repeat(np.arange(len(n)), n) * 256 + bit.astype(np.int64), minlength=len(n) * 256).reshape(len(n), 256) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64).reshape(len(n), 4)
+    bit = kernel.mix(shingles ^ U(0x2545F4914F6CDD1D)) >> U(64 - bits.bit_length() + 1)
+    odd = np.zeros((len(n), bits), np.uint8)
+    for lo in range(0, len(n), 256):  # some rows at a time: counts are wide
+        hi = min(lo + 256, len(n))
+        own = np.repeat(np.arange(hi - lo), n[lo:hi]) * bits + bit[at[lo] : at[hi]].astype(np.int64)
+        odd[lo:hi] = np.bincount(own, minlength=(hi - lo) * bits).reshape(hi - lo, bits) & 1
+    return np.packbits(odd, axis=1).view(np.int64).reshape(len(n), bits // 64)
+
+
+def wide_sketches(shingles: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Parity bits, as many as shingles or more (a power of two). Half the bits of a sketch are the XOR of its halves, so any two compare."""
+    place = kernel.mix(shingles ^ U(0x2545F4914F6CDD1D)).astype(np.int64)
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        bits = max(WIDE, 1 << (b - a - 1).bit_length() if b > a else 1)
+        out.append(np.packbits((np.bincount(place[a:b] & (bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def sketch_difference(x: bytes, y: bytes) -> int:
+    """How many bits of two wide sketches differ, at the size of the smaller; sets differ in as many shingles at least."""
+    a, b = np.frombuffer(x, U), np.frombuffer(y, U)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def prints(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, class (null without shingles), check, s0..s3 of each row."""
+    """doc_id, n_shingles, class (null without shingles), check, s0..s3 and wide (sketches of 256 bits, and by size) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, shingles, at in sets_of(batch.column(1), n):
                 size = np.diff(at)
                 h, h2, s = class_hash(shingles, at, 1), class_hash(shingles, at, 2), sketch(shingles, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(size)), pa.array(size), pa.array(h.view(np.int64), mask=size == 0), pa.array(h2.view(np.int64)), *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(4))], ["doc_id", "n_shingles", "class", "check", "s0", "s1", "s2", "s3"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(size)), pa.array(size), pa.array(h.view(np.int64), mask=size == 0), pa.array(h2.view(np.int64)), *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(4)), pa.array(wide_sketches(shingles, at), pa.binary())], ["doc_id", "n_shingles", "class", "check", "s0", "s1", "s2", "s3", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, check long, s0 long, s1 long, s2 long, s3 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, check long, s0 long, s1 long, s2 long, s3 long, wide binary")
 
 
 def posts(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -215,11 +244,26 @@ def _five(raw: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by their shingles."""
-    nodes = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = materialize(nodes.join(classes.select("class", "owner"), "class"), "wanted")
-    sets = materialize(class_sets(docs, wanted, n), "sets")
+def read_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    wanted = materialize(nodes.distinct().join(classes.select("class", "owner"), "class"), "wanted")
+    return materialize(class_sets(docs, wanted, n), "sets")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of classes that link, by their shingles: of ``sets``, or read anew for the classes of the pairs."""
+    wide = classes.select("class", "wide", "n_shingles")
+    pairs = pairs.join(wide.toDF("a", "wide_a", "n_a"), "a").join(wide.toDF("b", "wide_b", "n_b"), "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, wide_a, wide_b, total = batch.columns
+            apart = np.array([sketch_difference(x, y) for x, y in zip(wide_a.to_pylist(), wide_b.to_pylist(), strict=True)], np.int64)
+            mask = pa.array(apart * (100 + percent) <= total.to_numpy() * (100 - percent))
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+
+    pairs = materialize(pairs.select("a", "b", "wide_a", "wide_b", F.expr("n_a + n_b")).mapInArrow(near, "a long, b long"), "near")
+    if sets is None:
+        sets = read_sets(docs, pairs.select(F.col("a").alias("class")).union(pairs.select("b")), classes, n)
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +320,7 @@ def components(edges: DataFrame) -> DataFrame:
 def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, root) of all classes that link with another."""
     classes = materialize(
-        table.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("owner"), F.min("n_shingles").alias("n_shingles"), F.min("check").alias("lo"), F.max("check").alias("hi"), *(F.min(f"s{k}").alias(f"s{k}") for k in range(4))),
+        table.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("owner"), F.min("n_shingles").alias("n_shingles"), F.min("check").alias("lo"), F.max("check").alias("hi"), *(F.min(f"s{k}").alias(f"s{k}") for k in range(4)), F.min("wide").alias("wide")),
         "classes",
     )
     if classes.where("lo != hi").limit(1).count():
@@ -284,29 +328,54 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     run = W.partitionBy("sig")
     shared = posts(docs, n, percent).withColumn("first", F.min("class").over(run)).withColumn("last", F.max("class").over(run)).where(F.col("first") < F.col("last"))
     shared = materialize(shared, "runs")
-    near = shared.select("first", "class").union(shared.select("last", "class")).toDF("a", "b").where(F.col("a") != F.col("b"))
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def pruned(pairs: DataFrame) -> DataFrame:
         return pairs.join(classes.select(*_side(classes, "a")), "a").join(classes.select(*_side(classes, "b")), "b").where(_close(percent)).select("a", "b")
 
-    tested = materialize(pruned(near), "pairs")
-    first = materialize(verify(docs, tested, classes, n, percent), "links")
-    roots = materialize(components(first), "roots")
-
-    # runs with more than one component: what is outside the largest against the rest
-    members = shared.select("sig", "class").distinct().join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # one partner for each class
+    tested = materialize(pruned(shared.where(F.col("class") != F.col("first")).groupBy(F.col("class").alias("b")).agg(F.min("first").alias("a"))), "pairs")
+    linked = materialize(verify(docs, tested, classes, n, percent), "links")
+    roots = materialize(components(linked), "roots")
+    # one more at a time across components, while that joins some; then all that is left
+    apart = materialize(_mixed(shared.select("sig", "class").distinct(), roots).select("sig", "class"), "mixed")
+    sets = read_sets(docs, apart.select("class"), classes, n)
+    for turn in range(ROUNDS + 1):
+        every = turn == ROUNDS
+        pairs = _across(_mixed(apart, roots), classes, percent) if every else pruned(_picked(_mixed(apart, roots), turn))
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.limit(1).count():
+            continue
+        tested = tested.union(pairs)
+        found = materialize(verify(docs, pairs, classes, n, percent, sets), "links")
+        if found.limit(1).count():
+            linked = linked.union(found)
+            roots = materialize(components(linked), "roots")
+    return roots
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, class, root, main) of runs (sig, class) with more than one component; main is the largest one's root."""
+    members = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     sizes = members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("sig", "main")
-    members = materialize(members.join(mixed, "sig").join(classes.select("class", "n_shingles", "s0", "s1", "s2", "s3"), "class"), "mixed")
+    return members.join(mixed, "sig")
+
+
+def _picked(mixed: DataFrame, turn: int) -> DataFrame:
+    """For each class outside the largest component of a run one class (a, b) of such a component, another one each turn."""
+    order = F.xxhash64(F.col("class"), F.lit(turn))
+    chosen = mixed.where("root = main").groupBy("sig").agg(F.min(F.struct(order.alias("h"), F.col("class").alias("y"))).alias("c"))
+    one = mixed.where("root != main").join(chosen, "sig").groupBy(F.col("class").alias("x")).agg(F.min("c").alias("c"))
+    return one.select(F.least("x", "c.y").alias("a"), F.greatest("x", "c.y").alias("b")).distinct()
+
+
+def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All candidates (a, b) of mixed runs: what is outside the largest component against the rest, across components."""
+    members = materialize(mixed.join(classes.select("class", "n_shingles", "s0", "s1", "s2", "s3"), "class"), "across")
     a = members.where("root != main").select("sig", F.col("root").alias("root_a"), *_side(members, "a"))
     b = members.select("sig", F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("in_main"), *_side(members, "b"))
     across = a.join(b, "sig").where((F.col("root_a") != F.col("root_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _close(percent))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    across = materialize(across, "pairs")
-    if not across.limit(1).count():
-        return roots
-    return components(first.union(verify(docs, across, classes, n, percent)))
+    return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:

@@ -94,7 +94,7 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(percent)
-    for size in [1, 2, 3, 5, 6, 7, 9, 14, 30, 77, 200, 900]:
+    for size in [1, 2, 3, 5, 6, 7, 9, 14, 30, 77, 200, 900, 1020, 3000]:
         for _ in range(25):
             a = rng.integers(0, 2**63, size).astype(np.uint64)
             differ = rng.integers(0, size * (100 - percent) // percent + 1)
@@ -111,6 +111,7 @@ def test_linked_sets_share_a_signature(percent):
             assert found[0] & found[1]
             s = partenum.sketch(np.concatenate([a, b]), at).view(np.uint64)
             assert sum(int(x).bit_count() for x in s[0] ^ s[1]) <= len(a) + len(b) - 2 * shared
+            assert partenum.sketch_difference(*partenum.wide_sketches(np.concatenate([a, b]), at)) <= len(a) + len(b) - 2 * shared
 
 
 def test_components_of_a_path_and_a_star(spark):
