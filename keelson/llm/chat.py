@@ -151,3 +151,25 @@ PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\
 def query(turns: DataFrame) -> DataFrame:
     probe = turns.sparkSession.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     return digest(format_turns(turns.select(*probe.columns).unionByName(probe)))
+
+
+ORACLE = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, chr(92) || '### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+), s AS (
+  SELECT *, length(role) + length(regexp_replace(role, '[^\\#<]', '', 'g')) + 4 + 8 AS head,
+         length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) AS body FROM c
+), p AS (
+  SELECT *, sum(head + body + 9) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS stop,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM s
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(max(stop) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (WHERE role = 'assistant') AS n_examples,
+       CAST(coalesce(sum(stop - 9) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS example_chars
+FROM p GROUP BY conv_id
+"""
