@@ -5,10 +5,16 @@ ASCII lower case, everything in ASCII but letters read as a blank). Embeddings a
 softmax are trained together by stochastic gradient descent in numpy. As averaging and
 the softmax's argument are linear, a trained model folds to one table of logits per
 bucket, which executors apply to whole texts. Probabilities are calibrated by a
-temperature on rows kept from training; a rejection threshold comes from the same rows.
+temperature on rows kept from training.
+
+A text is rejected whose n-grams are too often in no learning row. How often is usual comes
+from the learning rows, each held against all others: a text may have REJECT_FACTOR times
+the unknown share that all but one in a hundred of them stay below. SMOOTH known n-grams
+are added to each text, so a name or two in a short text do not count as another language.
 
 Defined results: a null text, an empty one or one without a letter gives ``und``, score 0
-and is rejected. Rows with a null id are predicted like others and count as the empty id
+and is rejected. A rejected text with letters still names its likeliest language. Where
+learning rows have little in common (a few rows), only letterless texts are rejected. Rows with a null id are predicted like others and count as the empty id
 for the fold. Repeated rows are each predicted. Without a row to learn from, all is ``und``.
 Extra columns do not matter; with a clashing name they are not read.
 """
@@ -30,15 +36,19 @@ from keelson.llm.common import crc_mod
 NGRAMS = (3, 4)
 BITS = 13
 BUCKETS = 1 << BITS
+#: Width of the hash that tells known n-grams; its upper bits are the bucket.
+KNOWN_BITS = 20
+SMOOTH, REJECT_FACTOR = 20, 3
 UNKNOWN = "und"
 #: Labelled rows per language that training uses at most.
 SAMPLE_PER_LANG = 300
 _CODE = np.where((np.arange(256) >= 128) | (kernel.LOWER >= 97) & (kernel.LOWER <= 122), kernel.LOWER, 32).astype(np.uint32)
 
+_NONE = len(NGRAMS) << KNOWN_BITS
+
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first byte, bucket at each byte for each n) by pieces; the bucket len(NGRAMS) * BUCKETS stands for none."""
-    none = len(NGRAMS) * BUCKETS
+    """(first byte, hash at each byte for each n) by pieces; the hash _NONE stands for none. A hash shifted by KNOWN_BITS - BITS is a bucket."""
     for lo in range(0, len(data), kernel.PIECE):
         hi = min(lo + kernel.PIECE, len(data))
         ext = np.full(hi - lo + max(NGRAMS), 32, np.uint32)
@@ -53,9 +63,9 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndar
         for k, size in enumerate(NGRAMS):
             key = key | ext[size - 1 : size - 1 + n] << np.uint32(8 * (size - 1))
             h = (key * np.uint32(0x9E3779B1)) ^ (key >> np.uint32(15))
-            h = (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
+            h = (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - KNOWN_BITS)
             blank = int("20" * size, 16)
-            out[k] = np.where((left >= size) & (key != blank), h.astype(np.int64) + k * BUCKETS, none)
+            out[k] = np.where((left >= size) & (key != blank), h.astype(np.int64) + (k << KNOWN_BITS), _NONE)
         yield lo, row, out
 
 
@@ -69,6 +79,12 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _summed(at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values ascending, sum of their counts)."""
+    at, which = np.unique(at, return_inverse=True)
+    return at, np.bincount(which, count, len(at)).astype(np.int64)
+
+
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -76,12 +92,11 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = []
         for r in range(len(t)):
             own = data[offsets[r] : offsets[r + 1]]
-            count = np.zeros(len(NGRAMS) * BUCKETS + 1, np.int64)
+            at, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
             for _, _, g in _grams(own, np.array([0, len(own)])):
-                count += np.bincount(g.ravel(), minlength=len(count))
-            count[-1] = 0
-            at = np.flatnonzero(count)
-            packed.append(np.concatenate([at, count[at]]).astype(np.uint32).tobytes())
+                more, n = np.unique(g[g != _NONE], return_counts=True)
+                at, count = _summed(np.concatenate([at, more]), np.concatenate([count, n]))
+            packed.append(np.concatenate([at, count]).astype(np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays([t["lang"].combine_chunks().cast(pa.string()), pa.array(packed, pa.binary())], ["lang", "grams"])
 
 
@@ -91,6 +106,9 @@ class Model:
     logits: np.ndarray  # (buckets + 1, languages), float32; the last row is zero
     bias: np.ndarray
     temperature: float
+    #: whether the n-gram of a hash is in a learning row; false for _NONE
+    known: np.ndarray
+    #: the least share of known n-grams
     reject_below: float
 
 
@@ -108,13 +126,17 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, dim: int = 16, epoch
     langs = sorted({r[0] for r in rows})
     width = len(NGRAMS) * BUCKETS
     if not langs:
-        return Model([], np.zeros((width + 1, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        return Model([], np.zeros((width + 1, 0), np.float32), np.zeros(0), 1.0, np.zeros(_NONE + 1, bool), 1.0)
     y = np.array([langs.index(r[0]) for r in rows])
-    sparse = []
+    sparse, grams = [], []
     for _, raw in rows:
         flat = np.frombuffer(raw, np.uint32)
-        at, count = flat[: len(flat) // 2], flat[len(flat) // 2 :].astype(np.float32)
-        sparse.append((at, count / max(1.0, count.sum())))
+        grams.append((flat[: len(flat) // 2], flat[len(flat) // 2 :]))
+        at, count = _summed(grams[-1][0] >> np.uint32(KNOWN_BITS - BITS), grams[-1][1])
+        sparse.append((at, (count / max(1.0, count.sum())).astype(np.float32)))
+    holders = np.bincount(np.concatenate([at for at, _ in grams]).astype(np.int64), minlength=_NONE + 1)
+    shares = [_known_share(count[holders[at] > 1].sum(), count.sum()) for at, count in grams]
+    reject_below = max(0.0, 1 - REJECT_FACTOR * (1 - float(np.quantile(shares, 0.01, method="lower"))))
 
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
@@ -141,9 +163,11 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, dim: int = 16, epoch
     z = np.array([sparse[i][1] @ logits[sparse[i][0]] + b for i in kept])
     loss = lambda t: float(np.mean(np.log(np.exp((z - z.max(1, keepdims=True)) / t).sum(1)) - ((z - z.max(1, keepdims=True)) / t)[np.arange(len(kept)), y[kept]]))
     temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.7, 8.0), key=loss)
-    top = np.sort(_softmax(z / temperature).max(1))
-    # Rejected is what is less certain than half of the least certain kept row: clean rows of any length stay.
-    return Model(langs, logits, b.astype(np.float64), temperature, float(min(0.5 * top[0], 1.02 / len(langs) if len(langs) > 1 else 0.0)))
+    return Model(langs, logits, b.astype(np.float64), temperature, holders > 0, reject_below)
+
+
+def _known_share(known: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (known + SMOOTH) / (count + SMOOTH)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -151,38 +175,38 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def predict_texts(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the language, or -1; calibrated probability) of each row."""
+def predict_texts(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the language, or -1; calibrated probability; whether it is rejected) of each row."""
     rows, langs = len(offsets) - 1, len(model.langs)
     if not langs:
-        return np.full(rows, -1), np.zeros(rows)
-    none = len(NGRAMS) * BUCKETS
-    total, count = np.zeros((rows, langs)), np.zeros(rows)
+        return np.full(rows, -1), np.zeros(rows), np.ones(rows, bool)
+    total, count, known = np.zeros((rows, langs)), np.zeros(rows), np.zeros(rows)
     for _, row, g in _grams(data, offsets):
         cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         for own in g:
-            total[row[cut]] += np.add.reduceat(model.logits[own], cut, axis=0)
-            count[row[cut]] += np.add.reduceat((own != none).astype(np.int64), cut)
+            total[row[cut]] += np.add.reduceat(model.logits[own >> (KNOWN_BITS - BITS)], cut, axis=0)
+            count[row[cut]] += np.add.reduceat((own != _NONE).astype(np.int64), cut)
+            known[row[cut]] += np.add.reduceat(model.known[own].astype(np.int64), cut)
     p = _softmax((total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature)
     best = p.argmax(1)
     letters = _has_letter(data, offsets)
-    return np.where(letters, best, -1), np.where(letters, p[np.arange(rows), best], 0.0)
+    return np.where(letters, best, -1), np.where(letters, p[np.arange(rows), best], 0.0), ~letters | (_known_share(known, count) < model.reject_below)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, lang_score and lang_rejected instead of columns of those names."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
     docs = docs.select(*kept)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x languages, and 2 MB of known n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.langs, UNKNOWN], dtype=object)
         for batch in batches:
             data, offsets = kernel.buffers(batch.column(batch.schema.get_field_index("text")))
-            best, score = predict_texts(data, offsets, m)
+            best, score, rejected = predict_texts(data, offsets, m)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names[best], pa.string()), pa.array(score), pa.array((best < 0) | (score < m.reject_below))],
+                [*batch.columns, pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)],
                 [*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"],
             )
 

@@ -106,6 +106,20 @@ def test_language_on_rows_kept_from_training(spark):
     assert langid.stage(docs).columns == docs.columns
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    junk = ["xqzjv kwpfg hjkqw zzxcv bnmqp wrtyp sdfgh", "Все люди рождаются свободными и равными", "人人生而自由在尊严和权利上一律平等", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności", "Zqxw " * 50_000]
+    model = langid.train(docs)
+    assert langid.predict(table(spark, list(enumerate(junk))).drop("lang"), model).where("lang_rejected").count() == len(junk)
+    for unlearned in ("de", "es", "fr"):
+        learned = docs.withColumn("lang", F.when(F.col("lang") != unlearned, F.col("lang")))
+        got = langid.predict(docs, langid.train(learned))
+        share = {r.other: r.share for r in got.groupBy((F.col("lang") == unlearned).alias("other")).agg(F.avg(F.col("lang_rejected").cast("int")).alias("share")).collect()}
+        assert share[True] > 0.95 and share[False] < 0.01, (unlearned, share)
+
+
 def test_language_of_odd_tables(spark):
     rows = langid.query(with_lang(spark)).collect()
     got = {r.doc_id: (r.lang_pred, r.score) for r in rows}
