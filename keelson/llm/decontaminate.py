@@ -1,20 +1,22 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by seeds that miss no overlap.
 
-Texts are read as lower-case words of letters and digits. A seed is a fixed mask over SPAN
-consecutive words that looks at some positions and ignores the others, so it still hits
-where an ignored word was replaced. All windows of all benchmark items are hashed under
-every mask, and so are all windows of all documents; the two are joined on the hash. Around
-each hit the words of item and document are laid side by side on the hit's diagonal, and
-the overlap is verified: over all places of the item that have a place in the document, at
-least ``min_match`` words must be equal in the best stretch of ``min_words`` words (of all
-the item's words, where it has fewer).
+Texts are read as lower-case words of letters and digits. An overlap lays the words of item
+and document side by side on a diagonal: over all places of the item that have a place in
+the document, at least ``min_match`` words must be equal in the best stretch of
+``min_words`` words (of all the item's words, where it has fewer).
+
+A stretch with at most k unequal words has a run of equal words of at least (its equal
+words) / (k + 1): three words for 10 of 13. Runs of that length are the seeds. All of the
+items' are hashed, and all of the documents'; the two are joined on the hash. A stretch
+holds stretch + 1 - run * (k + 1) seeds at least (the q-gram lemma), so diagonals with fewer
+hits are left; all others are verified word by word.
 
 The benchmark is the small side. Up to BROADCAST_WORDS words it is sent to all tasks and
 documents stay where they are; beyond, hashes of both sides meet in a shuffle, and only the
 documents that hit are read again for verification. Both ways give the same result.
 
-Defined results: a null or empty text, or item, overlaps with nothing; items of fewer than
-SHORTEST words, or without an id, are not looked for. Rows without an id are not reported
+Defined results: a null or empty text, or item, overlaps with nothing; items of one word,
+or without an id, are not looked for. Rows without an id are not reported
 (the stage drops them by their own text, unless the benchmark is too large to broadcast:
 then they stay); repeated rows are reported once. An empty table gives no rows. Extra
 columns do not matter.
@@ -33,13 +35,15 @@ from pyspark.sql import functions as F
 
 from keelson.llm import kernel
 
-# The masks; 1 looks at a word, 0 ignores it. Each looks at 8 of 12 words.
-MASKS = ("110110110101", "111001101011", "101111001101", "111111110000")
-SPAN = 12
+# The seeds of the limits below, as masks of 12 places; 1 looks at a word, 0 ignores it. Runs of two words serve items of 2, 4, 5 and 8.
+MASKS = ("111000000000", "110000000000")
+SPAN = 3
 #: Words in a verified stretch, and the least share of them that must be equal.
 MIN_WORDS, MIN_MATCH = 13, 0.75
-#: Items with fewer words have no window and are left out.
-SHORTEST = 8
+#: Items of one word would be found in every document that has the word.
+SHORTEST = 2
+#: Hits of seeds that are held at a time.
+HITS = 1 << 20
 #: Words of the benchmark up to which it is broadcast: 100 bytes each at most, in all.
 BROADCAST_WORDS = 2_000_000
 _BITS = 20
@@ -73,9 +77,14 @@ def seed_hashes(h: np.ndarray, mask: str, number: int) -> np.ndarray:
     return out ^ (out >> kernel.U(29))
 
 
-def _short_masks(n: int) -> list[str]:
-    """Items of SHORTEST to SPAN - 1 words have one window, under masks cut to their length."""
-    return [m[:n] for m in MASKS]
+def seed_rule(n: int, min_words: int, min_match: float) -> tuple[int, int]:
+    """(words of a seed, least seeds in an accepted stretch) for an item of n words."""
+    stretch = min(min_words, n)
+    # the share that verify() asks for, in whole words
+    need = next((x for x in range(1, stretch + 1) if x >= min_match * stretch), stretch)
+    gaps = stretch - need + 1
+    run = -(-need // gaps)
+    return run, max(1, stretch + 1 - run * gaps)
 
 
 @dataclass
@@ -83,38 +92,28 @@ class Benchmark:
     ids: np.ndarray
     words: np.ndarray
     first: np.ndarray
-    #: sorted seed hashes, with item and position
-    seeds: np.ndarray
-    item: np.ndarray
-    at: np.ndarray
-    bitmap: np.ndarray
+    #: for each length of a seed: its sorted hashes, with item and position, and a bitmap of their upper bits
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    #: least hits on a diagonal, for each item
+    least: np.ndarray
 
     @staticmethod
-    def of(ids: np.ndarray, words: np.ndarray, first: np.ndarray) -> Benchmark:
-        seeds, item, at = [], [], []
+    def of(ids: np.ndarray, words: np.ndarray, first: np.ndarray, min_words: int, min_match: float) -> Benchmark:
+        least, parts = np.ones(len(ids), np.int64), {}
         for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-            for number, mask in _masks_of(b - a):
-                s = seed_hashes(words[a:b], mask, number)
-                seeds.append(s)
-                item.append(np.full(len(s), i))
-                at.append(np.arange(len(s)))
-        cat = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)]).astype(kind)
-        seeds, item, at = cat(seeds, kernel.U), cat(item, np.int64), cat(at, np.int64)
-        order = np.argsort(seeds, kind="stable")
-        bitmap = np.zeros(1 << _BITS, bool)
-        bitmap[(seeds >> kernel.U(64 - _BITS)).astype(np.int64)] = True
-        return Benchmark(ids, words, first, seeds[order], item[order], at[order], bitmap)
-
-    def lengths(self) -> list[int]:
-        n = np.diff(self.first)
-        return sorted({int(x) for x in n if SHORTEST <= x < SPAN})
-
-
-def _masks_of(n: int) -> list[tuple[int, str]]:
-    """(number, mask) of the masks for an item of n words."""
-    if n >= SPAN:
-        return list(enumerate(MASKS))
-    return [(n * len(MASKS) + k, m) for k, m in enumerate(_short_masks(n))] if n >= SHORTEST else []
+            if b - a >= SHORTEST:
+                run, least[i] = seed_rule(b - a, min_words, min_match)
+                parts.setdefault(run, []).append((seed_hashes(words[a:b], "1" * run, run), i))
+        seeds = {}
+        for run, own in parts.items():
+            h = np.concatenate([x for x, _ in own])
+            item = np.repeat([i for _, i in own], [len(x) for x, _ in own])
+            at = np.concatenate([np.arange(len(x)) for x, _ in own])
+            order = np.argsort(h, kind="stable")
+            bitmap = np.zeros(1 << _BITS, bool)
+            bitmap[(h >> kernel.U(64 - _BITS)).astype(np.int64)] = True
+            seeds[run] = h[order], item[order], at[order], bitmap
+        return Benchmark(ids, words, first, seeds, least)
 
 
 def verify(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, min_words: int = MIN_WORDS, min_match: float = MIN_MATCH) -> tuple[int, int]:
@@ -137,30 +136,34 @@ def verify(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, min_words:
 
 def find(words: np.ndarray, first: np.ndarray, b: Benchmark, min_words: int, min_match: float) -> list[tuple[int, int, int, int]]:
     """(row, item, most equal words in a stretch, equal words) of all verified overlaps."""
-    masks = dict(_masks_of(SPAN)) | {number: m for n in b.lengths() for number, m in _masks_of(n)}
-    rows, items, diagonals = [], [], []
-    row_of = lambda at: np.searchsorted(first, at, "right") - 1
-    for number, mask in masks.items():
-        s = seed_hashes(words, mask, number)
-        hit = np.flatnonzero(b.bitmap[(s >> kernel.U(64 - _BITS)).astype(np.int64)])
-        if not len(hit):
-            continue
-        row = row_of(hit)
-        hit = hit[hit + len(mask) <= first[row + 1]]
-        lo, hi = np.searchsorted(b.seeds, s[hit], "left"), np.searchsorted(b.seeds, s[hit], "right")
-        hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        if not len(hit):
-            continue
-        which = kernel.ranges(lo, n)
-        where = np.repeat(hit, n)
-        row = row_of(where)
-        rows.append(row)
-        items.append(b.item[which])
-        diagonals.append(where - first[row] - b.at[which])
-    if not rows:
+    # rows are laid out with the longest item's words between them, so no two rows share a diagonal
+    longest = int(np.diff(b.first).max(initial=0))
+    shift = first[:-1] + np.arange(1, len(first)) * longest
+    width = len(words) + (len(first) + 1) * longest
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for run, (seeds, own_item, own_at, bitmap) in b.seeds.items():
+        s = seed_hashes(words, "1" * run, run)
+        hit = np.flatnonzero(bitmap[(s >> kernel.U(64 - _BITS)).astype(np.int64)])
+        row = np.searchsorted(first, hit, "right") - 1
+        hit, row = hit[hit + run <= first[row + 1]], row[hit + run <= first[row + 1]]
+        lo, hi = np.searchsorted(seeds, s[hit], "left"), np.searchsorted(seeds, s[hit], "right")
+        hit, row, lo, n = hit[hi > lo], row[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        round_of = np.cumsum(n) // HITS
+        edges = [0, *(np.flatnonzero(np.diff(round_of)) + 1), len(hit)]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            which = kernel.ranges(lo[x:y], n[x:y])
+            diagonal = np.repeat(hit[x:y] - first[row[x:y]] + shift[row[x:y]], n[x:y]) - own_at[which]
+            more, hits = np.unique(own_item[which] * width + diagonal, return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, hits]), len(keys)).astype(np.int64)
+    keys = keys[counts >= b.least[keys // width]]
+    if not len(keys):
         return []
-    # one diagonal counts once, however many windows hit on it
-    found = np.unique(np.column_stack([np.concatenate(rows), np.concatenate(items), np.concatenate(diagonals)]), axis=0)
+    item, diagonal = keys // width, keys % width
+    # a row's diagonals lie from shift - longest + 1 on
+    row = np.searchsorted(shift - longest, diagonal, "left") - 1
+    found = np.column_stack([row, item, diagonal - shift[row]])
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
     cut = np.flatnonzero(np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(1)]))
     out = []
     for lo, hi in zip(cut, [*cut[1:], len(found)], strict=True):
@@ -180,14 +183,14 @@ def _report(batch: pa.RecordBatch, found: list[tuple[int, int, int, int]], b: Be
     return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(b.ids[item]), pa.array(most), pa.array(equal), pa.array(n[item])], ["doc_id", "item_id", "matched_stretch", "matched_words", "item_words"])
 
 
-def _shared(docs: DataFrame, bench: DataFrame) -> object:
+def _shared(docs: DataFrame, bench: DataFrame, min_words: int, min_match: float) -> object:
     t = bench.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text").toArrow()
     words, first = _words(t["text"].combine_chunks())
-    return docs.sparkSession.sparkContext.broadcast(Benchmark.of(t["item_id"].to_numpy(), words, first))  # checked: BROADCAST_WORDS
+    return docs.sparkSession.sparkContext.broadcast(Benchmark.of(t["item_id"].to_numpy(), words, first, min_words, min_match))  # checked: BROADCAST_WORDS
 
 
 def _broadcast_hits(docs: DataFrame, bench: DataFrame, min_words: int, min_match: float) -> DataFrame:
-    shared = _shared(docs, bench)
+    shared = _shared(docs, bench, min_words, min_match)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
@@ -202,33 +205,37 @@ def _broadcast_hits(docs: DataFrame, bench: DataFrame, min_words: int, min_match
 
 def _shuffled_hits(docs: DataFrame, bench: DataFrame, min_words: int, min_match: float) -> DataFrame:
     """The other way, for a benchmark of any size: hashes meet in a shuffle, then the texts of the pairs that hit are verified."""
-    lengths = bench.select(F.col("item_id").alias("id"), "text").mapInArrow(_lengths, "n int").distinct()
-    sizes = sorted(r.n for r in lengths.collect())  # at most SPAN - SHORTEST numbers
+    lengths = bench.select(F.col("item_id").alias("id"), "text").mapInArrow(_lengths, "n long").distinct()
+    runs = sorted({seed_rule(r.n, min_words, min_match)[0] for r in lengths.collect()})  # lengths of items; no more than the longest has words
 
     def seeds(of_bench: bool) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 words, first = _words(batch.column(1))
                 for r, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                    masks = _masks_of(b - a) if of_bench else [*enumerate(MASKS), *(x for n in sizes for x in _masks_of(n))]
-                    for number, mask in masks:
-                        s = np.unique(seed_hashes(words[a:b], mask, number))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(s), r))), pa.array(s.view(np.int64))], ["id", "seed"])
+                    rule = seed_rule(b - a, min_words, min_match) if of_bench and b - a >= SHORTEST else (0, 0)
+                    for size in runs:
+                        if of_bench and size != rule[0]:
+                            continue
+                        s = seed_hashes(words[a:b], "1" * size, size)
+                        own = [batch.column(0).take(pa.array(np.full(len(s), r))), pa.array(s.view(np.int64)), pa.array(np.arange(len(s))), pa.array(np.full(len(s), rule[1]))]
+                        yield pa.RecordBatch.from_arrays(own, ["id", "seed", "at", "least"])
 
         return run
 
     d = docs.select("doc_id", "text").where("doc_id is not null")
     b = bench.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
-    left = d.mapInArrow(seeds(False), "id long, seed long").withColumnRenamed("id", "doc_id")
-    right = b.mapInArrow(seeds(True), "id long, seed long").withColumnRenamed("id", "item_id")
-    pairs = left.join(right, "seed").select("doc_id", "item_id").distinct()
+    left = d.mapInArrow(seeds(False), "id long, seed long, at long, least long").select(F.col("id").alias("doc_id"), "seed", F.col("at").alias("doc_at"))
+    right = b.mapInArrow(seeds(True), "id long, seed long, at long, least long").withColumnRenamed("id", "item_id")
+    hits = left.join(right, "seed").groupBy("doc_id", "item_id", F.col("doc_at") - F.col("at")).agg(F.count("*").alias("n"), F.min("least").alias("least"))
+    pairs = hits.where("n >= least").select("doc_id", "item_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, first = _words(batch.column(1))
             item_words, item_first = _words(batch.column(3))
             for r in range(len(batch)):
-                own = Benchmark.of(batch.column(2).slice(r, 1).to_numpy(), item_words[item_first[r] : item_first[r + 1]], np.array([0, item_first[r + 1] - item_first[r]]))
+                own = Benchmark.of(batch.column(2).slice(r, 1).to_numpy(), item_words[item_first[r] : item_first[r + 1]], np.array([0, item_first[r + 1] - item_first[r]]), min_words, min_match)
                 yield _report(batch.slice(r, 1), find(words[first[r] : first[r + 1]], np.array([0, first[r + 1] - first[r]]), own, min_words, min_match), own)
 
     return pairs.join(d, "doc_id").join(b, "item_id").select("doc_id", "text", "item_id", "item_text").mapInArrow(run, _HITS)
@@ -238,7 +245,7 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         _, first = _words(batch.column(1))
         n = np.unique(np.diff(first))
-        yield pa.RecordBatch.from_arrays([pa.array(n[(n >= SHORTEST) & (n < SPAN)].astype(np.int32))], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array(n[n >= SHORTEST])], ["n"])
 
 
 def overlaps(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS, min_match: float = MIN_MATCH, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -264,7 +271,7 @@ def stage(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS, min_mat
     if not _small(bench, broadcast_words):
         bad = overlaps(docs, bench, min_words, min_match, broadcast_words).select("doc_id").distinct()
         return docs.join(bad, "doc_id", "left_anti")
-    shared = _shared(docs, bench)
+    shared = _shared(docs, bench, min_words, min_match)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value

@@ -143,3 +143,48 @@ def test_seed_hashes_ignore_masked_words():
             other = h.copy()
             other[5 + p] += kernel.U(1)
             assert (decontaminate.seed_hashes(other, mask, number)[5] == want[5]) == (mask[p] == "0")
+
+
+def accepted(docs, items):
+    """Every item on every diagonal of every document, by MIN_MATCH alone."""
+    out = set()
+    for doc, text in docs:
+        d = words(text)
+        for item, item_text in items:
+            b = words(item_text)
+            stretch = min(decontaminate.MIN_WORDS, len(b))
+            for diagonal in range(-len(b) + 1, len(d)):
+                same = [0 <= k + diagonal < len(d) and d[k + diagonal] == w for k, w in enumerate(b)]
+                if max(sum(same[k : k + stretch]) for k in range(len(b) - stretch + 1)) >= decontaminate.MIN_MATCH * stretch:
+                    out.add((doc, item))
+    return out
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WORDS, 0])
+def test_no_accepted_overlap_is_missed(spark, limit):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [(n, " ".join(word() for _ in range(n))) for n in (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 20, 25, 59)]
+    copies = []
+    for _, text in items:
+        own = text.split()
+        copies += [[w if (k + phase) % every else word() for k, w in enumerate(own)] for every in (3, 4, 5) for phase in range(every)]
+        copies += [[word() if rng.random() < share else w for w in own] for share in (0, 0.1, 0.2) for _ in range(8)]
+        copies += [[word(), *own[1:]], own[:-3], own[3:]]
+    # at the start, in the middle and at the end of a document
+    docs = [(i, " ".join([word() for _ in range(i % 3 * 4)] + c + [word() for _ in range(i % 2 * 5)])) for i, c in enumerate(copies)]
+    docs.append((-1, " ".join(f"{text} {word()}" for _, text in items)))
+    want = accepted(docs, items)
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_words=limit)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert {n for _, n in want} == {n for n, _ in items}
+
+
+def test_hits_in_small_rounds_are_the_same(monkeypatch):
+    words = np.array([1, 2, 1, 1, 2, 1, 2, 1, 1, 1, 1, 2, 1, 2, 2] * 30, kernel.U)
+    first = np.array([0, 0, 100, 300, 300, 450])
+    b = decontaminate.Benchmark.of(np.arange(3), words[:60], np.array([0, 20, 25, 60]), 13, 0.75)
+    want = decontaminate.find(words, first, b, 13, 0.75)
+    monkeypatch.setattr(decontaminate, "HITS", 7)
+    assert decontaminate.find(words, first, b, 13, 0.75) == want
+    assert {(r, i) for r, i, _, _ in want} == {(r, i) for r in (1, 2, 4) for i in range(3)}
