@@ -16,9 +16,9 @@ documents stay where they are; beyond, hashes of both sides meet in a shuffle, a
 documents that hit are read again for verification. Both ways give the same result.
 
 Defined results: a null or empty text, or item, overlaps with nothing; items of one word,
-or without an id, are not looked for. Rows without an id are not reported
-(the stage drops them by their own text, unless the benchmark is too large to broadcast:
-then they stay); repeated rows are reported once. An empty table gives no rows. Extra
+or without an id, are not looked for. Rows without an id are not reported; the stage drops
+every row by its own text, whatever its id;
+repeated rows are reported once. An empty table gives no rows. Extra
 columns do not matter.
 """
 
@@ -174,13 +174,17 @@ def find(words: np.ndarray, first: np.ndarray, b: Benchmark, min_words: int, min
     return out
 
 
-_HITS = "doc_id long, item_id long, matched_stretch long, matched_words long, item_words long"
+def _hits(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_MATCH}"
+
+
+_MATCH = "item_id long, matched_stretch long, matched_words long, item_words long"
 
 
 def _report(batch: pa.RecordBatch, found: list[tuple[int, int, int, int]], b: Benchmark) -> pa.RecordBatch:
     row, item, most, equal = (np.array([x[k] for x in found], np.int64) for k in range(4))
     n = np.diff(b.first)
-    return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(b.ids[item]), pa.array(most), pa.array(equal), pa.array(n[item])], ["doc_id", "item_id", "matched_stretch", "matched_words", "item_words"])
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(b.ids[item]), pa.array(most), pa.array(equal), pa.array(n[item])], ["doc_id", "item_id", "matched_stretch", "matched_words", "item_words"])
 
 
 def _shared(docs: DataFrame, bench: DataFrame, min_words: int, min_match: float) -> object:
@@ -200,7 +204,7 @@ def _broadcast_hits(docs: DataFrame, bench: DataFrame, min_words: int, min_match
                 part = batch.slice(lo, hi - lo)
                 yield _report(part, find(*_words(part.column(1)), b, min_words, min_match), b)
 
-    return docs.mapInArrow(run, _HITS)
+    return docs.mapInArrow(run, _hits(docs))
 
 
 def _shuffled_hits(docs: DataFrame, bench: DataFrame, min_words: int, min_match: float) -> DataFrame:
@@ -225,7 +229,7 @@ def _shuffled_hits(docs: DataFrame, bench: DataFrame, min_words: int, min_match:
 
     d = docs.select("doc_id", "text").where("doc_id is not null")
     b = bench.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
-    left = d.mapInArrow(seeds(False), "id long, seed long, at long, least long").select(F.col("id").alias("doc_id"), "seed", F.col("at").alias("doc_at"))
+    left = d.mapInArrow(seeds(False), f"id {d.schema['doc_id'].dataType.simpleString()}, seed long, at long, least long").select(F.col("id").alias("doc_id"), "seed", F.col("at").alias("doc_at"))
     right = b.mapInArrow(seeds(True), "id long, seed long, at long, least long").withColumnRenamed("id", "item_id")
     hits = left.join(right, "seed").groupBy("doc_id", "item_id", F.col("doc_at") - F.col("at")).agg(F.count("*").alias("n"), F.min("least").alias("least"))
     pairs = hits.where("n >= least").select("doc_id", "item_id").distinct()
@@ -238,7 +242,7 @@ def _shuffled_hits(docs: DataFrame, bench: DataFrame, min_words: int, min_match:
                 own = Benchmark.of(batch.column(2).slice(r, 1).to_numpy(), item_words[item_first[r] : item_first[r + 1]], np.array([0, item_first[r + 1] - item_first[r]]), min_words, min_match)
                 yield _report(batch.slice(r, 1), find(words[first[r] : first[r + 1]], np.array([0, first[r + 1] - first[r]]), own, min_words, min_match), own)
 
-    return pairs.join(d, "doc_id").join(b, "item_id").select("doc_id", "text", "item_id", "item_text").mapInArrow(run, _HITS)
+    return pairs.join(d, "doc_id").join(b, "item_id").select("doc_id", "text", "item_id", "item_text").mapInArrow(run, _hits(d))
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,8 +273,10 @@ def _small(bench: DataFrame, broadcast_words: int) -> bool:
 def stage(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS, min_match: float = MIN_MATCH, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """The documents whose text has no overlap; with a small benchmark they are filtered in place."""
     if not _small(bench, broadcast_words):
-        bad = overlaps(docs, bench, min_words, min_match, broadcast_words).select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
+        # a text is known by 128 bits of its digest, so ids do not matter
+        key = F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
+        bad = _shuffled_hits(docs.select(key.alias("doc_id"), "text"), bench.select(F.col("item_id").cast("long").alias("item_id"), "text"), min_words, min_match)
+        return docs.join(bad.select("doc_id").distinct().withColumnRenamed("doc_id", "_leak"), key == F.col("_leak"), "left_anti")
     shared = _shared(docs, bench, min_words, min_match)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -188,3 +188,17 @@ def test_hits_in_small_rounds_are_the_same(monkeypatch):
     monkeypatch.setattr(decontaminate, "HITS", 7)
     assert decontaminate.find(words, first, b, 13, 0.75) == want
     assert {(r, i) for r, i, _, _ in want} == {(r, i) for r in (1, 2, 4) for i in range(3)}
+
+
+def test_stage_is_the_same_for_any_size(spark):
+    docs, items = planted()
+    docs += [(None, docs[3][1]), (None, items[1][1]), (None, None), (3, items[0][1]), (3, docs[3][1]), (7, None), (7, items[1][1])]
+    bad = {text for (_, text), hit in zip(docs, [accepted([(0, t)], [(i, x) for i, x in items if i is not None and len(words(x)) > 1]) for _, t in docs], strict=True) if hit}
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((r for r in docs if r[1] not in bad), key=str)
+    assert len(bad) > 10 and sum(i is None for i, _ in want) == 2
+    for limit in (decontaminate.BROADCAST_WORDS, 0):
+        kept = decontaminate.stage(d, b, broadcast_words=limit)
+        assert kept.columns == d.columns
+        assert sorted((tuple(r) for r in kept.collect()), key=str) == want
