@@ -5,8 +5,8 @@ Base kinds are found by patterns, leftmost and without overlaps, each kind on it
 more) and ``hex`` (a run of 32 or more hex digits).
 
 Linking adds credentials whose parts are weak alone. Parts are access identifiers (access
-ids, and names given to a user, login or client id), secret candidates (long strings that
-mix cases and digits) and endpoints (URLs, host:port, IPv4 addresses). Each part is an
+ids, and names given to a user, login or client id), secret candidates (strings of 20 or more
+that mix cases and digits, of any length) and endpoints (URLs, host:port, IPv4 addresses). Each part is an
 interval of the text. Candidates are joined with the identifiers and the endpoints whose
 interval lies within ``scope`` code points of theirs, in the same document, and a candidate
 is reported, with its partners, only if both other parts are there. The join runs as a
@@ -38,9 +38,9 @@ ASSIGN = f"({_KEY})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{32,}"
 
-# The patterns of weak parts.
-IDENTIFIER = r"(?<![A-Za-z0-9_])(?:[uU]ser(?:name)?|[lL]ogin|[cC]lient_?[iI]d|[aA]ccess_?[kK]ey_?[iI]d|USER|LOGIN|CLIENT_ID|ACCESS_KEY_ID)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9_.@-]{3,64}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,127}[0-9])(?=[A-Za-z0-9+/_=-]{0,127}[A-Z])(?=[A-Za-z0-9+/_=-]{0,127}[a-z])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])"
+# The patterns of weak parts. A candidate starts where its run does, so a run is read a fixed number of times, however long.
+IDENTIFIER = r"(?<![A-Za-z0-9_])(?:[uU]ser(?:name)?|[lL]ogin|[cC]lient_?[iI]d|[aA]ccess_?[kK]ey_?[iI]d|USER|LOGIN|CLIENT_ID|ACCESS_KEY_ID)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9_.@-]{3,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Z])(?=[A-Za-z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"(?<![A-Za-z0-9.-])(?:https?://[A-Za-z0-9.-]{3,253}(?::[0-9]{1,5})?|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.])|[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}:[0-9]{2,5}(?![0-9]))"
 
 BASE = ("assign", "access", "hex")

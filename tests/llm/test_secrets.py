@@ -97,6 +97,22 @@ def test_redact(spark):
         assert got[i].n_chars == len(got[i].text)
 
 
+def test_long_parts_are_whole(spark):
+    texts, want = [], {}
+    for i, (n, m) in enumerate([(20, 3), (128, 64), (129, 65), (400, 300), (300_000, 100_000)]):
+        secret, name = ("x" * (n - 2) + "Z9")[:n], "n" * m
+        head, mid = f"é login: {name} ", " 10.0.0.1:80"
+        texts.append((i, head + secret + mid))
+        want[i] = f"linked_id:2:{len(head) - 1},linked_secret:{len(head)}:{len(head) + n},linked_endpoint:{len(head) + n + 1}:{len(texts[-1][1])}"
+        # without a digit, or without upper case, a run is no secret
+        texts += [(100 + i, head + "xZ" * n + mid), (200 + i, head + "x9" * n + mid)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.query(docs).collect()}
+    assert got == {i: want.get(i, "") for i, _ in texts}
+    hidden = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert all(("[secret]" in hidden[i]) == (i in want) and (i not in want or "Z9" not in hidden[i]) for i, _ in texts)
+
+
 def test_plan_has_no_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for df in (secrets.query(docs), secrets.redact(docs)):
