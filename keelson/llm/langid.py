@@ -203,12 +203,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         names = np.array([*m.langs, UNKNOWN], dtype=object)
         for batch in batches:
-            data, offsets = kernel.buffers(batch.column(batch.schema.get_field_index("text")))
-            best, score, rejected = predict_texts(data, offsets, m)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)],
-                [*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"],
-            )
+            _, ends = kernel.buffers(batch.column(batch.schema.get_field_index("text")))
+            # by slices, so that working memory does not follow the batch
+            for lo, hi in kernel.row_slices(ends):
+                part = batch.slice(lo, hi - lo)
+                data, offsets = kernel.buffers(part.column(part.schema.get_field_index("text")))
+                best, score, rejected = predict_texts(data, offsets, m)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)],
+                    [*part.schema.names, "lang_pred", "lang_score", "lang_rejected"],
+                )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_rejected boolean")
