@@ -7,8 +7,9 @@ is a text's fingerprint. A text without chains has the hash of its words, or of
 lower-case text if it has no word, as its only signature; the empty text has none.
 
 Likeness is the Jaccard coefficient of two sets. As it cannot exceed the ratio of their
-sizes, sets are partitioned by size, and pairs whose sizes differ by more than the threshold
-allows are left out before any intersection.
+sizes, similar_pairs partitions sets by size and leaves out pairs whose sizes differ by more
+than its threshold allows, before any intersection. The query asks for no threshold; its
+likenesses are exact.
 
 Defined results: a null text counts as empty; two empty fingerprints are alike (1). Rows are
 ordered by doc_id, then text; a null id comes first. Repeated rows each get a result. An
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from keelson.llm.common import materialize
 
 CHAIN = 2
-#: Below this ratio of sizes two sets count as unlike (0) without a closer look.
-LEAST = 0.05
+#: Ratio of sizes below which the query's likenesses would be 0 without a closer look: none is.
+LEAST = 0.0
 #: Documents in a bucket of neighbours, about, and buckets at most.
 BUCKET_DOCS, BUCKETS = 400, 20_000
 

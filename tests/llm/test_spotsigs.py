@@ -58,6 +58,14 @@ def test_odd_rows(spark):
     check(spotsigs.query(docs.where("doc_id = 5")).collect(), [t for t in texts if t[0] == 5])
 
 
+def test_a_short_text_beside_a_long_one_has_its_exact_likeness(spark):
+    texts = [(1, "the first word0 of it"), (2, " ".join(f"the word{i} more{i}" for i in range(100)) + " the first word0")]
+    a, b = (chains(t) for _, t in texts)
+    got = {r.doc_id: r.near_next for r in spotsigs.query(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert 0 < jaccard(a, b) < 0.02
+    assert got == pytest.approx({1: jaccard(a, b), 2: jaccard(a, b)}, abs=1e-9)
+
+
 @pytest.mark.parametrize("size", [1, 3])
 def test_small_buckets(spark, size, monkeypatch):
     texts = [(i * i - 50, f"the word{i} of thing{i % 7} and more{i % 3}") for i in range(90)]
