@@ -183,7 +183,7 @@ def encode(data: np.ndarray, offsets: np.ndarray, tokenizer: object, pool: kerne
     def fresh(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return encode_parts([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)], tokenizer)
 
-    place, counts = pool.find(h, fresh)
+    place, counts = pool.find(kernel.Units(data, start, end, h), fresh)
     return pool.ids[ranges(place, counts)], np.concatenate([[0], np.cumsum(counts)])[first]
 
 

@@ -7,6 +7,7 @@ that working memory follows the piece and not the batch or the longest text.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Bytes handled by one round of numpy calls.
 PIECE = 1 << 19
-_P = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
+#: Places in a unit that have random values of their own; later ones mix the same values once more.
+_NEAR = 64
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,12 +52,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > len(_powers.get("p", ())):
-        size = max(n, PIECE + 1)
-        _powers["p"] = np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, _P, U)]))
-        _powers["i"] = np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, pow(_P, -1, 1 << 64), U)]))
-    return _powers["p"][:n], _powers["i"][:n]
+_VALUES = mix(np.arange(1, _NEAR * 256 + 1, dtype=U) * U(0x9E3779B97F4A7C15)).reshape(-1)
+
+
+def _sums_of(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Running sums over b of a random number for each byte and its place in its unit; starts are those of the units, ascending.
+
+    Tabulation: no algebra between places, so no pattern of bytes makes two units meet but by chance.
+    """
+    step = np.zeros(len(b), np.int32)
+    if len(starts):
+        step[starts] = np.diff(starts, prepend=0)
+    place = np.arange(len(b), dtype=np.int32) - np.cumsum(step, dtype=np.int32)
+    far = np.flatnonzero(place >= _NEAR)
+    values = _VALUES[((place & (_NEAR - 1)) << 8) + b]
+    if len(far):
+        values[far] = mix(values[far] ^ ((place[far] // _NEAR).astype(U) * U(0xA0761D6478BD642F)))
+    total = np.empty(len(b) + 1, U)
+    total[0] = 0
+    np.cumsum(values, out=total[1:])
+    return total
 
 
 def table(members: bytes | set[int]) -> np.ndarray:
@@ -111,12 +126,8 @@ def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACES, lower
         stop[-1] = True
         stop[:-1] = fresh[1:] | ~inside[1:]
         e = np.flatnonzero(inside & stop) + 1
-        power, inverse = _power(hi - lo + 1)
-        total = np.empty(hi - lo + 1, U)
-        total[0] = 0
-        np.cumsum((lower[b].astype(U) + U(1)) * power[:-1], out=total[1:])
-        h = (total[e] - total[s]) * inverse[s]
-        hashes.append(mix(h + (e - s).astype(U)))
+        total = _sums_of(lower[b], s)
+        hashes.append(mix(total[e] - total[s] + (e - s).astype(U)))
         starts.append(s + lo)
         ends.append(e + lo)
     cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
@@ -138,18 +149,10 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out + U(n))
 
 
-def distinct_shingles(h: np.ndarray, n: int) -> np.ndarray:
-    """The distinct shingle hashes of one text, ascending: with fewer than n words the whole sequence is one shingle; none without words."""
-    return np.unique(shingles(h, min(n, len(h)))) if len(h) else np.zeros(0, U)
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the byte ranges data[starts[i]:ends[i]], as they are."""
-    power, inverse = _power(len(data) + 1)
-    total = np.empty(len(data) + 1, U)
-    total[0] = 0
-    np.cumsum((data.astype(U) + U(1)) * power[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U))
+    """Hashes of the byte ranges data[starts[i]:ends[i]], as they are; ranges ascend and do not overlap."""
+    total = _sums_of(data, starts)
+    return mix(total[ends] - total[starts] + (ends - starts).astype(U))
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -161,24 +164,52 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
+@dataclass
+class Units:
+    """Byte ranges of a text that a pool is asked for, with their hashes; ranges ascend and do not overlap."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.hashes = np.where(self.hashes == 0, U(1), self.hashes)
+        self.size = self.ends - self.starts
+        #: The first and the last 8 bytes (of shorter units the whole, then zeros): with the size they are a unit of up to 16 bytes.
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        words = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+        self.head = words[self.starts] & _LOW[np.minimum(self.size, 8)]
+        self.tail = words[np.maximum(self.ends - 8, self.starts)] & _LOW[np.minimum(self.size, 8)]
+
+    def bytes_of(self, which: np.ndarray) -> np.ndarray:
+        return self.data[ranges(self.starts[which], self.size[which])]
+
+
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+
+
 class Pool:
-    """Ids of the distinct units that a worker met, by the units' hashes (never 0); forgets all beyond ``limit`` units.
+    """Ids of the distinct units that a worker met; forgets all beyond ``limit`` units or ``room`` bytes of long units.
 
-    An open hash table in numpy arrays, probed for all keys in step.
+    An open hash table in numpy arrays, probed for all keys in step. A hit counts only if the units' bytes are the same;
+    a unit that meets another one's hash is encoded on its own.
     """
 
-    def __init__(self, limit: int = 1_000_000) -> None:
-        self.limit = limit
+    def __init__(self, limit: int = 1_000_000, room: int = 1 << 26) -> None:
+        self.limit, self.room = limit, room
         self.clear()
 
     def clear(self) -> None:
-        self.units = self.used = 0
+        self.units = self.used = self.long_used = 0
         self.keys, self.where = np.zeros(1 << 17, U), np.zeros(1 << 17, np.int32)
         self.ids = np.zeros(1 << 16, np.int32)
-        self.at = np.zeros((1 << 16, 2), np.int64)
+        self.at = np.zeros((1 << 16, 3), np.int64)  # of ids: start, length; start of a long unit's bytes
+        self.size, self.head, self.tail = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, U), np.zeros(1 << 16, U)
+        self.long = np.zeros(1 << 16, np.uint8)
 
     def __reduce__(self) -> tuple:
-        return Pool, (self.limit,)
+        return Pool, (self.limit, self.room)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, or the empty slot where its search ends."""
@@ -201,34 +232,69 @@ class Pool:
             rest[first] = False
             keys, values = keys[rest], values[rest]
 
-    def find(self, keys: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """(start in self.ids, length) for each key; ``encode`` gets a place of each distinct new key, and returns their ids and offsets."""
-        keys = np.where(keys == 0, U(1), keys)
-        slot = self._slots(keys)
+    def _append(self, ids: np.ndarray) -> int:
+        """Where ids are kept from now on."""
+        start = self.used
+        self.ids = _grown(self.ids, start + len(ids))
+        self.ids[start : start + len(ids)] = ids
+        self.used += len(ids)
+        return start
+
+    def _add(self, units: Units, new: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> None:
+        ids, at = encode(new)
+        n, m = self.units, self.units + len(new)
+        self.at, self.size, self.head, self.tail = (_grown(x, m) for x in (self.at, self.size, self.head, self.tail))
+        if 2 * m > len(self.keys):
+            held = self.keys != 0
+            old, values = self.keys[held], self.where[held]
+            size = 1 << (4 * m).bit_length()
+            self.keys, self.where = np.zeros(size, U), np.zeros(size, np.int32)
+            self._put(old, values)
+        self.at[n:m, 0] = at[:-1] + self._append(ids)
+        self.at[n:m, 1] = np.diff(at)
+        self.size[n:m], self.head[n:m], self.tail[n:m] = units.size[new], units.head[new], units.tail[new]
+        bytes_ = np.where(units.size[new] > 16, units.size[new], 0)
+        self.at[n:m, 2] = self.long_used + np.cumsum(bytes_) - bytes_
+        body = units.bytes_of(new[bytes_ > 0])
+        self.long = _grown(self.long, self.long_used + len(body))
+        self.long[self.long_used : self.long_used + len(body)] = body
+        self.long_used += len(body)
+        self.units = m
+        self._put(units.hashes[new], np.arange(n, m, dtype=np.int32))
+
+    def _other(self, units: Units, found: np.ndarray) -> np.ndarray:
+        """The units whose bytes are not those of the unit found for them."""
+        bad = (self.head[found] != units.head) | (self.tail[found] != units.tail) | (self.size[found] != units.size)
+        long = np.flatnonzero((units.size > 16) & ~bad)
+        if len(long):
+            n = units.size[long]
+            apart = self.long[ranges(self.at[found[long], 2], n)] != units.bytes_of(long)
+            bad[long[np.add.reduceat(apart, np.cumsum(n) - n) > 0]] = True
+        return np.flatnonzero(bad)
+
+    def find(self, units: Units, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(start in self.ids, length) for each unit; ``encode`` gets places of units, and returns their ids and offsets."""
+        slot = self._slots(units.hashes)
         new = np.flatnonzero(self.keys[slot] == 0)
         if len(new):
-            fresh, first = np.unique(keys[new], return_index=True)
-            if self.units + len(fresh) > self.limit and self.units:
+            _, first = np.unique(units.hashes[new], return_index=True)
+            new = new[first]
+            if self.units and (self.units + len(new) > self.limit or self.long_used + int(units.size[new].sum()) > self.room):
                 self.clear()
-                return self.find(keys, encode)
-            ids, at = encode(new[first])
-            n = self.units
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + len(fresh) > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            if 2 * (n + len(fresh)) > len(self.keys):
-                held = self.keys != 0
-                old, values = self.keys[held], self.where[held]
-                size = 1 << (4 * (n + len(fresh))).bit_length()
-                self.keys, self.where = np.zeros(size, U), np.zeros(size, np.int32)
-                self._put(old, values)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.at[n : n + len(fresh), 0] = at[:-1] + self.used
-            self.at[n : n + len(fresh), 1] = np.diff(at)
-            self.used += len(ids)
-            self.units += len(fresh)
-            self._put(fresh, np.arange(n, n + len(fresh), dtype=np.int32))
-            slot = self._slots(keys)
+                return self.find(units, encode)
+            self._add(units, new, encode)
+            slot = self._slots(units.hashes)
         found = self.where[slot]
-        return self.at[found, 0], self.at[found, 1]
+        start, length = self.at[found, 0], self.at[found, 1]
+        odd = self._other(units, found)
+        if len(odd):
+            ids, at = encode(odd)
+            start[odd], length[odd] = at[:-1] + self._append(ids), np.diff(at)
+        return start, length
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    """x, or a copy with room for n rows."""
+    if n <= len(x):
+        return x
+    return np.concatenate([x, np.zeros((max(len(x), n - len(x)), *x.shape[1:]), x.dtype)])
