@@ -61,9 +61,17 @@ def put(path: str, content: bytes) -> None:
     fs.move(temp, at)
 
 
-def null_safe(a: str | Column, b: str | Column) -> Column:
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return a.eqNullSafe(b)
+#: Rows of a batch that Python gets at a time; whole texts make them large.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches held at BATCH_ROWS rows: memory of the JVM and of Python workers follows a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 def crc_mod(column: str, n: int) -> Column:

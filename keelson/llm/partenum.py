@@ -4,10 +4,14 @@ A text's set are its distinct shingles of ``n`` words. Sizes are cut into bands;
 the sizes that sets of the band can link with form an instance. In an instance linked sets
 differ in at most k shingles. PartEnum cuts the domain of shingles into n1 partitions, each
 into n2 = 2 smaller ones, and gives a set a signature for every choice of n2 - 1 of the smaller
-ones in each partition: the hash of its shingles there. With more than k + MORE smaller
-partitions in all, linked sets have more than MORE signatures in common. Signatures of
-partitions in which a set has nothing are left out where it has at most MORE of them; linked
-sets then still share another one.
+ones in each partition: the hash of its shingles there. With k + 1 + spare smaller partitions in
+all, linked sets have spare + 1 signatures in common at least, so each set may leave out spare of
+its own, if all sets leave out those that come first in one order of all signatures. The order
+puts first what is common: partitions in which a set has nothing, then signatures that many
+texts have (a passage that they share fills a partition). Half of the spare ones go before
+signatures are shuffled, by counts in a table of fixed size that all tasks share; the others go
+by exact counts, when runs are known: so sets become candidates only if they share more
+signatures than a passage gives them. Orders change the work, never the result.
 
 Texts with equal sets are one class from the start. Classes that share a signature are
 candidates. Not all pairs of such a run are made: first each class is compared with one other,
@@ -17,6 +21,7 @@ that, another one each round; where then still is more than one, with all the re
 components only. Candidates are pruned without loss by size and by parity sketches (two sets
 differ in at least as many shingles as their sketches in bits), and the others verified on the
 shingles themselves: a link needs 100 * intersection >= percent * union, in whole numbers.
+Runs of signatures that the table knows as hot are dealt out in parts.
 
 Sets are known by 64-bit hashes of shingles (40 bits where two sets are compared) and of the
 whole set; a second hash tells if two sets met in one, which is an error.
@@ -38,11 +43,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keelson.llm import kernel
-from keelson.llm.common import materialize
+from keelson.llm.common import materialize, small_batches
 
 U = kernel.U
-#: Signatures that linked sets share besides one; ratio of a band's ends.
+#: Signatures that a set may leave out are so many and half as many as linked sets may differ in shingles; ratio of a band's ends.
 MORE, WIDTH = 3, 1.3
+#: Upper bits of a signature that the table of counts goes by; powers of two of a count from which a run is dealt out in parts.
+BITS, SPLIT = 22, 10
+# A signature's lowest bits: 7 have its band, one tells if it is hot, 4 have the part that it is dealt out to.
+_BAND, _HOT, _PART_AT, _PART = 127, 128, 8, 15 << 8
 N2, K2 = 2, 1
 #: Least bits of the sketch that pairs are pruned by before their shingles are read; it grows with the set.
 WIDE = 1024
@@ -60,21 +69,26 @@ def bands(largest: int) -> np.ndarray:
     return np.array(out)
 
 
-def instances(size: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, instance, smaller partitions) of sets of the sizes, in turns: a set is in its own band's instance and in those of lower bands that reach up to it."""
+def plan(top: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(smaller partitions, signatures left out early, and later) for bands up to the sizes ``top``."""
+    k = top * (100 - percent) // percent
+    # sets that may not differ at all have one signature: all their shingles
+    parts = np.where(k > 0, -(-(k + 1 + MORE + k // 2) // (K2 + 1)) * N2, 1)
+    spare = parts - k - 1
+    return parts, spare // 2, spare - spare // 2
+
+
+def instances(size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, instance) of sets of the sizes, in turns: a set is in its own band's instance and in those of lower bands that reach up to it."""
     edges = bands(int(size.max(initial=1)))
     own = np.searchsorted(edges, size, "right") - 1
-    out, back = [], 0
+    back = 0
     while True:
         band = own - back
-        top = edges[np.maximum(band, 0) + 1] - 1
-        rows = np.flatnonzero((band >= 0) & (size > 0) & (size * percent <= top * 100))
+        rows = np.flatnonzero((band >= 0) & (size > 0) & (size * percent <= (edges[np.maximum(band, 0) + 1] - 1) * 100))
         if not len(rows):
-            return out
-        k = top[rows] * (100 - percent) // percent
-        n1 = -(-(k + 1 + np.where(k > 0, MORE, 0)) // (K2 + 1))
-        # sets that may not differ at all have one signature: all their shingles
-        out.append((rows, band[rows], np.where(k > 0, n1 * N2, 1)))
+            return
+        yield rows, band[rows]
         back += 1
 
 
@@ -111,24 +125,39 @@ def class_hash(shingles: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
     return kernel.mix(_sums(kernel.mix(shingles ^ U(salt)), np.repeat(np.arange(len(n)), n), len(n)) + n.astype(U))
 
 
-def signatures(shingles: np.ndarray, at: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, signature), instance by instance."""
-    size = np.diff(at)
+def _parts(shingles: np.ndarray, at: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, owner, rank in the owner, left out early by owner, signature, whether empty) of all smaller partitions, at most 65,536 owners at a time."""
     place, mixed = kernel.mix(shingles ^ U(0x5851F42D4C957F2D)), kernel.mix(shingles ^ U(0x14057B7EF767814F))
-    for rows, band, parts in instances(size, percent):
-        n = size[rows]
-        which = kernel.ranges(at[rows], n)
-        base = np.cumsum(parts) - parts
-        key = np.repeat(base, n) + (place[which] % np.repeat(parts, n).astype(U)).astype(np.int64)
-        total = int(parts.sum())
-        sums, count = _sums(mixed[which], key, total), np.bincount(key, minlength=total)
-        owner = np.repeat(np.arange(len(rows)), parts)
-        part = np.arange(total) - base[owner]
-        empty = count == 0
-        many = np.bincount(owner[empty], minlength=len(rows)) > MORE
-        kept = ~empty | many[owner]
-        mark = (band[owner].astype(U) << U(40)) + part.astype(U) + U(1)
-        yield rows[owner[kept]], kernel.mix(sums[kept] + kernel.mix(mark[kept]))
+    size = np.diff(at)
+    edges = bands(int(size.max(initial=1)))
+    for all_rows, all_bands in instances(size, percent):
+        for lo in range(0, len(all_rows), 1 << 16):
+            rows, band = all_rows[lo : lo + (1 << 16)], all_bands[lo : lo + (1 << 16)]
+            parts, early, _ = plan(edges[band + 1] - 1, percent)
+            n = size[rows]
+            which = kernel.ranges(at[rows], n)
+            base = np.cumsum(parts) - parts
+            key = np.repeat(base, n) + (place[which] % np.repeat(parts, n).astype(U)).astype(np.int64)
+            total = int(parts.sum())
+            owner = np.repeat(np.arange(len(rows)), parts)
+            rank = np.arange(total) - base[owner]
+            mark = (band[owner].astype(U) << U(40)) + rank.astype(U) + U(1)
+            sig = kernel.mix(_sums(mixed[which], key, total) + kernel.mix(mark))
+            yield rows, owner, rank, early, sig & ~U(_BAND | _HOT | _PART) | band[owner].astype(U), np.bincount(key, minlength=total) == 0
+
+
+def signatures(shingles: np.ndarray, at: np.ndarray, percent: int, levels: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, signature, level), instance by instance: without those left out early, that come first by level (of the table; 15: empty), then signature."""
+    for rows, owner, rank, early, sig, empty in _parts(shingles, at, percent):
+        level = np.zeros(len(sig), U) if levels is None else levels[(sig >> U(64 - BITS)).astype(np.int64)].astype(U)
+        level[empty] = 15
+        key = owner.astype(U) << U(48) | (U(15) - level) << U(44) | sig >> U(20)
+        order = np.argsort(key)
+        found = key[order]
+        if (found[1:] == found[:-1]).any():  # the lowest bits decide
+            order = np.lexsort((sig, U(15) - level, owner))
+        kept = order[rank >= early[owner]]  # owners keep their places in the order
+        yield rows[owner[kept]], sig[kept], level[kept].astype(np.int64)
 
 
 def sketch(shingles: np.ndarray, at: np.ndarray, bits: int = 256) -> np.ndarray:
@@ -176,22 +205,87 @@ def prints(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, check long, s0 long, s1 long, s2 long, s3 long, wide binary")
 
 
-def posts(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, class) of all rows; equal sets of one slice give theirs once."""
+def _distinct_sets(batch: pa.RecordBatch, n: int, often: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(class, shingles, offsets) by slices of the rows (doc_id, text); the rows of a class that has another row in the slice, or elsewhere its owner, are empty."""
+    classes, owners = often
+    for lo, shingles, at in sets_of(batch.column(1), n):
+        h = class_hash(shingles, at, 1)
+        own = np.zeros(len(h), bool)
+        own[np.unique(h, return_index=True)[1]] = True
+        if len(classes):
+            spot = np.minimum(np.searchsorted(classes, h.view(np.int64)), len(classes) - 1)
+            ids = batch.column(0).slice(lo, len(h)).fill_null(_NO_ID).to_numpy()
+            known = classes[spot] == h.view(np.int64)
+            own = np.where(known, False, own)
+            chosen = np.flatnonzero(known & (owners[spot] == ids))
+            own[chosen[np.unique(h[chosen], return_index=True)[1]]] = True
+        yield h, shingles[np.repeat(own, np.diff(at))], np.concatenate([[0], np.cumsum(np.where(own, np.diff(at), 0))])
+
+
+def _often(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(class, owner) of the classes of many rows, that the owner's rows alone speak for. Their number is bounded: each has a BROADCAST_CLASSES-th of all rows."""
+    rows = classes.agg(F.sum("copies")).first()[0] or 0
+    t = classes.where(F.col("copies") >= max(64, rows // BROADCAST_CLASSES) if BROADCAST_CLASSES else F.lit(False)).select("class", F.coalesce("owner", F.lit(_NO_ID)).alias("owner")).toArrow()
+    order = np.argsort(t["class"].to_numpy())
+    return t["class"].to_numpy()[order], t["owner"].to_numpy()[order]
+
+
+def common_levels(docs: DataFrame, often: object, n: int, percent: int) -> np.ndarray:
+    """For the upper BITS of a signature how common it is: bits of a count, 14 at most. Tasks count all of theirs, and tell what stands out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << BITS, np.uint32)
         for batch in batches:
-            for _, shingles, at in sets_of(batch.column(0), n):
-                h = class_hash(shingles, at, 1)
-                _, first = np.unique(h, return_index=True)
-                own = np.zeros(len(h), bool)
-                own[first] = True
-                size = np.where(own, np.diff(at), 0)
-                kept = shingles[np.repeat(own, np.diff(at))]
-                for row, sig in signatures(kept, np.concatenate([[0], np.cumsum(size)]), percent):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(h[row].view(np.int64))], ["sig", "class"])
+            for _, shingles, at in _distinct_sets(batch, n, often.value):
+                for *_, sig, empty in _parts(shingles, at, percent):
+                    np.add.at(table, (sig[~empty] >> U(64 - BITS)).astype(np.int64), np.uint32(1))
+        mean = table.mean()
+        found = np.flatnonzero(table > mean + 4 * np.sqrt(mean) + 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(table[found].astype(np.int64))], ["at", "n"])
+
+    counts = docs.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # two numbers for each of 2 ** BITS places at most
+    out = np.zeros(1 << BITS, np.uint8)
+    out[counts["at"].to_numpy()] = np.minimum(14, np.frexp(counts["n"].to_numpy().astype(np.float64))[1])
+    return out
+
 
-    return docs.select("text").mapInArrow(run, "sig long, class long")
+def posts(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(sig, class) of all classes; a class may have its own more than once. Common signatures are marked as hot, and dealt out in parts."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    often = docs.sparkSession.sparkContext.broadcast(_often(classes))  # BROADCAST_CLASSES rows of two numbers at most
+    levels = docs.sparkSession.sparkContext.broadcast(common_levels(docs, often, n, percent))  # 2 ** BITS bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, shingles, at in _distinct_sets(batch, n, often.value):
+                for row, sig, level in signatures(shingles, at, percent, levels.value):
+                    own = h[row]
+                    part = own & ((U(1) << np.maximum(0, level - SPLIT).astype(U)) - U(1)) & U(_PART >> _PART_AT)
+                    sig = sig | np.where(level > SPLIT, U(_HOT) | part << U(_PART_AT), U(0))
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(own.view(np.int64))], ["sig", "class"])
+
+    return docs.mapInArrow(run, "sig long, class long")
+
+
+def shared_runs(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(sig, class, first) of the runs of two classes or more; first is a run's least class. Each class has left out what it may."""
+    run, hot = W.partitionBy("sig"), F.col("sig").bitwiseAND(_HOT) != 0
+    runs = posts(docs, classes, n, percent).withColumn("n", F.count(F.lit(1)).over(run)).withColumn("first", F.min("class").over(run)).withColumn("last", F.max("class").over(run))
+    runs = materialize(runs.where(hot | (F.col("first") < F.col("last"))).select("sig", "class", "n"), "runs")
+    # a hot run's count is that of its parts
+    dealt = runs.where(hot).select(F.col("sig").bitwiseAND(~_PART).alias("sig"), "class")
+    whole = materialize(dealt.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "hot")
+    both = runs.where(~hot).unionByName(dealt.join(whole, "sig"))
+    # what a class may leave out by exact counts
+    largest = int(classes.agg(F.max("n_shingles")).first()[0] or 1)
+    later = plan(bands(largest)[1:] - 1, percent)[2]
+    band = F.col("sig").bitwiseAND(_BAND).cast("int").alias("band")
+    both = both.select("sig", "class", "n", band).repartition("class", "band").groupBy("class", "band", "sig").agg(F.max("n").alias("n"))
+    order = F.row_number().over(W.partitionBy("class", "band").orderBy(F.desc("n"), "sig"))
+    kept = both.withColumn("at", order).where(F.col("at") > F.element_at(F.array(*map(F.lit, later.tolist())), F.col("band") + 1)).select("sig", "class")
+    kept = materialize(kept, "kept")
+    ends = materialize(kept.groupBy("sig").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first < last").select("sig", "first"), "ends")
+    return materialize(kept.join(ends, "sig"), "shared")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -299,7 +393,8 @@ def components(edges: DataFrame) -> DataFrame:
             e = e.union(e.select("b", "a"))
         else:
             e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = e.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        # written, so that both sides of the join are dealt out for it alone and a hot node can be split
+        least = materialize(e.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
         joined = e.join(least, "a")
         if large:
             return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
@@ -320,14 +415,12 @@ def components(edges: DataFrame) -> DataFrame:
 def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, root) of all classes that link with another."""
     classes = materialize(
-        table.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("owner"), F.min("n_shingles").alias("n_shingles"), F.min("check").alias("lo"), F.max("check").alias("hi"), *(F.min(f"s{k}").alias(f"s{k}") for k in range(4)), F.min("wide").alias("wide")),
+        table.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("check").alias("lo"), F.max("check").alias("hi"), *(F.min(f"s{k}").alias(f"s{k}") for k in range(4)), F.min("wide").alias("wide")),
         "classes",
     )
     if classes.where("lo != hi").limit(1).count():
         raise ValueError("two sets of shingles have the same hash")
-    run = W.partitionBy("sig")
-    shared = posts(docs, n, percent).withColumn("first", F.min("class").over(run)).withColumn("last", F.max("class").over(run)).where(F.col("first") < F.col("last"))
-    shared = materialize(shared, "runs")
+    shared = shared_runs(docs, classes, n, percent)
 
     def pruned(pairs: DataFrame) -> DataFrame:
         return pairs.join(classes.select(*_side(classes, "a")), "a").join(classes.select(*_side(classes, "b")), "b").where(_close(percent)).select("a", "b")
@@ -337,7 +430,7 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     linked = materialize(verify(docs, tested, classes, n, percent), "links")
     roots = materialize(components(linked), "roots")
     # one more at a time across components, while that joins some; then all that is left
-    apart = materialize(_mixed(shared.select("sig", "class").distinct(), roots).select("sig", "class"), "mixed")
+    apart = materialize(_mixed(shared.select("sig", "class"), roots).select("sig", "class"), "mixed")
     sets = read_sets(docs, apart.select("class"), classes, n)
     for turn in range(ROUNDS + 1):
         every = turn == ROUNDS
@@ -358,7 +451,7 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     members = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     sizes = members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("sig", "main")
-    return members.join(mixed, "sig")
+    return members.join(materialize(mixed, "mixed"), "sig")  # written: a hot run can be split
 
 
 def _picked(mixed: DataFrame, turn: int) -> DataFrame:
@@ -380,6 +473,7 @@ def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, class, component_id of each row: the smallest doc_id reachable by links."""
+    docs = small_batches(docs)
     table = materialize(prints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n), "prints")
     roots = materialize(links(docs, table, n, percent), "roots")
     owners = table.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("owner"))

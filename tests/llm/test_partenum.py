@@ -94,6 +94,7 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(percent)
+    table = rng.integers(0, 15, 1 << partenum.BITS).astype(np.uint8)
     for size in [1, 2, 3, 5, 6, 7, 9, 14, 30, 77, 200, 900, 1020, 3000]:
         for _ in range(25):
             a = rng.integers(0, 2**63, size).astype(np.uint64)
@@ -104,11 +105,14 @@ def test_linked_sets_share_a_signature(percent):
             if 100 * shared < percent * (len(a) + len(b) - shared):
                 continue
             at = np.array([0, len(a), len(a) + len(b)])
-            found = [set(), set()]
-            for row, sig in partenum.signatures(np.concatenate([a, b]), at, percent):
-                for r, s in zip(row, sig, strict=True):
-                    found[r].add(int(s))
-            assert found[0] & found[1]
+            for levels in (None, table):
+                found = [{}, {}]
+                for row, sig, _ in partenum.signatures(np.concatenate([a, b]), at, percent, levels):
+                    for r, s in zip(row.tolist(), sig.tolist(), strict=True):
+                        found[r].setdefault(s & 127, set()).add(s)
+                later = partenum.plan(partenum.bands(3600)[1:] - 1, percent)[2]
+                # more are shared than each may leave out by whatever order
+                assert any(len(found[0][x] & found[1][x]) > later[x] for x in found[0].keys() & found[1].keys())
             s = partenum.sketch(np.concatenate([a, b]), at).view(np.uint64)
             assert sum(int(x).bit_count() for x in s[0] ^ s[1]) <= len(a) + len(b) - 2 * shared
             assert partenum.sketch_difference(*partenum.wide_sketches(np.concatenate([a, b]), at)) <= len(a) + len(b) - 2 * shared
