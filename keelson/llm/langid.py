@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keelson.llm import kernel
-from keelson.llm.common import crc_mod
+from keelson.llm.common import crc_mod, small_batches
 
 NGRAMS = (3, 4)
 BITS = 13
@@ -193,26 +193,26 @@ def predict_texts(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[
     return np.where(letters, best, -1), np.where(letters, p[np.arange(rows), best], 0.0), ~letters | (_known_share(known, count) < model.reject_below)
 
 
+def _predicted(batch: pa.RecordBatch, m: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(part, index of the language, score, whether rejected) by slices of a batch, so that working memory does not follow it."""
+    text = batch.schema.get_field_index("text")
+    _, ends = kernel.buffers(batch.column(text))
+    for lo, hi in kernel.row_slices(ends, 1 << 20):
+        part = batch.slice(lo, hi - lo)
+        yield part, *predict_texts(*kernel.buffers(part.column(text)), m)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, lang_score and lang_rejected instead of columns of those names."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
-    docs = docs.select(*kept)
+    docs = small_batches(docs.select(*kept))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x languages, and 2 MB of known n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.langs, UNKNOWN], dtype=object)
+        names = np.array([*shared.value.langs, UNKNOWN], dtype=object)
         for batch in batches:
-            _, ends = kernel.buffers(batch.column(batch.schema.get_field_index("text")))
-            # by slices, so that working memory does not follow the batch
-            for lo, hi in kernel.row_slices(ends):
-                part = batch.slice(lo, hi - lo)
-                data, offsets = kernel.buffers(part.column(part.schema.get_field_index("text")))
-                best, score, rejected = predict_texts(data, offsets, m)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)],
-                    [*part.schema.names, "lang_pred", "lang_score", "lang_rejected"],
-                )
+            for part, best, score, rejected in _predicted(batch, shared.value):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)], [*part.schema.names, "lang_pred", "lang_score", "lang_rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_rejected boolean")
@@ -225,5 +225,12 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The documents that are not rejected."""
-    return predict(docs, train(docs)).where(~F.col("lang_rejected")).select(*docs.columns)
+    """The rows that are not rejected, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))  # of fixed size, as above
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _, _, rejected in _predicted(batch, shared.value):
+                yield part.filter(pa.array(~rejected))
+
+    return small_batches(docs).mapInArrow(run, docs.schema)

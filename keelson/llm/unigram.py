@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from keelson.llm import kernel
+from keelson.llm.common import small_batches
 from keelson.llm.kernel import ranges
 
 MARKER = "▁"
@@ -283,14 +284,13 @@ def encode_buffers(data: np.ndarray, offsets: np.ndarray, m: Unigram) -> tuple[n
         edge[1:] |= alone
     at = np.flatnonzero(edge)
     starts, stops = at[:-1], at[1:]
-    h = kernel.span_hashes(data, starts, stops)
 
     def search(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = starts[new]
         lengths = stops[new] - s
         return viterbi(data[ranges(s, lengths)], np.concatenate([[0], np.cumsum(lengths)]), m)
 
-    place, counts = m.pool.find(h, search)
+    place, counts = m.pool.find(kernel.Units(data, starts, stops, kernel.span_hashes(data, starts, stops)), search)
     ids = m.pool.ids[ranges(place, counts)]
     ends = np.concatenate([[0], np.cumsum(counts)])
     return ids, ends[np.searchsorted(starts, offsets, "left")]
@@ -347,7 +347,7 @@ def encode_column(docs: DataFrame, model_path: str | None = None) -> DataFrame:
                 ids, offsets = encode(part.column(1), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -394,7 +394,7 @@ def query(docs: DataFrame, model_path: str | None = None) -> DataFrame:
                     ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "decoded_chars", "round_trip"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean")
 
 
 def stage(docs: DataFrame, model_path: str | None = None) -> DataFrame:
