@@ -5,11 +5,15 @@ A conversation is written as one stream of turns; each turn is
 before each backslash, ``#`` and ``<``, so that no text can hold a control string (in them
 a blank or nothing stands before ``#`` and ``<``), and reading takes the backslashes away.
 
-Every assistant turn becomes its own example: all turns before it are the context, and
-only its own text is trainable. An example is a pair of spans over the stream of its
-conversation (context_end; loss_start, loss_end in code points), so that the examples of a
-long conversation take room in proportion to its turns, not to their square.
-``example_texts`` writes them out.
+A stream is kept in segments of whole turns, so that no row grows with its conversation. Every
+assistant turn becomes its own example: all turns before it are the context, and only its own
+text is trainable. An example is a pair of spans over the stream of its conversation
+(context_end; loss_start, loss_end in code points), kept beside the segment of its target, so
+that the examples of a long conversation take room in proportion to its turns, not to their
+square. ``example_texts`` writes them out.
+
+Segments and examples are written, and all results read back from them: turns are found by the
+template's marks alone, trained texts by the examples' loss spans.
 
 Defined results: a null text or role counts as empty; null turns come first; turns of one
 number are ordered by role, then text, and repeated rows are kept as turns. A null conv_id
@@ -22,11 +26,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keelson.llm.common import materialize, small_batches
+
+#: Code points after which a stream goes on in another segment, at the next turn.
+SEGMENT = 1 << 16
 OPEN, MIDDLE, CLOSE = "### ", " <text> ", " </turn>\n"
 TRAINED_ROLE = "assistant"
 
@@ -66,15 +74,28 @@ def format_turns(turns: DataFrame) -> DataFrame:
     )
 
 
-def examples(formatted: DataFrame) -> DataFrame:
-    """Every assistant turn as its own example: conv_id, target_turn, context_end, loss_start, loss_end."""
-    return formatted.where(F.col("loss_start").isNotNull()).select("conv_id", F.col("turn_no").alias("target_turn"), "context_end", "loss_start", "loss_end")
+def segments(formatted: DataFrame) -> DataFrame:
+    """The streams in segments: conv_id, segment (ascending along a stream), start, stream, and the examples whose targets are in it."""
+    example = F.when(F.col("loss_start").isNotNull(), F.struct(F.col("turn_no").alias("target_turn"), "context_end", "loss_start", "loss_end"))
+    own = formatted.groupBy("conv_id", F.floor(F.col("start") / SEGMENT).alias("segment")).agg(
+        F.min("start").alias("start"),
+        F.array_sort(F.collect_list(F.struct("turn_no", "rendered"))).alias("turns"),
+        F.array_sort(F.collect_list(example)).alias("examples"),
+    )
+    return own.select("conv_id", "segment", "start", F.array_join(F.transform("turns", lambda x: x["rendered"]), "").alias("stream"), "examples")
+
+
+def examples(written: DataFrame) -> DataFrame:
+    """Every assistant turn as its own example: conv_id, segment, target_turn, context_end, loss_start, loss_end, and its target as the loss span has it."""
+    e = written.select("conv_id", "segment", "start", "stream", F.explode("examples").alias("e")).select("conv_id", "segment", "start", "stream", "e.*")
+    target = unescape(F.expr("substring(stream, int(loss_start - start) + 1, int(loss_end - loss_start))"))
+    return e.select("conv_id", "segment", "target_turn", "context_end", "loss_start", "loss_end", target.alias("target"))
 
 
-def example_texts(formatted: DataFrame) -> DataFrame:
-    """The examples written out: conv_id, target_turn, context, target. Its size grows with the square of a conversation's length."""
-    streams = formatted.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_no", "rendered"))), lambda x: x["rendered"]), "").alias("stream"))
-    e = examples(formatted)
+def example_texts(written: DataFrame) -> DataFrame:
+    """The examples written out, as formatted: conv_id, target_turn, context, target. Its size grows with the square of a conversation's length."""
+    streams = written.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "stream"))), lambda x: x["stream"]), "").alias("stream"))
+    e = examples(written).drop("target")
     joined = e.alias("e").join(streams.alias("s"), F.col("e.conv_id").eqNullSafe(F.col("s.conv_id")))
     return joined.select(
         "e.conv_id",
@@ -84,64 +105,61 @@ def example_texts(formatted: DataFrame) -> DataFrame:
     )
 
 
-def parse(formatted: DataFrame) -> DataFrame:
-    """Turns read back from ``rendered``: conv_id, turn_no, role, text, trained (the text under the loss mask, or null), size."""
-    inner = F.expr(f"substring(rendered, {len(OPEN) + 1}, char_length(rendered) - {len(OPEN) + len(CLOSE)})")
-    # no blank and "<" are neighbours in an escaped role, so the first such place ends it
-    role = F.expr(f"substring(inner, 1, instr(inner, '{MIDDLE}') - 1)")
-    text = F.expr(f"substring(inner, char_length(raw_role) + {len(MIDDLE) + 1})")
-    masked = F.expr("substring(rendered, int(loss_start - start) + 1, int(loss_end - loss_start))")
-    p = formatted.withColumn("inner", inner).withColumn("raw_role", role)
-    return p.select(
-        "conv_id",
-        "turn_no",
-        unescape(F.col("raw_role")).alias("role"),
-        unescape(text).alias("text"),
-        F.when(F.col("loss_start").isNotNull(), unescape(masked)).alias("trained"),
-        F.char_length("rendered").cast("long").alias("size"),
-        F.col("loss_end"),
-    )
+def parse(written: DataFrame) -> DataFrame:
+    """Turns read back from the segments by the template's marks: conv_id, segment, turns (role, text; in order)."""
+    pieces = F.split("stream", CLOSE, -1)
+    # in escaped roles and texts no blank stands before "<", so marks are found in their places only
+    inner = lambda x: F.split(F.substring(x, len(OPEN) + 1, 1 << 30), MIDDLE, 2)
+    turns = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: F.struct(unescape(inner(x)[0]).alias("role"), unescape(inner(x)[1]).alias("text")))
+    return written.select("conv_id", "segment", F.char_length("stream").cast("long").alias("size"), turns.alias("turns"))
 
 
-def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Conversations in order, turns in order: one row for each. Holds a few numbers and two running hashes, however long a conversation is."""
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Conversations in order, segments in order: one row for each. Holds a few numbers and two running hashes, however long a conversation is."""
     now, state = None, None
 
     def row() -> tuple:
-        n, all_text, loss_chars, loss, size, written, trained = state
+        n, all_text, loss_chars, loss, size, trained, written = state
         return (now, n, all_text.hexdigest(), loss_chars, loss.hexdigest(), size, trained, written)
 
-    for frame in frames:
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], _OUT)
+
+    for batch in batches:
         out = []
-        for conv, role, text, trained, size, loss_end in zip(frame["conv_id"], frame["role"], frame["text"], frame["trained"], frame["size"], frame["loss_end"], strict=True):
-            conv = None if pd.isna(conv) else int(conv)
+        for conv, size, turns, own in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "size", "turns", "own")), strict=True):
             if state is None or conv != now:
                 if state is not None:
                     out.append(row())
                 now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-            state[0] += 1
-            state[1].update(f"{role}\n{text}\n".encode())
-            if trained is not None:
-                state[2] += len(trained)
-                state[3].update(trained.encode())
-                state[5] += int(loss_end)
-                state[6] += 1
-            state[4] += int(size)
-        yield pd.DataFrame(out, columns=_OUT).astype({"conv_id": "Int64"})
+            state[4] += size
+            for turn in turns:
+                state[0] += 1
+                state[1].update(f"{turn['role']}\n{turn['text']}\n".encode())
+            for example in own or ():
+                state[2] += len(example["target"])
+                state[3].update(example["target"].encode())
+                state[5] += 1
+                state[6] += example["loss_end"]
+        yield told(out)
     if state is not None:
-        yield pd.DataFrame([row()], columns=_OUT).astype({"conv_id": "Int64"})
+        yield told([row()])
 
 
 _OUT = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "example_chars"]
 
 
-def digest(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, read back from the formatted stream and its loss spans.
+def digest(written: DataFrame) -> DataFrame:
+    """One row per conversation, read back from the segments and the examples.
 
     A hash of a whole conversation runs through its turns in order, so one task reads them, as a stream.
     """
-    read = parse(formatted).repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
-    return read.mapInPandas(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long")
+    e = examples(written).groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("target_turn", "target", "loss_end"))).alias("own"))
+    t, e = parse(written).alias("t"), e.alias("e")
+    both = t.join(e, F.col("t.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("t.segment") == F.col("e.segment")), "left").select("t.conv_id", "t.segment", "size", "turns", "own")
+    read = small_batches(both).repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return read.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long")
 
 
 #: A conversation whose texts hold the template's own control strings.
@@ -150,7 +168,7 @@ PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\
 
 def query(turns: DataFrame) -> DataFrame:
     probe = turns.sparkSession.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
-    return digest(format_turns(turns.select(*probe.columns).unionByName(probe)))
+    return digest(materialize(segments(format_turns(turns.select(*probe.columns).unionByName(probe))), "chat"))
 
 
 ORACLE = r"""
