@@ -22,7 +22,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keelson.llm import kernel
@@ -99,8 +98,9 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(label, f) of at most ``sample`` rows of each label, of the learning folds."""
     good = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)).select("doc_id", F.col("quality").cast("int").alias("label")).distinct()
-    order = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = good.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample).select("doc_id", "label")
+    # the smallest hashes of each label: every task keeps ``sample`` rows at most
+    of = lambda label: good.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = of(0).unionByName(of(1))
     # two labels times ``sample`` rows of two numbers
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(_featured, "label int, f array<double>")
 
