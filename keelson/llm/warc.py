@@ -10,8 +10,9 @@ record, and owns the records that start in its range; from one record it goes on
 that member ends, also past the end of the range. So every record is read once, whatever the
 ranges are.
 
-Writers put each file in the shared folder under a name of their attempt; only files named
-in the index they return belong to the archive, so lost and doubled tasks leave it whole.
+Writers put each record into a file of the shared folder as it comes, under a name of their
+attempt, and go on in another one at FILE_BYTES; only files named in the table they return
+belong to the archive, so lost and doubled tasks leave it whole.
 
 Defined results: a null html is an empty payload; a null url is left out. Rows with one page_id
 and payload are all responses if that id is the largest, each with a record. Of equal
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import fresh_dir, put, store
+from keelson.llm.common import fresh_dir, materialize, store
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
@@ -39,6 +40,10 @@ URN = "urn:keelson:page:"
 PROFILE = "http://netpreservefoundation.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of a range of the reader, and of one read.
 SPLIT, CHUNK = 8 << 20, 1 << 20
+#: Bytes from which on a writer goes on in another file.
+FILE_BYTES = 1 << 30
+#: Payloads of more than one page whose owners are broadcast at most (some 100 bytes each).
+BROADCAST_OWNERS = 500_000
 #: Bytes that a candidate is inflated to before it counts as a record.
 PROBE = 64
 LEVEL = 5
@@ -68,36 +73,61 @@ def member(raw: bytes) -> bytes:
 def with_classes(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """page_id, url, payload, digest (sha1, hex) and refers_to: null for responses.
 
-    Owners of payloads are found from ids and digests alone, combined before the shuffle; then payloads join
-    their owner. A payload that many pages share is one key of that join, whose partitions AQE splits.
+    Owners of payloads are found from ids and digests alone, combined before the shuffle. Of payloads that more pages
+    share, up to BROADCAST_OWNERS owners are sent to all tasks, and payloads stay where they are; beyond, pages join them
+    in a shuffle, where a payload that many pages share is one key, whose partitions AQE splits.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     t = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    owners = t.groupBy("digest").agg(F.max("page_id").alias("owner"))
+    owners = t.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1 AND owner IS NOT NULL").select("digest", "owner")
+    owners = materialize(owners, "owners")
+    if owners.count() <= BROADCAST_OWNERS:
+        owners = F.broadcast(owners)
     other = (F.octet_length("payload") >= revisit_from) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
-    return t.join(owners, "digest").select("page_id", "url", "payload", "digest", F.when(other, F.col("owner")).alias("refers_to"))
+    return t.join(owners, "digest", "left").select("page_id", "url", "payload", "digest", F.when(other, F.col("owner")).alias("refers_to"))
 
 
-def write(classed: DataFrame, folder: str) -> list[tuple[str, int]]:
-    """Write archives, one from each task that has rows; (path, bytes) of each."""
+class _Archive:
+    """An archive that is written record by record, to a name of its own; nothing is held but the file's buffer."""
+
+    def __init__(self, path: str) -> None:
+        fs, at = store(path)
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
+        self.path, self.size, self.out = path, 0, fs.open_output_stream(at, compression=None)  # members are packed one by one
+        info = b"software: keelson\r\nformat: WARC File Format 1.1\r\n"
+        head = VERSION + f"\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:keelson:info>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode()
+        self.add(head + info + b"\r\n\r\n")
+
+    def add(self, raw: bytes) -> None:
+        packed = member(raw)
+        self.out.write(packed)
+        self.size += len(packed)
+
+    def done(self) -> pa.RecordBatch:
+        self.out.close()
+        return pa.RecordBatch.from_pydict({"path": [self.path], "size": [self.size]})
+
+
+def write(classed: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write archives of about ``file_bytes``, each from one task; path and size of each, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
-        out = bytearray()
+        path, number, archive = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}", 0, None
         for batch in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(len(batch)):
+                page_id, url, payload, digest, refers_to = (c[k].as_py() for c in batch.columns)
+                if archive is None:
+                    archive = _Archive(f"{path}-{number:04d}.warc.gz")
                 kind = "response" if refers_to is None else "revisit"
-                name = base64.b32encode(bytes.fromhex(digest)).decode()
-                out += member(record(page_id, url, kind, name, len(payload), payload, refers_to))
-        if out:
-            info = b"software: keelson\r\nformat: WARC File Format 1.1\r\n"
-            head = VERSION + f"\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:keelson:info>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode()
-            whole = member(head + info + b"\r\n\r\n") + bytes(out)
-            put(path, whole)
-            yield pa.RecordBatch.from_pydict({"path": [path], "size": [len(whole)]})
+                archive.add(record(page_id, url, kind, base64.b32encode(bytes.fromhex(digest)).decode(), len(payload), payload, refers_to))
+                if archive.size >= file_bytes:
+                    yield archive.done()
+                    archive, number = None, number + 1
+        if archive is not None:
+            yield archive.done()
 
-    return [(r.path, r.size) for r in classed.mapInArrow(run, "path string, size long").collect()]  # one small row for each file
+    return materialize(classed.mapInArrow(run, "path string, size long"), "archives")
 
 
 # ---------------------------------------------------------------- reading
@@ -188,12 +218,12 @@ def parse(raw: bytes) -> dict:
 _COLUMNS = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "payload": pa.binary()}
 
 
-def read(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT, payloads: bool = True) -> DataFrame:
-    """One row per response or revisit of the archives, (path, bytes) each: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
+def read(files: DataFrame, split: int = SPLIT, payloads: bool = True) -> DataFrame:
+    """One row per response or revisit of the archives (path, size): page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
     names = [c for c in _COLUMNS if payloads or c not in ("payload", "url")]
-    spans = [(path, lo, min(lo + split, size)) for path, size in files for lo in range(0, size, split)]
-    ranges = spark.createDataFrame(spans, "path string, lo long, hi long")
-    ranges = ranges.repartition(max(1, min(len(spans), 10_000)), "path", "lo")
+    spans = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("lo"))
+    count = files.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 1
+    ranges = spans.select("path", "lo", F.least(F.col("lo") + split, F.col("size")).alias("hi")).repartition(max(1, min(int(count), 100_000)), "path", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,8 +251,7 @@ def _batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
 
 def query(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """One row per page, read back from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    spark = pages.sparkSession
-    return read(spark, write(with_classes(pages, revisit_from), fresh_dir(spark, "warc")), payloads=False)
+    return read(write(with_classes(pages, revisit_from), fresh_dir(pages.sparkSession, "warc")), payloads=False)
 
 
 ORACLE = """
