@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import kernel
-from keelson.llm.common import fresh_dir, put, store
+from keelson.llm.common import fresh_dir, materialize, put, store
 from keelson.llm.kernel import ranges
 
 MAGIC = b"KSHF1\n"
@@ -47,6 +47,9 @@ LIMIT = 16
 STEP = 256
 BLOCK_TOKENS = 1 << 19
 FILE_TOKENS = 1 << 23
+#: Parts that documents are dealt out to at most, in order; a part beyond FILE_BYTES has several files.
+PARTS, FILE_BYTES = 1 << 14, 1 << 26
+_NO_ID = -(1 << 63)
 END_ID = 2
 _TOKENIZERS: dict[str, tuple] = {}
 
@@ -278,79 +281,102 @@ class Code:
         return MAGIC + struct.pack("<I", len(body)) + body
 
 
-def write_files(tokens: DataFrame, folder: str, code: Code, file_tokens: int = FILE_TOKENS, width: int = 4) -> DataFrame:
-    """Write all documents in ascending doc_id order; the index: path, offset, size, first_token by block.
+@dataclass
+class Cuts:
+    """Where parts begin, ascending: an id, and for ids of very many rows also a first byte of the documents' bits."""
+
+    ids: np.ndarray
+    bytes: np.ndarray
+
+    @staticmethod
+    def of(quantiles: list[int]) -> Cuts:
+        ids, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        own = [np.unique(np.arange(t) * 256 // t) for t in times]  # an id that is several quantiles has as many parts, up to 256
+        return Cuts(np.repeat(ids, [len(x) for x in own]), np.concatenate([*own, np.zeros(0, np.int64)]))
+
+    def part(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        out = hi.copy()
+        for a, b in {(int(a), int(b)) for a, b in zip(lo[hi - lo > 1], hi[hi - lo > 1], strict=True)}:
+            here = (lo == a) & (hi == b)
+            out[here] = a + np.searchsorted(self.bytes[a:b], first[here], "right")
+        return out.astype(np.int32)
 
-    Bounds of the files are quantiles of the ids; a file has one task, whatever lands in it is split in blocks.
+
+def write_files(tokens: DataFrame, folder: str, code: Code, file_tokens: int = FILE_TOKENS, width: int = 4, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write all documents in ascending doc_id order; the index, as a written table: path, offset, size, first_token by block.
+
+    Parts begin at quantiles of the ids. A part has one task, which holds one block and one file at a time.
     """
     spark = tokens.sparkSession
-    total, docs, nulls = tokens.agg(F.sum("n_tokens"), F.count(F.lit(1)), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
-    files = max(1, -(-int(total or 0) // file_tokens))
-    bounds = np.zeros(0, np.int64)
-    if files > 1:
-        found = tokens.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 10 * files + 1000)).first()[0]
-        bounds = np.unique(np.array([b for b in found or [] if b is not None], np.int64))
-    codes = canonical_codes(code.lengths)
-    shared = spark.sparkContext.broadcast((bounds, codes, code.lengths))  # the vocabulary's size, and one number for each file
+    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    parts = max(1, min(PARTS, -(-int(total) // file_tokens)))
+    cuts = Cuts.of([])
+    if parts > 1:
+        cuts = Cuts.of(tokens.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(_NO_ID)), [i / parts for i in range(1, parts)], 10 * parts + 1000)).first()[0] or [])
+    shared = spark.sparkContext.broadcast((cuts, canonical_codes(code.lengths), code.lengths))  # the vocabulary's size, and two numbers for each of at most PARTS parts
 
     def pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, own_codes, own_lengths = shared.value
+        own_cuts, own_codes, own_lengths = shared.value
         for batch, ids, at in _id_lists(batches, width):
             for a, b in kernel.row_slices(at, 1 << 20):
                 part = batch.slice(a, b - a)
                 bits, doc_bytes, marks = pack(ids[at[a] : at[b]], at[a : b + 1] - at[a], own_codes, own_lengths)
                 n = np.diff(at[a : b + 1])
                 id_column = part.column(0)
-                bucket = np.searchsorted(cuts, id_column.fill_null(np.iinfo(np.int64).min).to_numpy(), "right").astype(np.int32)
                 byte_ends, mark_ends = (np.concatenate([[0], np.cumsum(x)]).astype(np.int32) for x in (doc_bytes, 4 * ((n + STEP - 1) // STEP)))
+                heads = np.frombuffer(bits + b"\0", np.uint8)[byte_ends[:-1]]
                 binary = lambda raw, ends: pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), id_column, pa.array(n), binary(marks.astype("<u4").tobytes(), mark_ends), binary(bits, byte_ends)], ["file", "doc_id", "n_tokens", "marks", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(own_cuts.part(id_column.fill_null(_NO_ID).to_numpy(), heads)), id_column, pa.array(n), binary(marks.astype("<u4").tobytes(), mark_ends), binary(bits, byte_ends)], ["part", "doc_id", "n_tokens", "marks", "bits"])
 
-    packed = tokens.select("doc_id", "ids").mapInArrow(pack_docs, "file int, doc_id long, n_tokens long, marks binary, bits binary")
-    # n_tokens of the stored tokens, not packed ones: this pass reads two columns
-    file_of = F.lit(0) if not len(bounds) else F.size(F.filter(F.array(*map(F.lit, bounds.tolist())), lambda b: b <= F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))
-    sums = {r["file"]: r["n"] for r in tokens.select(file_of.alias("file"), "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()}
-    begins, before = {}, 0
-    for k in sorted(sums):
-        begins[k], before = before, before + sums[k]
-    shared_begins = spark.sparkContext.broadcast(begins)
+    packed = tokens.select("doc_id", "ids").mapInArrow(pack_docs, "part int, doc_id long, n_tokens long, marks binary, bits binary")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, path, out, index, first = None, "", None, [], 0
+        now, number, out, index, first = None, 0, bytearray(), [], 0
         rows: list[tuple] = []
 
         def flush() -> None:
             nonlocal rows, first
             if rows:
                 body = _block(rows)
-                index.append((path, len(out), len(body), first))
+                index.append((len(out), len(body), first))
                 out.extend(body)
                 first += sum(r[1] for r in rows)
                 rows = []
 
         def done() -> Iterator[pa.RecordBatch]:
-            nonlocal index
-            if now is not None:
-                flush()
+            nonlocal index, out, number
+            flush()
+            if index:
+                path = f"{folder}/part-{now:06d}-{number:04d}.ksh"
                 put(path, bytes(out))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*index, strict=True)], ["path", "offset", "size", "first_token"])
-                index = []
+                offsets, sizes, firsts = zip(*index, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([now] * len(index), pa.int32()), pa.array([path] * len(index)), pa.array(offsets), pa.array(sizes), pa.array(firsts), pa.array([*firsts[1:], first], pa.int64())], ["part", "path", "offset", "size", "first", "last"])
+            index, out, number = [], bytearray(code.header()), number + 1
 
         for batch in batches:
-            for bucket, doc, n, marks, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now:
-                    yield from done()
-                    now, path, first = bucket, f"{folder}/part-{bucket:06d}.ksh", shared_begins.value[bucket]
-                    out = bytearray(code.header(first_token=first))
+            for part, doc, n, marks, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield from done()
+                    now, number, first, out = part, 0, 0, bytearray(code.header())
                 rows.append((doc, n, marks, bits))
                 if sum_tokens(rows) >= BLOCK_TOKENS:
                     flush()
-        yield from done()
-
-    # each file is a partition of its own: hashing would put some together
-    ordered = packed.repartitionById(len(bounds) + 1, F.col("file")).sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "bits", "n_tokens")
-    index = ordered.mapInArrow(write, "path string, offset long, size long, first_token long").collect()  # one small row for each block
-    return spark.createDataFrame(index, "path string, offset long, size long, first_token long")
+                    if len(out) >= file_bytes:
+                        yield from done()
+        if now is not None:
+            yield from done()
+
+    # each part is a partition of its own: hashing would put some together
+    ordered = packed.repartitionById(len(cuts.ids) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "bits", "n_tokens")
+    index = materialize(ordered.mapInArrow(write, "part int, path string, offset long, size long, first long, last long"), "token-index")
+    sums = sorted(tuple(r) for r in index.groupBy("part").agg(F.max("last")).collect())  # one row for each of at most PARTS parts, and 256 for ids of very many rows
+    begins, before = [], 0
+    for part, n in sums:
+        begins.append((part, before))
+        before += n
+    return index.join(F.broadcast(spark.createDataFrame(begins, "part int, before long")), "part").select("path", "offset", "size", (F.col("first") + F.col("before")).alias("first_token"))
 
 
 def sum_tokens(rows: list[tuple]) -> int:
@@ -419,5 +445,5 @@ def save(docs: DataFrame, folder: str | None = None, tokenizer_path: str | None
 def query(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row per document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
     index = save(docs, tokenizer_path=tokenizer_path)
-    spread = index.repartition(max(1, min(2000, index.count())), "path", "offset")
+    spread = index.repartition(max(1, min(100_000, index.count())), "path", "offset")
     return read_blocks(spread, digest=True)
