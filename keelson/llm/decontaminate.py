@@ -1,15 +1,15 @@
-"""Benchmark decontamination by seeds that miss no overlap.
+"""Benchmark decontamination by spaced seeds that miss no overlap.
 
 Texts are read as lower-case words of letters and digits. An overlap lays the words of item
 and document side by side on a diagonal: over all places of the item that have a place in
 the document, at least ``min_match`` words must be equal in the best stretch of
 ``min_words`` words (of all the item's words, where it has fewer).
 
-A stretch with at most k unequal words has a run of equal words of at least (its equal
-words) / (k + 1): three words for 10 of 13. Runs of that length are the seeds. All of the
-items' are hashed, and all of the documents'; the two are joined on the hash. A stretch
-holds stretch + 1 - run * (k + 1) seeds at least (the q-gram lemma), so diagonals with fewer
-hits are left; all others are verified word by word.
+Seeds are hashes of the words that a fixed mask looks at; the words at its other places are
+ignored, so that a substitution there does not matter. The masks of a stretch are chosen so
+that wherever its unequal words stand, one of the masks looks at equal words only (tested over
+all patterns): items' and documents' seeds are joined on the hash, and the diagonals of the
+hits are verified word by word, with substitutions anywhere.
 
 The benchmark is the small side. Up to BROADCAST_WORDS words it is sent to all tasks and
 documents stay where they are; beyond, hashes of both sides meet in a shuffle, and only the
@@ -35,9 +35,21 @@ from pyspark.sql import functions as F
 
 from keelson.llm import kernel
 
-# The seeds of the limits below, as masks of 12 places; 1 looks at a word, 0 ignores it. Runs of two words serve items of 2, 4, 5 and 8.
-MASKS = ("111000000000", "110000000000")
-SPAN = 3
+# Masks by the words of a stretch and how many of them may be unequal; 1 looks at a word, 0 ignores it.
+MASKS = {
+    (2, 0): ("11",),
+    (3, 0): ("111",),
+    (4, 1): ("111", "1101", "1011"),
+    (5, 1): ("1111", "11101", "11011", "10111"),
+    (6, 1): ("1111", "11011"),
+    (7, 1): ("11111", "111011", "110111"),
+    (8, 2): ("11011", "1111", "1100011"),
+    (9, 2): ("111011", "1001111", "11010011", "111101"),
+    (10, 2): ("111011", "11010011", "11111"),
+    (11, 2): ("1110111", "111001011", "1011111", "111111"),
+    (12, 3): ("111011", "110100011", "11001011", "110111"),
+    (13, 3): ("111011", "1100001011", "110111"),
+}
 #: Words in a verified stretch, and the least share of them that must be equal.
 MIN_WORDS, MIN_MATCH = 13, 0.75
 #: Items of one word would be found in every document that has the word.
@@ -64,27 +76,27 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _SAME = np.arange(256, dtype=np.uint8)
 
 
-def seed_hashes(h: np.ndarray, mask: str, number: int) -> np.ndarray:
+def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     """Hashes of the mask's words from each position on; the last len(mask) - 1 positions are left out."""
     n = len(h) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, kernel.U)
-    out = np.full(n, 2 * number + 1, kernel.U)
+    out = np.full(n, int(mask, 2), kernel.U)
     for k, bit in enumerate(mask):
         if bit == "1":
             # odd multipliers of the position: the sum tells order
             out += h[k : k + n] * kernel.U((0x9E3779B97F4A7C15 * (2 * k + 3)) & (2**64 - 1) | 1)
-    return out ^ (out >> kernel.U(29))
+    return kernel.mix(out)
 
 
-def seed_rule(n: int, min_words: int, min_match: float) -> tuple[int, int]:
-    """(words of a seed, least seeds in an accepted stretch) for an item of n words."""
+def masks_of(n: int, min_words: int, min_match: float) -> tuple[str, ...]:
+    """The masks for an item of n words. Beyond the fixed ones, a run of as many equal words as any accepted stretch has."""
+    if n < SHORTEST:
+        return ()
     stretch = min(min_words, n)
     # the share that verify() asks for, in whole words
     need = next((x for x in range(1, stretch + 1) if x >= min_match * stretch), stretch)
-    gaps = stretch - need + 1
-    run = -(-need // gaps)
-    return run, max(1, stretch + 1 - run * gaps)
+    return MASKS.get((stretch, stretch - need)) or ("1" * -(-need // (stretch - need + 1)),)
 
 
 @dataclass
@@ -92,28 +104,25 @@ class Benchmark:
     ids: np.ndarray
     words: np.ndarray
     first: np.ndarray
-    #: for each length of a seed: its sorted hashes, with item and position, and a bitmap of their upper bits
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    #: least hits on a diagonal, for each item
-    least: np.ndarray
+    #: for each mask: its sorted seeds, with item and position, and a bitmap of their upper bits
+    seeds: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
     def of(ids: np.ndarray, words: np.ndarray, first: np.ndarray, min_words: int, min_match: float) -> Benchmark:
-        least, parts = np.ones(len(ids), np.int64), {}
+        parts: dict[str, list] = {}
         for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-            if b - a >= SHORTEST:
-                run, least[i] = seed_rule(b - a, min_words, min_match)
-                parts.setdefault(run, []).append((seed_hashes(words[a:b], "1" * run, run), i))
+            for mask in masks_of(int(b - a), min_words, min_match):
+                parts.setdefault(mask, []).append((seed_hashes(words[a:b], mask), i))
         seeds = {}
-        for run, own in parts.items():
+        for mask, own in parts.items():
             h = np.concatenate([x for x, _ in own])
             item = np.repeat([i for _, i in own], [len(x) for x, _ in own])
             at = np.concatenate([np.arange(len(x)) for x, _ in own])
             order = np.argsort(h, kind="stable")
             bitmap = np.zeros(1 << _BITS, bool)
             bitmap[(h >> kernel.U(64 - _BITS)).astype(np.int64)] = True
-            seeds[run] = h[order], item[order], at[order], bitmap
-        return Benchmark(ids, words, first, seeds, least)
+            seeds[mask] = h[order], item[order], at[order], bitmap
+        return Benchmark(ids, words, first, seeds)
 
 
 def verify(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, min_words: int = MIN_WORDS, min_match: float = MIN_MATCH) -> tuple[int, int]:
@@ -140,12 +149,13 @@ def find(words: np.ndarray, first: np.ndarray, b: Benchmark, min_words: int, min
     longest = int(np.diff(b.first).max(initial=0))
     shift = first[:-1] + np.arange(1, len(first)) * longest
     width = len(words) + (len(first) + 1) * longest
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for run, (seeds, own_item, own_at, bitmap) in b.seeds.items():
-        s = seed_hashes(words, "1" * run, run)
+    keys = np.zeros(0, np.int64)
+    for mask, (seeds, own_item, own_at, bitmap) in b.seeds.items():
+        s = seed_hashes(words, mask)
         hit = np.flatnonzero(bitmap[(s >> kernel.U(64 - _BITS)).astype(np.int64)])
         row = np.searchsorted(first, hit, "right") - 1
-        hit, row = hit[hit + run <= first[row + 1]], row[hit + run <= first[row + 1]]
+        inside = hit + len(mask) <= first[row + 1]
+        hit, row = hit[inside], row[inside]
         lo, hi = np.searchsorted(seeds, s[hit], "left"), np.searchsorted(seeds, s[hit], "right")
         hit, row, lo, n = hit[hi > lo], row[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
         round_of = np.cumsum(n) // HITS
@@ -153,10 +163,7 @@ def find(words: np.ndarray, first: np.ndarray, b: Benchmark, min_words: int, min
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             which = kernel.ranges(lo[x:y], n[x:y])
             diagonal = np.repeat(hit[x:y] - first[row[x:y]] + shift[row[x:y]], n[x:y]) - own_at[which]
-            more, hits = np.unique(own_item[which] * width + diagonal, return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, hits]), len(keys)).astype(np.int64)
-    keys = keys[counts >= b.least[keys // width]]
+            keys = np.unique(np.concatenate([keys, own_item[which] * width + diagonal]))
     if not len(keys):
         return []
     item, diagonal = keys // width, keys % width
@@ -210,29 +217,31 @@ def _broadcast_hits(docs: DataFrame, bench: DataFrame, min_words: int, min_match
 def _shuffled_hits(docs: DataFrame, bench: DataFrame, min_words: int, min_match: float) -> DataFrame:
     """The other way, for a benchmark of any size: hashes meet in a shuffle, then the texts of the pairs that hit are verified."""
     lengths = bench.select(F.col("item_id").alias("id"), "text").mapInArrow(_lengths, "n long").distinct()
-    runs = sorted({seed_rule(r.n, min_words, min_match)[0] for r in lengths.collect()})  # lengths of items; no more than the longest has words
+    # lengths of items, and of a few words the masks
+    all_masks = sorted({m for r in lengths.where(F.col("n") <= min_words).collect() for m in masks_of(r.n, min_words, min_match)} | set(masks_of(min_words, min_words, min_match)))
 
     def seeds(of_bench: bool) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                words, first = _words(batch.column(1))
-                for r, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                    rule = seed_rule(b - a, min_words, min_match) if of_bench and b - a >= SHORTEST else (0, 0)
-                    for size in runs:
-                        if of_bench and size != rule[0]:
-                            continue
-                        s = seed_hashes(words[a:b], "1" * size, size)
-                        own = [batch.column(0).take(pa.array(np.full(len(s), r))), pa.array(s.view(np.int64)), pa.array(np.arange(len(s))), pa.array(np.full(len(s), rule[1]))]
-                        yield pa.RecordBatch.from_arrays(own, ["id", "seed", "at", "least"])
+                _, offsets = kernel.buffers(batch.column(1))
+                for lo, hi in kernel.row_slices(offsets, 1 << 20):
+                    words, first = _words(batch.column(1).slice(lo, hi - lo))
+                    own = [masks_of(n, min_words, min_match) for n in np.diff(first).tolist()] if of_bench else None
+                    for mask in all_masks:
+                        s = seed_hashes(words, mask)
+                        row = np.searchsorted(first, np.arange(len(s)), "right") - 1
+                        good = np.arange(len(s)) + len(mask) <= first[row + 1]
+                        if of_bench:
+                            good &= np.array([mask in x for x in own], bool)[row] if len(row) else good
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(row[good])), pa.array(s[good].view(np.int64))], ["id", "seed"])
 
         return run
 
     d = docs.select("doc_id", "text").where("doc_id is not null")
     b = bench.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
-    left = d.mapInArrow(seeds(False), f"id {d.schema['doc_id'].dataType.simpleString()}, seed long, at long, least long").select(F.col("id").alias("doc_id"), "seed", F.col("at").alias("doc_at"))
-    right = b.mapInArrow(seeds(True), "id long, seed long, at long, least long").withColumnRenamed("id", "item_id")
-    hits = left.join(right, "seed").groupBy("doc_id", "item_id", F.col("doc_at") - F.col("at")).agg(F.count("*").alias("n"), F.min("least").alias("least"))
-    pairs = hits.where("n >= least").select("doc_id", "item_id").distinct()
+    left = d.mapInArrow(seeds(False), f"id {d.schema['doc_id'].dataType.simpleString()}, seed long").withColumnRenamed("id", "doc_id").distinct()
+    right = b.mapInArrow(seeds(True), "id long, seed long").withColumnRenamed("id", "item_id").distinct()
+    pairs = left.join(right, "seed").select("doc_id", "item_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
