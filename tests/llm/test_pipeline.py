@@ -20,7 +20,7 @@ def masked(text):
 
 
 def leaks(text, items):
-    """Whether some item's stretch overlaps, on any diagonal where a mask's words agree."""
+    """Whether some item's stretch overlaps, on any diagonal."""
     d = words(text)
     place = {}
     for i, w in enumerate(d):
@@ -29,18 +29,16 @@ def leaks(text, items):
         b = words(item)
         if len(b) < decontaminate.SHORTEST:
             continue
-        n = min(len(b), decontaminate.SPAN)
         votes = {}
         for k, w in enumerate(b):
             for i in place.get(w, ()):
                 votes[i - k] = votes.get(i - k, 0) + 1
         for diagonal, v in votes.items():
-            if v < 4:
+            if v < 2:
                 continue
             same = [0 <= k + diagonal < len(d) and d[k + diagonal] == w for k, w in enumerate(b)]
-            hit = any(diagonal + k >= 0 and diagonal + k + n <= len(d) and all(same[k + p] for p in range(n) if m[p] == "1") for k in range(len(b) - n + 1) for m in decontaminate.MASKS)
             stretch = min(decontaminate.MIN_WORDS, len(b))
-            if hit and max(sum(same[k : k + stretch]) for k in range(len(b) - stretch + 1)) >= decontaminate.MIN_MATCH * stretch:
+            if max(sum(same[k : k + stretch]) for k in range(len(b) - stretch + 1)) >= decontaminate.MIN_MATCH * stretch:
                 return True
     return False
 

@@ -58,12 +58,31 @@ def test_chat_reads_back_what_was_written(spark):
         loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
         assert (got[conv].n_turns, got[conv].turns_sha256) == (len(own), digest)
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    texts = chat.example_texts(chat.format_turns(turns)).where("conv_id = 1").orderBy("target_turn").collect()
+    texts = chat.example_texts(chat.segments(chat.format_turns(turns))).where("conv_id = 1").orderBy("target_turn").collect()
     assert [t.target for t in texts] == ["", "a\\\\\\\\\\#\\<b:"]
     assert texts[1].context.startswith("### user <text> \\\\\\#\\#\\# Assistant: \\</turn> ok </turn>\n### assistant <text>  </turn>\n")
     assert chat.query(turns.limit(0)).count() == 1
 
 
+def test_chat_finds_turns_by_the_marks_alone(spark, monkeypatch):
+    """Texts and roles that hold the marks, streams cut into many segments, ids beyond a double's whole numbers beside a null id."""
+    big = 9007199254740993
+    odd = [" </turn>\n", "### ", " <text> ", "\\", "\\ </turn>\n### assistant <text> x", "", "<", "a <text> b </turn>\n", "é\u2028\n"]
+    rows = [(conv, k, r, t) for conv in (big, None, 3) for k, (r, t) in enumerate([(r, t) for t in odd for r in ("user", "assistant", " </turn>\n <text> ")])]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for size in (1, 60, 1 << 16):
+        monkeypatch.setattr(chat, "SEGMENT", size)
+        got = {r.conv_id: r for r in chat.query(turns).collect()}
+        assert got.keys() == {big, None, 3, -7}
+        for conv in (big, None, 3):
+            own = [r for r in rows if r[0] == conv]
+            assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in own).encode()).hexdigest()
+            assert got[conv].loss_sha256 == hashlib.sha256("".join(r[3] for r in own if r[2] == "assistant").encode()).hexdigest()
+            assert got[conv].n_examples == len(odd)
+    examples = chat.examples(chat.segments(chat.format_turns(turns))).where(f"conv_id = {big}").orderBy("target_turn").collect()
+    assert [e.target for e in examples] == odd and [e.context_end for e in examples] == sorted(e.context_end for e in examples)
+
+
 def test_chat_on_the_table(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     want = {}
@@ -291,3 +310,49 @@ def test_token_files_in_many_files(spark, monkeypatch):
     rows = sorted(huffman.read_blocks(index).collect())
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
     assert {r.doc_id: bytes(r.ids) for r in rows} == ids
+
+
+# ---- hashes
+
+
+def _even_odd(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+#: Two words whose polynomial hashes modulo a power of two are equal, whatever the base.
+TWINS = (_even_odd(2048), _even_odd(2048).translate(str.maketrans("ab", "ba")))
+
+
+def test_words_with_one_polynomial_hash_stay_apart(spark):
+    from keelson.llm import decontaminate, partenum
+
+    data, offsets = kernel.buffers(pa.array(TWINS))
+    assert len(set(kernel.words(data, offsets)[0].tolist())) == 2
+    text = lambda w: " ".join([w, *"cdefghijklmno"])
+    docs = spark.createDataFrame([(k, text(w)) for k, w in enumerate(TWINS)], "doc_id long, text string")
+    assert [r.component_id for r in partenum.query(docs, 4, 85).orderBy("doc_id").collect()] == [0, 1]
+    ids = [r.ids_crc32 for r in huffman.query(docs).orderBy("doc_id").collect()]
+    assert ids[0] != ids[1]
+    assert all(r.round_trip for r in unigram.query(docs).collect())
+    one = spark.createDataFrame([(1, f"{TWINS[0]} zz")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.overlaps(spark.createDataFrame([(k, f"{w} zz") for k, w in enumerate(TWINS)], "doc_id long, text string"), one).collect()] == [0]
+
+
+def test_a_memo_hit_needs_the_same_bytes():
+    """All units get one hash: each still gets its own ids, also beyond 16 bytes and after the memo was cleared."""
+    words = ["a", "b", "ab", "abcdefgh" * 2 + "x", "abcdefgh" * 2 + "y", "abcdefghi", "abcdefgh1" * 5, "abcdefgh1" * 4 + "abcdefgX1", "a", "", "a\0"]
+    raw = [w.encode() for w in words]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum([len(w) for w in raw])
+    starts = ends - [len(w) for w in raw]
+    for hashes in (np.full(len(raw), 7, np.uint64), kernel.span_hashes(data, starts, ends), np.arange(len(raw), dtype=np.uint64) % 3):
+        pool = kernel.Pool(limit=4)
+        for _ in range(3):
+            units = kernel.Units(data, starts, ends, hashes)
+
+            def encode(which):
+                own = [np.frombuffer(raw[k], np.uint8).astype(np.int32) for k in which]
+                return np.concatenate([*own, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+
+            at, n = pool.find(units, encode)
+            assert [bytes(pool.ids[a : a + k].astype(np.uint8)) for a, k in zip(at, n, strict=True)] == raw

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -52,7 +53,7 @@ def test_reader_reads_every_record_once(spark, tmp_path, split):
         starts = [a for a in range(len(raw)) if warc.next_record(source, a, a + 1) is not None]
         assert len(starts) == n
     else:
-        rows = warc.read(spark, files, split).collect()
+        rows = warc.read(spark.createDataFrame(files, "path string, size long"), split).collect()
         assert sorted(r.page_id for r in rows) == list(range(n))
         assert all(hashlib.sha1(bytes(r.payload)).digest() == base64.b32decode(r.payload_digest) for r in rows)
     assert gzip.decompress(raw).count(b"WARC-Type: response") >= n
@@ -62,7 +63,7 @@ def test_a_cut_archive_is_an_error(spark, tmp_path):
     raw = warc.member(warc.record(1, None, "response", base64.b32encode(hashlib.sha1(b"a" * 999).digest()).decode(), 999, b"a" * 999, None))
     (tmp_path / "cut").write_bytes(raw[:-9])
     with pytest.raises(Exception, match="cut off"):
-        warc.read(spark, [(f"{tmp_path}/cut", len(raw) - 9)]).collect()
+        warc.read(spark.createDataFrame([(f"{tmp_path}/cut", len(raw) - 9)], "path string, size long")).collect()
 
 
 def test_archives_on_the_table(spark):
@@ -72,6 +73,15 @@ def test_archives_on_the_table(spark):
     assert got == expect([(r.page_id, r.html) for r in doubled.collect()])
 
 
+def test_owners_meet_in_a_shuffle_and_files_roll(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "BROADCAST_OWNERS", 0)
+    pages = spark.createDataFrame(PAGES, "page_id long, html string, url string")
+    assert sorted((tuple(r) for r in warc.query(pages).collect()), key=str) == expect([p[:2] for p in PAGES])
+    files = warc.write(warc.with_classes(pages.coalesce(1)), f"file://{tmp_path}/rolled", file_bytes=300)
+    assert files.count() > 3
+    assert sorted((tuple(r)[:5] for r in warc.read(files).collect()), key=str) == expect([p[:2] for p in PAGES])
+
+
 # ---- decontamination
 
 
@@ -90,12 +100,8 @@ def brute(docs, items):
             b = words(item_text)
             if len(b) < decontaminate.SHORTEST or doc is None or item is None:
                 continue
-            n = min(len(b), decontaminate.SPAN)
-            masks = [m[:n] for m in decontaminate.MASKS]
             for diagonal in range(-len(b) + 1, len(d)):
                 same = [0 <= k + diagonal < len(d) and d[k + diagonal] == w for k, w in enumerate(b)]
-                if sum(same) < 4 or not any(all(same[k + p] for p, bit in enumerate(m) if bit == "1") and diagonal + k >= 0 and diagonal + k + n <= len(d) for k in range(len(b) - n + 1) for m in masks):
-                    continue
                 stretch = min(decontaminate.MIN_WORDS, len(b))
                 most = max(sum(same[k : k + stretch]) for k in range(len(b) - stretch + 1))
                 if most >= decontaminate.MIN_MATCH * stretch:
@@ -137,12 +143,23 @@ def test_overlaps_against_brute_force(spark, limit):
 def test_seed_hashes_ignore_masked_words():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 30).astype(kernel.U)
-    for number, mask in enumerate(decontaminate.MASKS):
-        want = decontaminate.seed_hashes(h, mask, number)
-        for p in range(12):
+    for mask in {m for own in decontaminate.MASKS.values() for m in own}:
+        want = decontaminate.seed_hashes(h, mask)
+        for p, bit in enumerate(mask):
             other = h.copy()
             other[5 + p] += kernel.U(1)
-            assert (decontaminate.seed_hashes(other, mask, number)[5] == want[5]) == (mask[p] == "0")
+            assert (decontaminate.seed_hashes(other, mask)[5] == want[5]) == (bit == "0")
+
+
+def test_masks_hit_whatever_words_are_unequal():
+    for n in range(2, decontaminate.MIN_WORDS + 1):
+        allowed = max(x for x in range(n) if n - x >= decontaminate.MIN_MATCH * n)
+        masks = decontaminate.masks_of(n, decontaminate.MIN_WORDS, decontaminate.MIN_MATCH)
+        assert masks == decontaminate.MASKS[n, allowed] and (n < 6 or any("0" in m for m in masks))
+        places = [{k + p for p, bit in enumerate(m) if bit == "1"} for m in masks for k in range(n - len(m) + 1)]
+        for unequal in itertools.combinations(range(n), allowed):
+            assert any(not x & set(unequal) for x in places), (n, unequal)
+    assert decontaminate.masks_of(50, 30, 0.9) == ("1" * 7,)
 
 
 def accepted(docs, items):
