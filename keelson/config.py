@@ -1,8 +1,12 @@
-"""Job configuration: YAML or JSON with camel-case keys; unknown keys are ignored."""
+"""Job configuration: YAML or JSON with camel-case keys; unknown keys are ignored.
+
+``read`` may stand at the top or under ``source``; ``incremental``, ``splits`` and ``deleteDetect`` at the top or under ``read``.
+"""
 
 from __future__ import annotations
 
 import dataclasses
+import importlib
 import json
 import re
 from dataclasses import dataclass, field
@@ -15,7 +19,20 @@ MODES = ("full", "incremental", "diff", "check")
 STRATEGIES = ("full", "id", "update_time", "update_time_id")
 SPLITS = ("auto", "range", "mod", "hash", "none")
 DELETES = ("none", "soft_column", "pk_diff", "fingerprint")
-SINKS = ("file", "jdbc", "console", "kafka", "doris", "starrocks", "parquet", "table")
+#: Types of targets, with the keys that each needs; ``sinks.register`` adds to them. A type "module:Class" is imported.
+SINKS: dict[str, tuple[str, ...]] = {
+    "file": ("path",),
+    "parquet": ("path",),
+    "table": ("table",),
+    "jdbc": ("url", "table"),
+    "console": (),
+    "kafka": ("brokers", "topic"),
+    "doris": ("http_url", "database", "table"),
+    "starrocks": ("http_url", "database", "table"),
+    "paimon": ("warehouse", "table"),
+}
+# Other names of keys of a target.
+ALIASES = {"bootstrapServers": "brokers", "paimonTable": "table"}
 
 
 @dataclass
@@ -58,7 +75,7 @@ class Incremental:
 class Splits:
     column: str = "id"
     num_partitions: int = 1
-    mode: str = "sequential"
+    mode: str = "sequential"  # parallel: several shards at a time
     strategy: str = "auto"
 
 
@@ -81,8 +98,13 @@ class Target:
     table: str = ""
     brokers: str = ""
     topic: str = ""
+    acks: str = "all"
     http_url: str = ""
+    fe_host: str = ""
+    fe_port: int = 8030
     database: str = ""
+    warehouse: str = ""
+    catalog_db: str = "default"
     write_mode: str = "merge"
     primary_key: list[str] = field(default_factory=list)
     options: dict = field(default_factory=dict)
@@ -108,6 +130,7 @@ class Runtime:
     max_rows_per_sec: int = 0
     max_concurrent_queries: int = 4
     report_path: str = ""
+    stage_path: str = ""  # where rows wait between source and target; spark.checkpoint.dir if not set
     metrics_enabled: bool = True
     full_checkpoint: bool = True
     diff_window_rows: int = 5_000
@@ -145,6 +168,12 @@ class JobConfig:
         """The target's primary key, else the source's."""
         return self.target.primary_key or self.read.primary_key
 
+    @property
+    def queries_at_once(self) -> int:
+        """How many shards may be read at a time."""
+        r = self.runtime
+        return 1 if self.splits.mode == "sequential" else max(1, min(r.extract_threads, r.max_concurrent_queries, self.source.pool_max))
+
     def validate(self) -> JobConfig:
         def need(ok: object, message: str) -> None:
             if not ok:
@@ -164,12 +193,12 @@ class JobConfig:
         need(self.delete_detect.mode in DELETES, f"deleteDetect.mode must be one of {DELETES}")
         need(self.delete_detect.mode != "soft_column" or self.delete_detect.soft_column, "soft_column needs deleteDetect.softColumn")
         t = self.target
-        need(t.type in SINKS, f"target.type must be one of {SINKS}")
+        need(t.type in SINKS or ":" in t.type, f"target.type must be one of {tuple(SINKS)}, or module:Class")
         need(t.write_mode in ("merge", "append"), "target.writeMode must be merge or append")
-        required = {"file": ("path",), "parquet": ("path",), "table": ("table",), "jdbc": ("url", "table"), "kafka": ("brokers", "topic"), "doris": ("http_url", "database", "table"), "starrocks": ("http_url", "database", "table")}
-        for name in required.get(t.type, ()):
+        for name in SINKS.get(t.type, ()):
             need(getattr(t, name), f"target.{_camel(name)} is required for {t.type}")
         need(t.type not in ("jdbc", "parquet") or t.write_mode != "merge" or t.primary_key, f"{t.type} merge needs target.primaryKey")
+        need(self.splits.mode in ("parallel", "sequential"), "splits.mode must be parallel or sequential")
         need(self.splits.num_partitions >= 1, "splits.numPartitions must be at least 1")
         need(self.runtime.write_batch_size >= 1, "runtime.writeBatchSize must be at least 1")
         need(0 <= self.quality.sample_hash_check <= 1, "quality.sampleHashCheck must be between 0 and 1")
@@ -177,6 +206,12 @@ class JobConfig:
         return self
 
 
+def named(path: str) -> object:
+    """What "module:name" names."""
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def _camel(name: str) -> str:
     return re.sub(r"_(.)", lambda m: m[1].upper(), name)
 
@@ -193,13 +228,34 @@ def _fill(kind: type, values: dict) -> object:
         elif isinstance(current, list) and not isinstance(value, list):
             value = [x.strip() for x in str(value).split(",") if x.strip()]
         elif isinstance(current, str):
-            value = value.lower() if f.name in ("mode", "strategy", "type", "write_mode") and kind is not Read else str(value)
+            value = str(value)
+            if f.name in ("mode", "strategy", "type", "write_mode") and ":" not in value:
+                value = value.lower()
         setattr(out, f.name, value)
     return out
 
 
+def _flat(values: dict) -> dict:
+    """Nested sections at the top, keys under their own names."""
+    out = dict(values)
+    source = dict(out.get("source") or {})
+    out["read"] = read = dict(out.get("read") or source.pop("read", None) or {})
+    out["source"] = source
+    for section in ("incremental", "splits", "deleteDetect"):
+        if section in read:
+            out.setdefault(section, read.pop(section))
+    target = dict(out.get("target") or {})
+    for name, own in ALIASES.items():
+        if target.get(name):
+            target[own] = target[name]
+    if target.get("feHost") and not target.get("httpUrl"):
+        target["httpUrl"] = f"http://{target['feHost']}:{target.get('fePort') or 8030}"
+    out["target"] = target
+    return out
+
+
 def from_dict(values: dict) -> JobConfig:
-    return _fill(JobConfig, values)
+    return _fill(JobConfig, _flat(values))
 
 
 def loads(text: str) -> JobConfig:

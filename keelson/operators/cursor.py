@@ -70,15 +70,25 @@ def incremental(df: DataFrame, inc: Incremental, start: Watermark) -> DataFrame:
     return out.where(F.coalesce(~fresh, F.lit(True))).unionByName(new)
 
 
-def reached(df: DataFrame, inc: Incremental) -> Watermark:
-    """The cursor after these rows: one aggregate, combined on the map side."""
+def marks(df: DataFrame, inc: Incremental) -> list[Column]:
+    """The aggregates mark_ts (text of fixed width) and mark_id: the cursor after these rows."""
     has_ts, has_id = inc.column in df.columns, inc.id_column in df.columns
+    id_ = F.col(inc.id_column).cast("long") if has_id else F.lit(None).cast("long")
     if inc.strategy == "id" or not has_ts:
-        return Watermark(None, df.agg(F.max(inc.id_column)).first()[0]) if has_id else Watermark()
+        return [F.max(F.lit(None).cast("string")).alias("mark_ts"), F.max(id_).alias("mark_id")]
     ts = F.col(inc.column).cast("timestamp_ntz")
-    id_ = F.col(inc.id_column).cast("long") if has_id else F.lit(None).cast("long")
-    top = df.where(ts.isNotNull()).agg(F.max(F.struct(ts.alias("ts"), id_.alias("id"))).alias("m")).first()["m"]
-    return Watermark(top["ts"], top["id"]) if top else Watermark()
+    return [F.max(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("mark_ts"), F.max_by(id_, F.when(ts.isNotNull(), F.struct(ts, id_))).alias("mark_id")]
+
+
+def mark(row: dict) -> Watermark:
+    """The cursor of a row with mark_ts and mark_id."""
+    ts = row["mark_ts"]
+    return Watermark(datetime.fromisoformat(ts) if ts else None, row["mark_id"])
+
+
+def reached(df: DataFrame, inc: Incremental) -> Watermark:
+    """The cursor after these rows: one aggregate, combined on the map side."""
+    return mark(df.agg(*marks(df, inc)).first().asDict())
 
 
 def lag_ms(mark: Watermark, now: datetime) -> int | None:

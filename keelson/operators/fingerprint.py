@@ -13,6 +13,12 @@ def _summary(h: Column) -> list[Column]:
     return [F.count(F.lit(1)).alias("row_count"), F.bit_xor(h).alias("hash_xor"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum")]
 
 
+def window(df: DataFrame, column: str, lo: object = None, hi: object = None) -> DataFrame:
+    """lo <= column < hi; None leaves that side open."""
+    out = df if lo is None else df.where(F.col(column) >= F.lit(lo))
+    return out if hi is None else out.where(F.col(column) < F.lit(hi))
+
+
 def table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row: row_count, hash_xor, hash_sum. Columns are taken in schema order."""
     return df.agg(*_summary(row_hash(df, columns)))
@@ -23,6 +29,20 @@ def by_partition(df: DataFrame, partition: Column, columns: list[str] | None = N
     return df.groupBy(partition.alias("part")).agg(*_summary(row_hash(df, columns)))
 
 
+def partition_of(df: DataFrame, column: str) -> Column:
+    """The value that rows are partitioned by: the day of a time, else the column itself; one for all without a column."""
+    if not column:
+        return F.lit(0)
+    return F.to_date(column) if df.schema[column].dataType.simpleString().startswith("timestamp") else F.col(column)
+
+
+def moved(source: DataFrame, target: DataFrame, column: str = "") -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides whose partitions have different fingerprints: what a diff has to look at. Both have the same columns."""
+    parts = changed(by_partition(source, partition_of(source, column)), by_partition(target, partition_of(target, column))).select("part")
+    own = lambda df: df.withColumn("_part", partition_of(df, column)).join(parts, F.col("_part").eqNullSafe(F.col("part")), "left_semi").drop("_part")
+    return own(source), own(target)
+
+
 def changed(now: DataFrame, before: DataFrame) -> DataFrame:
     """Partitions that are new, gone or different: (part, state)."""
     a, b = now.alias("a"), before.alias("b")

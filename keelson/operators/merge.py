@@ -25,14 +25,19 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str], order:
     """The target after upserts and deletes; columns that only the changes have are added.
 
     The last change of a key wins, whether upsert or delete: by ``order``, else deletes come after upserts.
-    Applying the same changes again gives the same target.
+    Applying the same changes again gives the same target. Both sides are read once: they meet in one shuffle on the
+    keys, where a change comes before the target's rows of its key and replaces them.
     """
     if not keys:
         raise ValueError("a merge needs a primary key")
-    last = keep_latest(changes, keys, order or [is_delete(changes).cast("int"), *(F.to_json(F.struct(*map(F.col, changes.columns))) for _ in [0])])
-    on = [F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    kept = target.alias("t").join(last.select(*keys).alias("c"), on, "left_anti").select("t.*")
-    return kept.unionByName(last.where(~is_delete(last)).drop(OP), allowMissingColumns=True)
+    order = order or [is_delete(changes).cast("int"), F.to_json(F.struct(*map(F.col, changes.columns)))]
+    ranks = {f"_rank{i}": c for i, c in enumerate(order)}
+    own = changes.withColumns({**ranks, "_gone": is_delete(changes), "_new": F.lit(1)}).drop(OP)
+    both = target.drop(OP).withColumn("_new", F.lit(0)).unionByName(own, allowMissingColumns=True)
+    run = W.partitionBy(*keys).orderBy(F.desc("_new"), *(F.col(c).desc_nulls_last() for c in ranks))
+    both = both.withColumn("_at", F.row_number().over(run)).withColumn("_changed", F.max("_new").over(run))
+    kept = (F.col("_changed") == 0) | ((F.col("_new") == 1) & (F.col("_at") == 1) & ~F.col("_gone"))
+    return both.where(kept).drop(*ranks, "_gone", "_new", "_at", "_changed")
 
 
 def append(target: DataFrame, rows: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keelson.config import JobConfig
-from keelson.functions.values import OP, all_of, same
+from keelson.functions.values import OP, all_of, portable_hash, same
 from keelson.operators.cursor import Watermark, lag_ms
+from keelson.sources.stage import staged
 
 SCHEMA = "level string, code string, message string"
 
@@ -45,20 +45,45 @@ def watermark_lag(mark: Watermark, max_ms: int, now: datetime) -> Check | None:
     return None if max_ms <= 0 or lag is None else Check("watermark_lag", lag <= max_ms, f"{lag} ms behind, {max_ms} allowed")
 
 
-def stride_sample(df: DataFrame, keys: list[str], fraction: float, limit: int = 5_000) -> DataFrame:
-    """About ``fraction`` of the rows, at least one and at most ``limit``, at even strides in key order; deletes are left out.
+def _wanted(n: int, fraction: float, limit: int) -> int:
+    return min(limit, max(1, -int(-n * fraction // 1))) if n and fraction > 0 else 0
 
-    The rows taken are those whose key's hash is smallest, put in key order: no task sorts the whole table.
-    """
-    rows = df.where(F.coalesce(~F.lower(OP).isin("d", "delete"), F.lit(True))) if OP in df.columns else df
-    n = rows.count()
-    want = min(limit, max(1, -int(-n * fraction // 1))) if n and fraction > 0 else 0
-    return rows.orderBy(F.xxhash64(*keys), *keys).limit(want).orderBy(*keys)
+
+def _upserts(df: DataFrame) -> DataFrame:
+    return df.where(F.coalesce(~F.lower(OP).isin("d", "delete"), F.lit(True))) if OP in df.columns else df
 
 
-def stride_rows(df: DataFrame, keys: list[str], every: int) -> DataFrame:
-    """Every ``every``-th row in key order, numbered in one window: for small tables and reports."""
-    return df.withColumn("_n", F.row_number().over(W.orderBy(*keys))).where((F.col("_n") - 1) % every == 0).drop("_n")
+def stride_sample(df: DataFrame, keys: list[str], fraction: float, limit: int = 5_000, path: str = "") -> DataFrame:
+    """``fraction`` of the rows, at least one and at most ``limit``, at even strides in key order; deletes are left out.
+
+    Keys alone are put in order, over all tasks, and written once; a row's place is its task's first place and its own
+    there. At most ``limit`` keys are then looked up.
+    """
+    rows = _upserts(df)
+    ordered = rows.select(*keys).repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, *(F.col(k).asc_nulls_first() for k in keys)).sortWithinPartitions(*(F.col(k).asc_nulls_first() for k in keys))
+    # the lower 33 bits count the rows of a task
+    with staged(ordered.withColumn("_id", F.monotonically_increasing_id()), path) as placed:
+        task, own = F.shiftright("_id", 33).alias("task"), F.col("_id").bitwiseAND((1 << 33) - 1)
+        counts = sorted(tuple(r) for r in placed.groupBy(task).agg(F.count(F.lit(1))).collect())  # one number for each task
+        n = sum(c for _, c in counts)
+        want = _wanted(n, fraction, limit)
+        if not want:
+            return rows.limit(0)
+        begins, before = [], 0
+        for t, c in counts:
+            begins.append((t, before))
+            before += c
+        first = F.broadcast(df.sparkSession.createDataFrame(begins, "task long, begin long"))
+        picked = placed.join(first, F.shiftright("_id", 33) == F.col("task")).where((own + F.col("begin")) % max(1, n // want) == 0).orderBy("_id").limit(want).select(*keys).distinct().toArrow()
+    picked = F.broadcast(df.sparkSession.createDataFrame(picked).alias("p"))  # at most ``limit`` keys
+    return rows.alias("r").join(picked, [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys], "left_semi").orderBy(*keys)
+
+
+def random_sample(df: DataFrame, keys: list[str], fraction: float, seed: int = 0, limit: int = 5_000) -> DataFrame:
+    """``fraction`` of the rows, at least one and at most ``limit``, by a hash of seed and key: the same rows in any engine. Deletes are left out."""
+    rows = _upserts(df)
+    want = _wanted(rows.count(), fraction, limit)
+    return rows.orderBy(portable_hash(F.lit(seed), *map(F.col, keys)), *keys).limit(want)
 
 
 def sample_mismatches(sample: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

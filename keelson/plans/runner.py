@@ -6,13 +6,15 @@ makes the next run read again what it wrote before, which a merging target absor
 
 from __future__ import annotations
 
+import contextlib
 import random
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.config import JobConfig
@@ -20,6 +22,7 @@ from keelson.functions.values import OP
 from keelson.operators import cursor, diff, fingerprint, quality, splits
 from keelson.operators.cursor import Watermark
 from keelson.sources import scan, sinks
+from keelson.sources.stage import staged
 from keelson.state import RunReport, StateStore, mark_text, open_state
 
 
@@ -54,6 +57,7 @@ class Job:
         self.spark, self.cfg, self.now = spark, cfg, now
         self.state = state or open_state(spark, cfg.state)
         self.sink = sinks.open_sink(spark, cfg)
+        self._waited = None
 
     # ------------------------------------------------------------ shared
 
@@ -95,6 +99,7 @@ class Job:
                 self._check(report, end)
         except Exception as e:
             report.status, report.message = "FAILED", f"{type(e).__name__}: {str(e)[:1500]}"
+        report.throttled_ms = self._waited.value if self._waited is not None else 0
         report.duration_ms = int((time.monotonic() - began) * 1000)
         report.rows_per_sec = report.rows_read * 1000 / max(1, report.duration_ms)
         report.finished_at = self.now().isoformat()
@@ -105,24 +110,52 @@ class Job:
             FileState(self.spark, cfg.runtime.report_path).add_run(report)
         return report
 
-    def _write(self, rows: DataFrame, report: RunReport) -> tuple[int, int, Watermark]:
-        """Write rows once read: (rows, deletes, cursor). They are cached, so that counts and cursor cost no second read."""
-        rows = rows.persist()
-        try:
-            began = time.monotonic()
-            deletes = F.count(F.when(F.coalesce(F.lower(OP).isin("d", "delete"), F.lit(False)), 1)) if OP in rows.columns else F.lit(0)
-            n, gone = rows.agg(F.count(F.lit(1)), deletes).first()
-            mark = cursor.reached(rows, self.cfg.incremental)
-            if n:
-                with_retry(self.cfg, lambda: self.sink.write(rows), report)
-            wait = throttle_seconds(n, time.monotonic() - began, self.cfg.runtime.max_rows_per_sec)
-            if wait:
-                time.sleep(wait)
-                report.throttled_ms += int(wait * 1000)
-            report.rows_written += n
-            return n, int(gone), mark
-        finally:
-            rows.unpersist()
+    def _write(self, rows: DataFrame, report: RunReport, waiting: bool = False) -> tuple[int, int, Watermark]:
+        """Write rows that are read once: (rows, deletes, cursor). Counts and cursor come from that pass.
+
+        A target that goes over the rows once gets them as they come; for others they wait in shared files (they do
+        already with ``waiting``), so that neither a second look nor a lost executor reads a moving source again.
+        """
+        deletes = F.count(F.when(F.coalesce(F.lower(OP).isin("d", "delete"), F.lit(False)), 1)) if OP in rows.columns else F.count(F.lit(None))
+        said = [F.count(F.lit(1)).alias("n"), deletes.alias("gone"), *cursor.marks(rows, self.cfg.incremental)]
+        rows = rows if waiting else self._paced(rows, report)
+        if self.sink.one_pass:
+
+            def attempt() -> dict:
+                seen = Observation()
+                self.sink.write(rows.observe(seen, *said))
+                return seen.get
+
+            found = with_retry(self.cfg, attempt, report)
+        else:
+            with contextlib.nullcontext(rows) if waiting else staged(rows, self.cfg.runtime.stage_path) as own:
+                found = own.agg(*said).first().asDict()
+                if found["n"]:
+                    with_retry(self.cfg, lambda: self.sink.write(own), report)
+        report.rows_written += found["n"]
+        return found["n"], found["gone"], cursor.mark(found)
+
+    def _paced(self, rows: DataFrame, report: RunReport) -> DataFrame:
+        """The rows at maxRowsPerSec at most, while they are read: each task waits before it asks the source for more."""
+        rate, context = self.cfg.runtime.max_rows_per_sec, self.spark.sparkContext
+        if rate <= 0:
+            return rows
+        own = max(1.0, rate / max(1, min(rows.rdd.getNumPartitions(), context.defaultParallelism)))
+        waited = self._waited = context.accumulator(0)
+
+        def slowly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            began, n = time.monotonic(), 0
+            for batch in batches:
+                step = max(1, int(own))  # what a second allows
+                for lo in range(0, len(batch), step):
+                    part = batch.slice(lo, step)
+                    n += len(part)
+                    wait = throttle_seconds(n, time.monotonic() - began, own)
+                    time.sleep(wait)
+                    waited.add(int(wait * 1000))
+                    yield part
+
+        return rows.mapInArrow(slowly, rows.schema)
 
     # ------------------------------------------------------------ modes
 
@@ -143,18 +176,22 @@ class Job:
         mark = Watermark()
         for m in done.values():
             mark = mark.later(m)
-        for i in range(len(plan.shards)):
-            if i not in done:
-                n, own = self._shard(plan, plan_id, i, report)
-                report.rows_read += n
-                mark = mark.later(own)
+        left = [i for i in range(len(plan.shards)) if i not in done]
+        # files are read whole for every remainder: all of those in one pass
+        size = len(left) if plan.mode in ("mod", "hash") and not scan.is_jdbc(cfg) else cfg.queries_at_once
+        for at in range(0, len(left), max(1, size)):
+            n, own = self._shards(plan, plan_id, left[at : at + size], report)
+            report.rows_read += n
+            mark = mark.later(own)
         self.state.save_watermark(cfg.name, mark)
         self.state.clear_progress(cfg.name)
         return mark
 
-    def _shard(self, plan: splits.Plan, plan_id: str, i: int, report: RunReport) -> tuple[int, Watermark]:
-        n, _, mark = self._write(self.source().where(plan.shards[i].predicate()), report)
-        self.state.mark_done(self.cfg.name, plan_id, i, mark)
+    def _shards(self, plan: splits.Plan, plan_id: str, numbers: list[int], report: RunReport) -> tuple[int, Watermark]:
+        """Some shards in one job, each by its own query, and then their marks."""
+        n, _, mark = self._write(scan.read(self.spark, self.cfg, shards=[plan.shards[i] for i in numbers]), report)
+        for i in numbers:
+            self.state.mark_done(self.cfg.name, plan_id, i, mark)
         return n, mark
 
     def run_shard(self, i: int, expected_plan: str = "") -> dict:
@@ -166,7 +203,7 @@ class Job:
             raise ValueError(f"there are {len(plan.shards)} shards")
         if i in self.state.done(self.cfg.name, plan_id):
             return {"rows": 0, "skipped": True, "shard": plan.shards[i].label, "plan": plan_id}
-        n, mark = self._shard(plan, plan_id, i, RunReport())
+        n, mark = self._shards(plan, plan_id, [i], RunReport())
         return {"rows": n, "skipped": False, "shard": plan.shards[i].label, "plan": plan_id, "watermark": mark_text(mark)}
 
     def _incremental(self, report: RunReport, start: Watermark) -> Watermark:
@@ -187,28 +224,30 @@ class Job:
             return start
         if not self.sink.readable:
             raise ValueError(f"a {cfg.target.type} target cannot be read back: {how.mode} would take it for empty")
-        seen = ""
-        if how.mode == "fingerprint":
-            seen = fingerprint.text(fingerprint.table(source).first())
-            if self.state.get(cfg.name, "fingerprint") == seen:
-                report.findings.append({"level": "INFO", "code": "UNCHANGED", "message": "the source's fingerprint is that of the last diff"})
-                return start
         target = self.sink.read()
         if target is None:
             target = self.spark.createDataFrame([], source.schema)
         keys = self.cfg.key or [cfg.incremental.id_column]
         names = {c.lower(): c for c in target.columns}
         target = target.select(*(F.col(names[c.lower()]).alias(c) if c.lower() in names else F.lit(None).cast(source.schema[c].dataType).alias(c) for c in source.columns))
-        all_ = diff.classify(source, target, keys, cfg.quality.compare_row_content).persist()
-        try:
-            counts = diff.summary(all_).first()
-            report.inserts, report.rewrites, report.deletes, report.unchanged = counts
-            report.rows_read = counts["inserts"] + counts["rewrites"] + counts["unchanged"]
-            self._write(all_.where(F.col(OP) != "="), report)
-        finally:
-            all_.unpersist()
-        if seen:  # only after what it led to is in the target
-            self.state.put(cfg.name, "fingerprint", seen)
+        if how.mode == "fingerprint":
+            # both sides, by partition: what has drifted on either is found
+            column = how.fingerprint_column
+            now, there = (fingerprint.by_partition(x, fingerprint.partition_of(x, column)) for x in (source, target))
+            if not fingerprint.changed(now, there).limit(1).count():
+                report.findings.append({"level": "INFO", "code": "UNCHANGED", "message": "source and target have the same fingerprints"})
+                return start
+            source, target = fingerprint.moved(source, target, column)
+        seen = Observation()
+        counts = {name: F.count(F.when(F.col(OP) == op, 1)).alias(name) for op, name in (("i", "inserts"), ("u", "rewrites"), ("d", "deletes"), ("=", "unchanged"))}
+        changes = diff.classify(source, target, keys, cfg.quality.compare_row_content).observe(seen, *counts.values()).where(F.col(OP) != "=")
+        with staged(changes, cfg.runtime.stage_path) as waiting:
+            found = seen.get
+            report.inserts, report.rewrites, report.deletes, report.unchanged = (found[name] for name in counts)
+            report.rows_read = found["inserts"] + found["rewrites"] + found["unchanged"]
+            self._write(waiting, report, waiting=True)
+        if how.mode == "fingerprint":  # only after what it led to is in the target
+            self.state.put(cfg.name, "fingerprint", fingerprint.text(fingerprint.table(self.source()).first()))
         return start
 
     # ------------------------------------------------------------ checks
@@ -227,7 +266,7 @@ class Job:
             if there is not None:
                 names = {c.lower(): c for c in there.columns}
                 there = there.select(*(F.col(names[c.lower()]).alias(c) for c in self.source().columns if c.lower() in names))
-                bad = quality.sample_mismatches(quality.stride_sample(self.source(), self.cfg.key, q.sample_hash_check), there, self.cfg.key).count()
+                bad = quality.sample_mismatches(quality.stride_sample(self.source(), self.cfg.key, q.sample_hash_check, path=self.cfg.runtime.stage_path), there, self.cfg.key).count()
                 checks.append(quality.Check("sample_hash", bad == 0, f"{bad} rows of the sample are missing or different"))
         report.checks = [vars(c) for c in checks if c is not None]
         report.status = quality.verdict(checks, q.fail_on_quality_mismatch)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
+from keelson.config import named
 from keelson.operators.splits import Shard
 
 
@@ -115,8 +116,13 @@ DERBY = Dialect("derby", limit_at="fetch", upsert_by="merge_derby", stamp="TIMES
 _BY_NAME = {"mysql": MYSQL, "mariadb": MYSQL, "postgres": POSTGRES, "postgresql": POSTGRES, "oracle": ORACLE, "sqlserver": SQLSERVER, "h2": H2, "derby": DERBY}
 
 
+def register(name: str, dialect: Dialect) -> None:
+    _BY_NAME[name.lower()] = dialect
+
+
 def by_name(name: str) -> Dialect:
-    return _BY_NAME.get((name or "").lower(), STANDARD)
+    """The dialect of a source type, or of "module:NAME"."""
+    return named(name) if ":" in (name or "") else _BY_NAME.get((name or "").lower(), STANDARD)
 
 
 def by_url(url: str) -> Dialect:

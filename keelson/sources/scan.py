@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.config import JobConfig
-from keelson.operators.splits import Plan
+from keelson.functions.values import any_of
+from keelson.operators.splits import Plan, Shard
 from keelson.sources.dialects import by_name, by_url
 
 
@@ -25,19 +26,22 @@ def is_jdbc(cfg: JobConfig) -> bool:
     return cfg.source.url.startswith("jdbc:")
 
 
-def read(spark: SparkSession, cfg: JobConfig, plan: Plan | None = None) -> DataFrame:
-    """The configured rows and columns. For JDBC every shard of the plan is one partition, read by one query."""
+def read(spark: SparkSession, cfg: JobConfig, plan: Plan | None = None, shards: list[Shard] | None = None) -> DataFrame:
+    """The configured rows and columns, of all shards of the plan or of some. For JDBC each is one partition, read by one query that has its predicate."""
     if is_jdbc(cfg):
         options = _jdbc_options(cfg)
-        if plan is not None and len(plan.shards) > 1:
+        own = shards if shards is not None else list(plan.shards) if plan is not None else []
+        if own and (shards is not None or len(own) > 1):
             dialect = by_url(cfg.source.url)
-            df = spark.read.jdbc(cfg.source.url, from_clause(cfg), predicates=[dialect.shard(s) for s in plan.shards], properties=options)
+            df = spark.read.jdbc(cfg.source.url, from_clause(cfg), predicates=[dialect.shard(s) for s in own], properties=options)
         else:
             df = spark.read.jdbc(cfg.source.url, from_clause(cfg), properties=options)
     elif cfg.read.mode == "query":
         df = spark.sql(cfg.read.query)
     else:
         df = _table(spark, cfg)
+    if shards is not None and not is_jdbc(cfg):
+        df = df.where(any_of([s.predicate() for s in shards]))
     if cfg.read.filter:
         df = df.where(cfg.read.filter)
     return df.select(*cfg.read.columns) if cfg.read.columns else df

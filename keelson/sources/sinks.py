@@ -12,18 +12,22 @@ import urllib.error
 import urllib.request
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.config import JobConfig
+from keelson.config import SINKS, JobConfig, named
 from keelson.functions.values import OP, row_hash
 from keelson.operators import merge
+from keelson.sources import stage
 from keelson.sources.dialects import by_url
+from keelson.state import FileState
 
 
 class Sink:
-    readable = False
+    #: Whether ``read`` gives what is there; whether ``write`` goes over the rows once, in one job.
+    readable = one_pass = False
 
     def __init__(self, spark: SparkSession, cfg: JobConfig) -> None:
         self.spark, self.cfg, self.target, self.keys = spark, cfg, cfg.target, cfg.key
@@ -42,6 +46,8 @@ class Sink:
 class FileSink(Sink):
     """Appends JSON lines, CSV, TSV, Parquet or ORC files."""
 
+    one_pass = True
+
     def write(self, rows: DataFrame) -> None:
         kind = self.target.format.lower()
         writer = rows.write.mode("append")
@@ -54,29 +60,76 @@ class FileSink(Sink):
 
 
 class SnapshotSink(Sink):
-    """A Parquet table by snapshots: a merge writes a new folder and then points to it, so readers and failed runs see whole tables only."""
+    """A Parquet table by snapshots and changes on top of them. A write adds a folder of changes and then a pointer that
+    names all folders, so readers and failed runs see whole tables only; when the changes are as large as the snapshot,
+    both are written as a new one. So n writes cost a few times the data, not n times the table.
 
-    readable = True
+    Pointers are numbered and never replaced: the highest one counts. Folders that neither of the last two names are removed.
+    """
 
-    def _pointer(self) -> object:
-        from keelson.state import FileState
+    readable = True
+    #: Folders of changes at most.
+    MOST = 50
 
+    def _state(self) -> FileState:
         return FileState(self.spark, self.target.path.rstrip("/") + "/_pointer")
 
+    def _folder(self, name: str) -> str:
+        return f"{self.target.path.rstrip('/')}/{name}"
+
+    def folders(self) -> list[str]:
+        """The snapshot's folder and those of changes, in order; none if there is no table yet."""
+        state = self._state()
+        numbers = state.keys("snapshot")
+        return json.loads(state.get("snapshot", numbers[-1])) if numbers else []
+
+    def _point(self, names: list[str]) -> None:
+        state = self._state()
+        numbers = state.keys("snapshot")
+        state.put("snapshot", f"{int(numbers[-1]) + 1 if numbers else 0:012d}", json.dumps(names))
+        if len(numbers) > 1:
+            kept = {*names, *json.loads(state.get("snapshot", numbers[-1]))}
+            for number in numbers[:-1]:
+                for name in {*json.loads(state.get("snapshot", number))} - kept:
+                    stage.remove(self.spark, self._folder(name))
+                state.put("snapshot", number, None)
+
+    def _bytes(self, name: str) -> int:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(name))
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
     def read(self) -> DataFrame | None:
-        now = self._pointer().get("snapshot", "current")
-        return self.spark.read.parquet(f"{self.target.path.rstrip('/')}/{now}") if now else None
+        names = self.folders()
+        if not names:
+            return None
+        base, *changes = (self.spark.read.parquet(self._folder(n)) for n in names)
+        if not changes:
+            return base
+        if self.target.write_mode != "merge":
+            return reduce(merge.append, changes, base)
+        numbered = [c.withColumn("_turn", F.lit(i)) for i, c in enumerate(changes)]
+        both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+        order = [F.col("_turn"), merge.is_delete(both).cast("int"), F.to_json(F.struct(*(F.col(c) for c in both.columns if c != "_turn")))]
+        return merge.apply_changes(base, both, self.keys, order).drop("_turn")
+
+    def _save(self, rows: DataFrame, kind: str) -> str:
+        name = f"{kind}-{uuid.uuid4().hex}"
+        rows.write.parquet(self._folder(name))
+        return name
 
     def write(self, rows: DataFrame) -> None:
-        before = self.read()
-        if before is None:
-            before = self.spark.createDataFrame([], rows.drop(OP).schema)
+        names = self.folders()
+        if not names:
+            empty = self.spark.createDataFrame([], rows.drop(OP).schema)
+            self._point([self._save(merge.apply_changes(empty, rows, self.keys) if self.target.write_mode == "merge" else merge.append(empty, rows), "snapshot")])
+            return
         if not self.cfg.quality.auto_add_columns:
-            rows = rows.select(*(c for c in rows.columns if c in before.columns or c == OP))
-        after = merge.apply_changes(before, rows, self.keys) if self.target.write_mode == "merge" else merge.append(before, rows)
-        name = f"snapshot-{uuid.uuid4().hex}"
-        after.write.parquet(f"{self.target.path.rstrip('/')}/{name}")
-        self._pointer().put("snapshot", "current", name)
+            have = self.spark.read.parquet(self._folder(names[0])).columns
+            rows = rows.select(*(c for c in rows.columns if c in have or c == OP))
+        names = [*names, self._save(rows, "changes")]
+        self._point(names)
+        if len(names) > self.MOST or sum(map(self._bytes, names[1:])) >= self._bytes(names[0]):
+            self._point([self._save(self.read(), "snapshot")])
 
 
 class TableSink(Sink):
@@ -84,12 +137,16 @@ class TableSink(Sink):
 
     readable = True
 
+    @property
+    def name(self) -> str:
+        return self.target.table
+
     def read(self) -> DataFrame | None:
-        return self.spark.table(self.target.table) if self.spark.catalog.tableExists(self.target.table) else None
+        return self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else None
 
     def write(self, rows: DataFrame) -> None:
         if self.target.write_mode == "append" or not self.keys or self.read() is None:
-            rows.drop(OP).write.mode("append").saveAsTable(self.target.table)
+            rows.drop(OP).write.mode("append").saveAsTable(self.name)
             return
         last = merge.keep_latest(rows, self.keys, [merge.is_delete(rows).cast("int")])
         view = f"keelson_changes_{uuid.uuid4().hex}"
@@ -98,7 +155,34 @@ class TableSink(Sink):
         on = " AND ".join(f"t.`{k}` <=> s.`{k}`" for k in self.keys)
         sets = ", ".join(f"t.`{c}` = s.`{c}`" for c in names if c not in self.keys)
         update = f"WHEN MATCHED AND s.{OP} = 'u' THEN UPDATE SET {sets} " if sets else ""
-        self.spark.sql(f"MERGE INTO {self.target.table} t USING {view} s ON {on} WHEN MATCHED AND s.{OP} = 'd' THEN DELETE {update}WHEN NOT MATCHED AND s.{OP} = 'u' THEN INSERT ({', '.join(f'`{c}`' for c in names)}) VALUES ({', '.join(f's.`{c}`' for c in names)})")
+        self.spark.sql(f"MERGE INTO {self.name} t USING {view} s ON {on} WHEN MATCHED AND s.{OP} = 'd' THEN DELETE {update}WHEN NOT MATCHED AND s.{OP} = 'u' THEN INSERT ({', '.join(f'`{c}`' for c in names)}) VALUES ({', '.join(f's.`{c}`' for c in names)})")
+
+
+class PaimonSink(TableSink):
+    """A table of a Paimon catalog in ``warehouse``; its connector has to be there. Options are those of the table."""
+
+    CATALOG = "keelson_paimon"
+
+    @property
+    def name(self) -> str:
+        return f"{self.CATALOG}.{self.target.catalog_db}.{self.target.table}"
+
+    def __init__(self, spark: SparkSession, cfg: JobConfig) -> None:
+        super().__init__(spark, cfg)
+        spark.conf.set(f"spark.sql.catalog.{self.CATALOG}", "org.apache.paimon.spark.SparkCatalog")
+        spark.conf.set(f"spark.sql.catalog.{self.CATALOG}.warehouse", cfg.target.warehouse)
+
+    def create(self, rows: DataFrame) -> str:
+        """The statement that makes the table, with its primary key."""
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop(OP).schema.fields)
+        options = ({"primary-key": ",".join(self.keys)} if self.keys else {}) | self.target.options
+        said = ", ".join(f"'{k}' = '{v}'" for k, v in options.items())
+        return f"CREATE TABLE IF NOT EXISTS {self.name} ({columns})" + (f" TBLPROPERTIES ({said})" if said else "")
+
+    def write(self, rows: DataFrame) -> None:
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.CATALOG}.{self.target.catalog_db}")
+        self.spark.sql(self.create(rows))
+        super().write(rows)
 
 
 class JdbcSink(Sink):
@@ -159,24 +243,34 @@ class JdbcSink(Sink):
         keys = [names[k.lower()] for k in self.keys]
         last = merge.keep_latest(rows, keys, [merge.is_delete(rows).cast("int")])
         gone = merge.is_delete(last)
-        last = last.persist()
         names = [c for c in last.columns if c != OP]
-        staged = {f"KEELSON_{uuid.uuid4().hex[:20].upper()}": part for part in (last.where(gone).select(*keys), last.where(~gone).select(*names)) if part.limit(1).count()}
+        kinds = rows.agg(F.max(merge.is_delete(rows)), F.max(~merge.is_delete(rows))).first()
+        parts = [last.where(gone).select(*keys) if kinds[0] else None, last.where(~gone).select(*names) if kinds[1] else None]
+        staged = {f"KEELSON_{uuid.uuid4().hex[:20].upper()}": (part, i == 0) for i, part in enumerate(parts) if part is not None}
         try:
             todo = []
-            for name, part in staged.items():
-                texts = ", ".join(f"`{f.name}` VARCHAR(1024)" for f in part.schema.fields if f.dataType.simpleString() == "string")
+            for name, (part, deletes) in staged.items():
+                texts = ", ".join(f"`{c}` {kind}" for c, kind in self._text_types().items() if c in part.columns)
                 writer = part.write.option("createTableColumnTypes", texts) if texts else part.write
                 writer.jdbc(t.url, name, mode="overwrite", properties=self._properties())
-                todo += [dialect.delete_staged(t.table, name, keys)] if part.columns == keys and names != keys else dialect.upsert_staged(t.table, name, names, keys)
+                todo += [dialect.delete_staged(t.table, name, keys)] if deletes else dialect.upsert_staged(t.table, name, names, keys)
             if todo:
                 self._execute(todo)
         finally:
-            last.unpersist()
             for name in staged:
                 with contextlib.suppress(Exception):  # one that was not made
                     self._execute([f"DROP TABLE {name}"])
 
+    def _text_types(self) -> dict[str, str]:
+        """The target's VARCHAR columns with their sizes; longer texts have the connector's type for them."""
+        c = self.spark._jvm.java.sql.DriverManager.getConnection(self.target.url, self.target.user, self.target.password)
+        try:
+            meta = c.createStatement().executeQuery(f"SELECT * FROM {self.target.table} WHERE 1 = 0").getMetaData()
+            found = [(meta.getColumnName(i), meta.getColumnTypeName(i).upper(), meta.getPrecision(i)) for i in range(1, meta.getColumnCount() + 1)]
+        finally:
+            c.close()
+        return {name: f"VARCHAR({size})" for name, kind, size in found if "CHAR" in kind and 0 < size <= 32_672}
+
 
 class ConsoleSink(Sink):
     def write(self, rows: DataFrame) -> None:
@@ -191,9 +285,11 @@ def kafka_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class KafkaSink(Sink):
+    one_pass = True
+
     def write(self, rows: DataFrame) -> None:
         writer = kafka_rows(rows, self.keys).write.format("kafka").option("kafka.bootstrap.servers", self.target.brokers).option("topic", self.target.topic)
-        writer.options(**{"kafka.acks": "all", "kafka.enable.idempotence": "true", "kafka.linger.ms": "5"} | self.target.options).save()
+        writer.options(**{"kafka.acks": self.target.acks, "kafka.enable.idempotence": "true", "kafka.linger.ms": "5"} | self.target.options).save()
 
 
 DELETE_SIGN = "__DORIS_DELETE_SIGN__"
@@ -206,9 +302,18 @@ def doris_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*map(F.col, names), sign), {"ignoreNullFields": "false"}).alias("value"))
 
 
+class _Follow(urllib.request.HTTPRedirectHandler):
+    """Sends a request again, body, method and login included, to the backend that a frontend names."""
+
+    def redirect_request(self, req: urllib.request.Request, fp: object, code: int, msg: str, headers: object, newurl: str) -> urllib.request.Request:
+        return urllib.request.Request(newurl, req.data, dict(req.header_items()), method=req.get_method())
+
+
 class DorisSink(Sink):
     """Stream load over HTTP, a batch of rows in one JSON array; a label names the batch, so a retried task does not load twice."""
 
+    one_pass = True
+
     def write(self, rows: DataFrame) -> None:
         t, size, run = self.target, self.cfg.runtime.write_batch_size, uuid.uuid4().hex
         url = f"{t.http_url.rstrip('/')}/api/{t.database or 'default_cluster'}/{t.table}/_stream_load"
@@ -217,7 +322,7 @@ class DorisSink(Sink):
         def send(values: list[str], part: int, batch: int) -> None:
             head = {"Authorization": f"Basic {login}", "Expect": "100-continue", "format": "json", "strip_outer_array": "true", "merge_type": "MERGE", "delete": f'{DELETE_SIGN}="1"', "label": f"keelson-{run}-{part}-{batch}"}
             request = urllib.request.Request(url, ("[" + ",".join(values) + "]").encode(), head, method="PUT")
-            with urllib.request.urlopen(request, timeout=600) as answer:
+            with urllib.request.build_opener(_Follow).open(request, timeout=600) as answer:
                 said = json.loads(answer.read() or b"{}")
             if said.get("Status", "Success") not in ("Success", "Publish Timeout", "Label Already Exists"):
                 raise OSError(f"stream load failed: {said}")
@@ -240,12 +345,15 @@ class DorisSink(Sink):
         doris_rows(rows).mapInPandas(run_part, "n long").write.format("noop").mode("overwrite").save()
 
 
-_TYPES: dict[str, Callable[[SparkSession, JobConfig], Sink]] = {"file": FileSink, "parquet": SnapshotSink, "table": TableSink, "jdbc": JdbcSink, "console": ConsoleSink, "kafka": KafkaSink, "doris": DorisSink, "starrocks": DorisSink, "paimon": TableSink}
+_TYPES: dict[str, Callable[[SparkSession, JobConfig], Sink]] = {"file": FileSink, "parquet": SnapshotSink, "table": TableSink, "jdbc": JdbcSink, "console": ConsoleSink, "kafka": KafkaSink, "doris": DorisSink, "starrocks": DorisSink, "paimon": PaimonSink}
 
 
-def register(name: str, make: Callable[[SparkSession, JobConfig], Sink]) -> None:
+def register(name: str, make: Callable[[SparkSession, JobConfig], Sink], required: tuple[str, ...] = ()) -> None:
+    """Adds a type of target, and the keys of its configuration that it needs."""
     _TYPES[name] = make
+    SINKS.setdefault(name, required)
 
 
 def open_sink(spark: SparkSession, cfg: JobConfig) -> Sink:
-    return _TYPES[cfg.target.type](spark, cfg)
+    make = named(cfg.target.type) if ":" in cfg.target.type else _TYPES[cfg.target.type]
+    return make(spark, cfg)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
 from pyspark.sql import SparkSession
 
+from keelson.config import named
 from keelson.operators.cursor import Watermark
 
 
@@ -110,7 +112,7 @@ class FileState(StateStore):
     """One small file for each key, replaced by a rename; reports are files named by time. Uses Hadoop's file systems from the driver."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._jvm, self._conf, self._gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
         self.root = path.rstrip("/")
 
     def _path(self, *parts: str) -> object:
@@ -138,11 +140,22 @@ class FileState(StateStore):
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        # Hadoop's rename does not replace; a reader in between sees the value before as missing only for an instant
-        if not fs.rename(temp, path):
+        self._replace(temp, path)
+
+    def _replace(self, temp: object, path: object) -> None:
+        """Rename over what is there, at once; a file system without that has the old value deleted first."""
+        hadoop = self._jvm.org.apache.hadoop.fs
+        try:
+            how = self._gateway.new_array(hadoop.Options.Rename, 1)
+            how[0] = hadoop.Options.Rename.OVERWRITE
+            hadoop.FileContext.getFileContext(path.toUri(), self._conf).rename(temp, path, how)
+        except Exception as e:
+            if "UnsupportedFileSystem" not in str(e):
+                raise
+            fs = self._fs()
             fs.delete(path, False)
             if not fs.rename(temp, path):
-                raise OSError(f"state was not written: {path}")
+                raise OSError(f"state was not written: {path}") from e
 
     def _names(self, *parts: str) -> list[str]:
         fs, path = self._fs(), self._path(*parts)
@@ -181,7 +194,7 @@ class JdbcState(StateStore):
 
     def __init__(self, spark: SparkSession, url: str, user: str = "", password: str = "") -> None:
         self._manager, self._args = spark._jvm.java.sql.DriverManager, (url, user, password)
-        for sql in ("CREATE TABLE keelson_state (job_id VARCHAR(128) NOT NULL, meta_key VARCHAR(128) NOT NULL, meta_value VARCHAR(2000), PRIMARY KEY (job_id, meta_key))", "CREATE TABLE keelson_run (run_id VARCHAR(64) NOT NULL PRIMARY KEY, job_id VARCHAR(128), started_at VARCHAR(40), report VARCHAR(16000))"):
+        for sql in ("CREATE TABLE keelson_state (job_id VARCHAR(128) NOT NULL, meta_key VARCHAR(128) NOT NULL, meta_value VARCHAR(2000), PRIMARY KEY (job_id, meta_key))", "CREATE TABLE keelson_run (run_id VARCHAR(64) NOT NULL, part INT NOT NULL, job_id VARCHAR(128), started_at VARCHAR(40), report VARCHAR(4000), PRIMARY KEY (run_id, part))"):
             try:
                 self._run([(sql, [])])
             except Exception as e:
@@ -224,13 +237,38 @@ class JdbcState(StateStore):
         return [r[0] for r in self._run([("SELECT meta_key FROM keelson_state WHERE job_id = ? ORDER BY meta_key", [job])], 1)]
 
     def add_run(self, report: RunReport) -> None:
-        self._run([("DELETE FROM keelson_run WHERE run_id = ?", [report.run_id]), ("INSERT INTO keelson_run VALUES (?, ?, ?, ?)", [report.run_id, report.job, report.started_at, report.to_json()[:16000]])])
+        """Reports are kept whole, in parts."""
+        text = report.to_json()
+        parts = [text[i : i + PART] for i in range(0, len(text), PART)]
+        rows = [("INSERT INTO keelson_run VALUES (?, ?, ?, ?, ?)", [report.run_id, str(i), report.job, report.started_at, p]) for i, p in enumerate(parts)]
+        self._run([("DELETE FROM keelson_run WHERE run_id = ?", [report.run_id]), *rows])
 
     def runs(self, job: str | None = None, limit: int = 0) -> list[RunReport]:
-        rows = self._run([("SELECT report FROM keelson_run WHERE job_id = ? ORDER BY started_at DESC, run_id DESC", [job]) if job else ("SELECT report FROM keelson_run ORDER BY started_at DESC, run_id DESC", [])], 1)
-        found = [r for r in (RunReport.from_json(x[0]) for x in rows) if r is not None]
+        order = "ORDER BY started_at DESC, run_id DESC, part"
+        rows = self._run([(f"SELECT run_id, report FROM keelson_run WHERE job_id = ? {order}", [job]) if job else (f"SELECT run_id, report FROM keelson_run {order}", [])], 2)
+        texts: dict[str, str] = {}
+        for run, part in rows:
+            texts[run] = texts.get(run, "") + part
+        found = [r for r in map(RunReport.from_json, texts.values()) if r is not None]
         return found[:limit] if limit > 0 else found
 
 
+#: Characters of a report in one row of a database.
+PART = 1000
+
+_TYPES: dict[str, Callable[[SparkSession, object], StateStore]] = {
+    "file": lambda spark, cfg: FileState(spark, cfg.path),
+    "jdbc": lambda spark, cfg: JdbcState(spark, cfg.url, cfg.user, cfg.password),
+}
+
+
+def register(name: str, make: Callable[[SparkSession, object], StateStore]) -> None:
+    _TYPES[name] = make
+
+
 def open_state(spark: SparkSession, cfg: object) -> StateStore:
-    return JdbcState(spark, cfg.url, cfg.user, cfg.password) if cfg.type == "jdbc" else FileState(spark, cfg.path)
+    """The configured store; a type "module:Class" is imported and made with (spark, cfg)."""
+    make = _TYPES.get(cfg.type) or (named(cfg.type) if ":" in cfg.type else None)
+    if make is None:
+        raise ValueError(f"state.type must be one of {tuple(_TYPES)}, or module:Class")
+    return make(spark, cfg)

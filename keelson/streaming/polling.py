@@ -11,17 +11,20 @@ from keelson.config import JobConfig
 from keelson.sources.sinks import open_sink
 
 
-class IdRange(InputPartition):
-    def __init__(self, lo: int, hi: int) -> None:
+class RowGroup(InputPartition):
+    """The rows of a row group whose ids are in (lo, hi]."""
+
+    def __init__(self, lo: int, hi: int, path: str, group: int) -> None:
         super().__init__(None)
-        self.lo, self.hi = lo, hi
+        self.lo, self.hi, self.path, self.group = lo, hi, path, group
 
 
 class PollingSource(DataSource):
     """format("keelson_poll"): new ids of a Parquet table whose id only grows, as ranges (from, to].
 
-    Offsets have an upper end, so a replayed micro-batch reads the same range; a partition has at most ``batch`` ids.
-    Options: path, id, batch, from, schema.
+    Offsets have an upper end, so a replayed micro-batch reads the same range. A partition is a row group that may have
+    ids of the range, however sparse they are; it is read by ``batch`` rows. Ids may be negative; rows without one are
+    never read. Options: path, id, batch, from, schema.
     """
 
     @classmethod
@@ -38,42 +41,43 @@ class PollingSource(DataSource):
 class PollingReader(DataSourceStreamReader):
     def __init__(self, options: dict, schema: object) -> None:
         self.path, self.id = options["path"], options.get("id", "id")
-        self.batch, self.names, self.first = int(options.get("batch", 100_000)), schema.fieldNames(), int(options.get("from", -1))
+        self.batch, self.names, self.first = int(options.get("batch", 100_000)), schema.fieldNames(), int(options.get("from", -(1 << 63)))
 
-    def _dataset(self) -> object:
+    def _dataset(self, path: str | None = None) -> object:
         import pyarrow.dataset as ds
         import pyarrow.fs as pafs
 
-        fs, path = (None, self.path) if "://" not in self.path else pafs.FileSystem.from_uri(self.path)
-        return ds.dataset(path, filesystem=fs, format="parquet")
+        fs, at = (None, self.path) if "://" not in self.path else pafs.FileSystem.from_uri(self.path)
+        return ds.dataset(path or at, filesystem=fs, format="parquet")
 
     def initialOffset(self) -> dict:
         return {"id": self.first}
 
-    def latestOffset(self) -> dict:
-        """The largest id: from the statistics of row groups, or the column itself where a group has none."""
+    def _groups(self) -> Iterator[tuple[str, int, int, int]]:
+        """(path, row group, least id, largest id) of groups with ids: from statistics, or the column itself where a group has none."""
         import pyarrow.compute as pc
 
-        top = self.first
         for fragment in self._dataset().get_fragments():
             for group in fragment.row_groups:
                 said = (group.statistics or {}).get(self.id)
-                if said is not None:
-                    top = max(top, said["max"])
-                else:
-                    rows = fragment.subset(row_group_ids=[group.id]).to_table(columns=[self.id])
-                    top = max(top, pc.max(rows[self.id]).as_py() or top)
-        return {"id": top}
+                if said is None:
+                    said = pc.min_max(fragment.subset(row_group_ids=[group.id]).to_table(columns=[self.id])[self.id]).as_py()
+                if said["max"] is not None:
+                    yield fragment.path, group.id, said["min"], said["max"]
+
+    def latestOffset(self) -> dict:
+        return {"id": max([self.first, *(top for *_, top in self._groups())])}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         lo, hi = start["id"], end["id"]
-        return [IdRange(a, min(a + self.batch, hi)) for a in range(lo, hi, self.batch)]
+        return [RowGroup(lo, hi, path, group) for path, group, least, top in self._groups() if top > lo and least <= hi]
 
-    def read(self, partition: IdRange) -> Iterator:
+    def read(self, partition: RowGroup) -> Iterator:
         import pyarrow.compute as pc
 
-        rows = self._dataset().to_table(columns=self.names, filter=(pc.field(self.id) > partition.lo) & (pc.field(self.id) <= partition.hi))
-        yield from rows.to_batches()
+        wanted = (pc.field(self.id) > partition.lo) & (pc.field(self.id) <= partition.hi)
+        for fragment in self._dataset(partition.path).get_fragments():
+            yield from fragment.subset(row_group_ids=[partition.group]).to_batches(columns=self.names, filter=wanted, batch_size=self.batch)
 
 
 def poll(spark: SparkSession, path: str, id_column: str = "id", batch: int = 100_000) -> DataFrame:

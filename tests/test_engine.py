@@ -291,7 +291,24 @@ def test_quality_checks(spark):
     assert sample.count() == 6 and sample.where("id = 0").count() == 0
     assert quality.stride_sample(t.limit(0), ["id"], 0.2).count() == 0
     assert rows(quality.sample_mismatches(t.drop("_op").where("id < 4"), t.select("id", F.when(F.col("id") == 2, "z").otherwise(F.col("v")).alias("v")).where("id != 1"), ["id"])) == [(1, "missing"), (2, "different")]
-    assert [r.id for r in quality.stride_rows(t, ["id"], 10).collect()] == [0, 10, 20]
+    assert [r.id for r in quality.stride_sample(t.repartition(7), ["id"], 0.1).collect()] == [1, 10, 19]
+    twice = t.unionByName(t).withColumn("k", F.when(F.col("id") > 20, F.col("id")))
+    assert 0 < quality.stride_sample(twice, ["k"], 0.1).count() <= 60  # all rows of a key that was taken
+    some = [r.id for r in quality.random_sample(t, ["id"], 0.2, seed=1).collect()]
+    assert len(some) == 6 and 0 not in some and some == [r.id for r in quality.random_sample(t.repartition(9), ["id"], 0.2, seed=1).collect()]
+    assert some != [r.id for r in quality.random_sample(t, ["id"], 0.2, seed=2).collect()]
+
+
+def test_fingerprint_windows_and_both_sides(spark):
+    t = spark.createDataFrame([(i, T_(i % 5), f"v{i}") for i in range(20)] + [(99, None, "x")], "id long, ts timestamp_ntz, v string")
+    other = t.where("id != 7").withColumn("v", F.when(F.col("id") == 3, "drift").otherwise(F.col("v")))
+    assert fingerprint.window(t, "id", 3, 8).count() == 5 and fingerprint.window(t, "id", hi=3).count() == 3
+    a, b = fingerprint.moved(t, other, "id")
+    assert (rows(a.select("id")), rows(b.select("id"))) == ([(3,), (7,)], [(3,)])
+    a, b = fingerprint.moved(t, t.repartition(3), "ts")
+    assert a.count() == b.count() == 0
+    assert fingerprint.moved(t, other, "")[0].count() == 21
+    assert fingerprint.partition_of(t, "ts")._jc.toString().startswith("to_date")
 
 
 def test_preflight(spark):
@@ -348,3 +365,70 @@ def test_payloads(spark):
     assert rows(sinks.kafka_rows(t, ["id", "v"]).select("key")) == [("1|",), ("2|x",)]
     assert rows(sinks.kafka_rows(t, []).select(F.length("key") > 3)) == [(True,), (True,)]
     assert [r.value for r in sinks.doris_rows(t).collect()] == ['{"id":1,"v":null,"__DORIS_DELETE_SIGN__":"1"}', '{"id":2,"v":"x","__DORIS_DELETE_SIGN__":"0"}']
+
+
+# ---------------------------------------------------------------- job files
+
+
+NESTED = """
+name: nested
+mode: incremental
+source:
+  type: mysql
+  url: jdbc:mysql://h/db
+  poolMax: 3
+  read:
+    table: orders
+    primaryKey: [id]
+    filter: "status <> 'TEST'"
+    incremental: {strategy: update_time_id, column: changed, idColumn: id, overlap: 10m, maxRowsPerRun: 500}
+    splits: {column: id, numPartitions: 4, mode: parallel, strategy: range}
+    deleteDetect: {mode: fingerprint, fingerprintColumn: changed}
+runtime: {maxConcurrentQueries: 9, extractThreads: 5}
+target:
+"""
+TARGETS = {
+    "  {type: file, path: ./o.jsonl, format: jsonl}": {"path": "./o.jsonl"},
+    "  {type: jdbc, url: 'jdbc:mysql://h/d', table: o, primaryKey: [id]}": {"table": "o"},
+    "  {type: kafka, bootstrapServers: 'a:1,b:2', topic: t, acks: all}": {"brokers": "a:1,b:2", "acks": "all"},
+    "  {type: doris, feHost: 10.0.0.1, fePort: 8031, database: dw, table: o}": {"http_url": "http://10.0.0.1:8031"},
+    "  {type: starrocks, feHost: h, database: dw, table: o}": {"http_url": "http://h:8030"},
+    "  {type: paimon, warehouse: 'hdfs:///lake', catalogDb: ods, paimonTable: o, options: {bucket: '4'}}": {"table": "o", "catalog_db": "ods", "options": {"bucket": "4"}},
+    "  {type: 'test_engine:Odd'}": {"type": "test_engine:Odd"},
+}
+
+
+class Odd(sinks.Sink):
+    def write(self, rows):
+        pass
+
+
+@pytest.mark.parametrize("target", TARGETS)
+def test_job_files_with_nested_sections(target):
+    cfg = config.loads(NESTED + target)
+    assert (cfg.read.table, cfg.incremental.column, cfg.incremental.max_rows_per_run, cfg.splits.num_partitions, cfg.delete_detect.fingerprint_column) == ("orders", "changed", 500, 4, "changed")
+    assert cfg.queries_at_once == 3 and cfg.incremental.lookback == timedelta(minutes=10)
+    assert {k: getattr(cfg.target, k) for k in TARGETS[target]} == TARGETS[target]
+
+
+def test_types_by_name(spark, tmp_path):
+    from keelson import state
+
+    cfg = config.from_dict(base(target={"type": "test_engine:Odd"})).validate()
+    assert isinstance(sinks.open_sink(spark, cfg), Odd)
+    sinks.register("odd", Odd, required=("topic",))
+    with pytest.raises(ValueError, match="topic"):
+        config.from_dict(base(target={"type": "odd"})).validate()
+    state.register("elsewhere", lambda s, c: ("made", c.path))
+    assert state.open_state(spark, config.State(type="elsewhere", path="p")) == ("made", "p")
+    with pytest.raises(ValueError, match="state.type"):
+        state.open_state(spark, config.State(type="nowhere"))
+    dialects.register("mine", dialects.MYSQL)
+    assert dialects.by_url("jdbc:mine://h") is dialects.MYSQL and dialects.by_name("keelson.sources.dialects:ORACLE") is dialects.ORACLE
+
+
+def test_statements_of_a_paimon_table(spark):
+    cfg = config.loads(NESTED + "  {type: paimon, warehouse: 'file:///tmp/none', catalogDb: ods, table: o, primaryKey: [id], options: {bucket: '4'}}")
+    sink = sinks.PaimonSink(spark, cfg)
+    rows_ = spark.createDataFrame([(1, "a", "d")], "id long, v string, _op string")
+    assert sink.create(rows_) == "CREATE TABLE IF NOT EXISTS keelson_paimon.ods.o (`id` bigint, `v` string) TBLPROPERTIES ('primary-key' = 'id', 'bucket' = '4')"

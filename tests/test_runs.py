@@ -263,6 +263,127 @@ def test_jdbc_target_and_source(place, spark, tmp_path):
     assert indexed_columns(spark, src.cfg) == {"id"}
 
 
+def test_shards_are_read_some_at_a_time_and_pushed_down(place, spark, tmp_path, monkeypatch):
+    url = f"jdbc:derby:memory:{tmp_path.name}p;create=true"
+    spark.range(40).withColumn("name", F.lit("n")).withColumn("update_time", F.lit(at(1)).cast("timestamp")).write.option("createTableColumnTypes", "name VARCHAR(9)").jdbc(url, "S")
+    job = place(source={"type": "derby", "url": url}, read={"table": "S", "primaryKey": ["id"], "columns": ["name", "id"]}, splits={"numPartitions": 8, "strategy": "mod", "mode": "parallel"}, runtime={"extractThreads": 3}, incremental={"strategy": "id"})
+    seen, real = [], job.sink.write
+
+    def write(rows):
+        seen.append(rows.count())
+        real(rows)
+
+    monkeypatch.setattr(job.sink, "write", write)
+    report = job.run("full")
+    assert (report.status, report.rows_read, seen, report.end) == ("SUCCESS", 40, [15, 15, 10], "|39"), report.message
+    assert len(there(job)) == 40
+    from keelson.sources import scan
+
+    some = scan.read(spark, job.cfg, shards=list(job.plan()[0].shards[:2]))
+    assert some.rdd.getNumPartitions() == 2 and sorted(r.id % 8 for r in some.collect()) == [0] * 5 + [1] * 5
+
+
+def test_rows_are_held_back_while_they_are_read(place):
+    place.save([(i, "x", at(1)) for i in range(600)])
+    job = place(runtime={"maxRowsPerSec": 400})
+    began = datetime.now()
+    report = job.run("full")
+    assert report.rows_read == 600 and (datetime.now() - began).total_seconds() > 1 and report.throttled_ms >= 1000, report
+
+
+def test_fingerprint_sees_a_target_that_drifted(place):
+    place.save([(i, f"n{i}", datetime(2024, 1, 1 + i % 3)) for i in range(9)])
+    job = place(deleteDetect={"mode": "fingerprint", "fingerprintColumn": "update_time"})
+    assert job.run("diff").inserts == 9
+    job.sink.write(job.spark.createDataFrame([(4, "drift", datetime(2024, 1, 2))], "id long, name string, update_time timestamp_ntz"))
+    report = job.run("diff")
+    # only the day that differs is compared
+    assert (report.rewrites, report.inserts, report.deletes, report.unchanged) == (1, 0, 0, 2), report
+    assert dict(there(job))[4] == "n4" and job.run("diff").findings[0]["code"] == "UNCHANGED"
+
+
+def test_snapshots_take_changes_and_are_whole_at_any_time(place, spark, monkeypatch):
+    place.save([(i, f"n{i * 7919 % 30011}", at(i % 50)) for i in range(20_000)])
+    job = place()
+    job.run("full")
+    sink, names = job.sink, []
+    want = dict(there(job))
+    for turn in range(6):
+        sink.write(spark.createDataFrame([(turn, f"t{turn}", None, "u"), (turn + 1, "later", None, "u"), (100 + turn, None, None, "d")], "id long, name string, update_time timestamp_ntz, _op string"))
+        want |= {turn: f"t{turn}", turn + 1: "later"}
+        want.pop(100 + turn, None)
+        assert dict(there(job)) == want
+        names.append(len(sink.folders()))
+    assert names[0] == 2 and max(names) > 2  # changes are on top of the snapshot
+    # a crash after the changes were written, before the pointer: the table is as before
+    with monkeypatch.context() as m:
+        m.setattr(sink, "_point", lambda _: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError, match="crash"):
+            sink.write(spark.createDataFrame([(0, "lost", None)], "id long, name string, update_time timestamp_ntz"))
+    assert dict(there(job)) == want
+    monkeypatch.setattr(type(sink), "MOST", 1)
+    sink.write(spark.createDataFrame([(0, "end", None)], "id long, name string, update_time timestamp_ntz"))
+    assert len(sink.folders()) == 1 and dict(there(job)) == want | {0: "end"}
+    assert len([p for p in (place.path / "out").iterdir() if p.name.startswith(("snapshot", "changes"))]) <= 12
+
+
+def test_state_is_replaced_at_once(spark, tmp_path, monkeypatch):
+    store = FileState(spark, f"{tmp_path}/s")
+    for i in range(3):
+        store.put("j", "k", f"v{i}")
+    assert store.get("j", "k") == "v2" and store.keys("j") == ["k"]
+
+
+def test_long_reports_and_long_texts_in_databases(place, spark, tmp_path):
+    url = f"jdbc:derby:memory:{tmp_path.name}l;create=true"
+    store = JdbcState(spark, url)
+    report = RunReport(job="j", message="é" * 5000, findings=[{"level": "WARN", "code": "X", "message": "m" * 30_000}])
+    store.add_run(report)
+    store.add_run(report)
+    assert [r.findings for r in store.runs("j")] == [report.findings]
+    c = spark._jvm.java.sql.DriverManager.getConnection(url)
+    c.createStatement().executeUpdate('CREATE TABLE L ("id" BIGINT NOT NULL PRIMARY KEY, "name" VARCHAR(9000), "update_time" TIMESTAMP)')
+    c.close()
+    place.save([(1, "x" * 8000, at(1)), (2, "short", at(1))])
+    job = place(target={"type": "jdbc", "url": url, "table": "L", "path": ""})
+    assert job.run("full").status == "SUCCESS" and dict(there(job))[1] == "x" * 8000
+
+
+def test_stream_loads_follow_the_frontend_to_a_backend(place):
+    import http.server
+    import threading
+
+    got = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_PUT(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            if not self.path.startswith("/be"):
+                self.send_response(307)
+                self.send_header("Location", f"http://127.0.0.1:{server.server_port}/be{self.path}")
+                self.end_headers()
+                return
+            got.append((self.path, self.headers["Authorization"], self.headers["Label"], json.loads(body)))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b'{"Status": "Success"}')
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        place.save([(i, f"n{i}", at(1)) for i in range(5)])
+        job = place(target={"type": "doris", "feHost": "127.0.0.1", "fePort": server.server_port, "database": "d", "table": "t", "user": "u", "password": "p", "path": ""}, runtime={"writeBatchSize": 2})
+        report = job.run("full")
+        assert (report.status, report.rows_written) == ("SUCCESS", 5), report.message
+    finally:
+        server.shutdown()
+    assert sorted(r["id"] for *_, rows in got for r in rows) == [0, 1, 2, 3, 4] and len(got) >= 3
+    assert all(path == "/be/api/d/t/_stream_load" and login == "Basic dTpw" and label.startswith("keelson-") for path, login, label, _ in got)
+
+
 def test_a_new_target_type_can_be_registered(place):
     got = []
 
@@ -295,6 +416,17 @@ def test_polling_stream_merges_batches_and_goes_on(place, spark, tmp_path):
     assert drain() == drain() == list(range(32))
 
 
+def test_polling_ids_that_are_sparse_negative_or_missing(spark, tmp_path):
+    rows = [(-(10**17), "a"), (-1, "b"), (None, "c"), (10**18, "d")]
+    spark.createDataFrame(rows, "id long, name string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    reader = polling.PollingReader({"path": f"{tmp_path}/in"}, spark.read.parquet(f"{tmp_path}/in").schema)
+    end = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), end)
+    assert end == {"id": 10**18} and len(parts) == 1
+    assert sorted(x for b in reader.read(parts[0]) for x in b["name"].to_pylist()) == ["a", "b", "d"]
+    assert reader.partitions(end, end) == []
+
+
 # ---------------------------------------------------------------- command line
 
 
