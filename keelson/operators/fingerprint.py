@@ -19,14 +19,14 @@ def window(df: DataFrame, column: str, lo: object = None, hi: object = None) ->
     return out if hi is None else out.where(F.col(column) < F.lit(hi))
 
 
-def table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row: row_count, hash_xor, hash_sum. Columns are taken in schema order."""
-    return df.agg(*_summary(row_hash(df, columns)))
+def table(df: DataFrame, columns: list[str] | None = None, hashed: Column | None = None) -> DataFrame:
+    """One row: row_count, hash_xor, hash_sum. Columns are taken in schema order; ``hashed`` is another hash of a row than row_hash."""
+    return df.agg(*_summary(row_hash(df, columns) if hashed is None else hashed))
 
 
-def by_partition(df: DataFrame, partition: Column, columns: list[str] | None = None) -> DataFrame:
+def by_partition(df: DataFrame, partition: Column, columns: list[str] | None = None, hashed: Column | None = None) -> DataFrame:
     """The same for each value of ``partition``: (part, row_count, hash_xor, hash_sum)."""
-    return df.groupBy(partition.alias("part")).agg(*_summary(row_hash(df, columns)))
+    return df.groupBy(partition.alias("part")).agg(*_summary(row_hash(df, columns) if hashed is None else hashed))
 
 
 def partition_of(df: DataFrame, column: str) -> Column:

@@ -6,6 +6,7 @@ price of every 13th raised, and with a ghost key for every 19th.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,8 @@ from keelson.config import Incremental, JobConfig, Read, Source, Splits, from_di
 from keelson.functions.values import OP, normalize, portable_hash
 from keelson.operators import cursor, diff, fingerprint, merge, quality, splits
 from keelson.operators.cursor import Watermark
-from keelson.sources import scan, sinks
-from keelson.state import RunReport, mark_text
+from keelson.sources import scan, sinks, stage
+from keelson.state import FileState, RunReport, mark_text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -78,7 +79,7 @@ def key_window_scan(spark, sf_dir):
 
 @register("SELECT DISTINCT conv_id, turn FROM conversations")
 def primary_key_set(spark, sf_dir):
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    return scan.key_set(_read(spark, sf_dir, "conversations"), ["conv_id", "turn"])
 
 
 # ---------------------------------------------------------------- splits
@@ -218,10 +219,10 @@ def merge_delete(spark, sf_dir):
     return _merged(spark, sf_dir, "d")
 
 
-@register(f"SELECT o_orderkey, o_totalprice FROM {TARGET} t UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 100")
+@register(f"SELECT o_orderkey, o_totalprice FROM {TARGET} t UNION ALL SELECT o_orderkey, o_totalprice FROM orders")
 def append_only(spark, sf_dir):
     orders = _read(spark, sf_dir, "orders")
-    return merge.append(target(orders), orders.where("o_orderkey < 100")).select("o_orderkey", "o_totalprice")
+    return merge.append(target(orders), orders).select("o_orderkey", "o_totalprice")
 
 
 @register("SELECT c_custkey, c_name, CAST(NULL AS DOUBLE) AS c_acctbal, CAST(NULL AS VARCHAR) AS c_mktsegment FROM customer")
@@ -304,16 +305,22 @@ def key_set_diff(spark, sf_dir):
 _EVENT_HASH = "('0x' || substr(md5(event_id::VARCHAR || '|' || user_id::VARCHAR || '|' || event_type), 1, 15))::BIGINT"
 
 
-@register(f"SELECT count(*) AS row_count, bit_xor({_EVENT_HASH}) AS hash_xor FROM events")
+@register(f"SELECT count(*) AS row_count, bit_xor({_EVENT_HASH}) AS hash_xor, sum({_EVENT_HASH})::VARCHAR AS hash_sum FROM events")
 def fingerprint_table(spark, sf_dir):
     h = portable_hash(F.col("event_id"), F.col("user_id"), F.col("event_type"))
-    return _read(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("row_count"), F.bit_xor(h).alias("hash_xor"))
+    return fingerprint.table(_read(spark, sf_dir, "events"), hashed=h).withColumn("hash_sum", F.col("hash_sum").cast("string"))
 
 
-@register(f"SELECT CAST(ts AS DATE) AS day, count(*) AS row_count, bit_xor({_EVENT_HASH}) AS hash_xor FROM events GROUP BY 1")
-def fingerprint_by_partition(spark, sf_dir):
+@register(f"SELECT count(*) AS row_count, bit_xor({_EVENT_HASH}) AS hash_xor, sum({_EVENT_HASH})::VARCHAR AS hash_sum FROM events WHERE event_id >= 1000 AND event_id < 3000")
+def fingerprint_window(spark, sf_dir):
     h = portable_hash(F.col("event_id"), F.col("user_id"), F.col("event_type"))
-    return _read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("row_count"), F.bit_xor(h).alias("hash_xor"))
+    return fingerprint.table(fingerprint.window(_read(spark, sf_dir, "events"), "event_id", 1000, 3000), hashed=h).withColumn("hash_sum", F.col("hash_sum").cast("string"))
+
+
+@register(f"SELECT CAST(ts AS DATE) AS part, count(*) AS row_count, bit_xor({_EVENT_HASH}) AS hash_xor, sum({_EVENT_HASH})::VARCHAR AS hash_sum FROM events GROUP BY 1")
+def fingerprint_by_partition(spark, sf_dir):
+    events, h = _read(spark, sf_dir, "events"), portable_hash(F.col("event_id"), F.col("user_id"), F.col("event_type"))
+    return fingerprint.by_partition(events, fingerprint.partition_of(events, "ts"), hashed=h).withColumn("hash_sum", F.col("hash_sum").cast("string"))
 
 
 @register("SELECT DISTINCT CAST(ts AS DATE) AS part, CASE WHEN CAST(ts AS DATE) = DATE '2024-01-03' THEN 'new' ELSE 'changed' END AS state FROM events WHERE event_id = 4000 OR CAST(ts AS DATE) = DATE '2024-01-03'")
@@ -352,10 +359,16 @@ def quality_lag(spark, sf_dir):
     return spark.createDataFrame([(cursor.lag_ms(floor, now), quality.watermark_lag(floor, 86_400_000, now).ok)], "lag_ms long, ok boolean")
 
 
-@register(f"SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'missing' ELSE 'different' END AS problem FROM orders WHERE o_orderkey % 10 = 0 AND (o_orderkey % 17 = 0 OR o_orderkey % 13 = 0)")
+@register(
+    """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS n FROM orders),
+w AS (SELECT *, least(5000, CAST(ceil(n * 0.1) AS BIGINT)) AS want FROM r)
+SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'missing' ELSE 'different' END AS problem FROM w
+WHERE rn % (n // want) = 0 AND rn // (n // want) < want AND (o_orderkey % 17 = 0 OR o_orderkey % 13 = 0)"""
+)
 def quality_sample(spark, sf_dir):
+    """A stride sample of the source, looked up in the target."""
     orders = _read(spark, sf_dir, "orders")
-    return quality.sample_mismatches(orders.where("o_orderkey % 10 = 0"), target(orders), ["o_orderkey"])
+    return quality.sample_mismatches(quality.stride_sample(orders, ["o_orderkey"], 0.1), target(orders), ["o_orderkey"])
 
 
 @register("SELECT * FROM (VALUES ('WARN', 'NO_OVERLAP'), ('ERROR', 'COLUMN_MISSING'), ('ERROR', 'PK_MISSING'), ('ERROR', 'WATERMARK_REGRESSION')) t(level, code)")
@@ -367,10 +380,12 @@ def preflight_findings(spark, sf_dir):
 
 @register("SELECT * FROM (VALUES ('job', 'incremental', 'SUCCESS', CAST(3 AS BIGINT), '2024-01-02T00:00:00|7')) t(job, mode, status, rows_read, ends)")
 def run_history(spark, sf_dir):
-    report = RunReport(job="job", mode="incremental", status="SUCCESS", rows_read=3, end=mark_text(Watermark(datetime(2024, 1, 2), 7)))
-    lines = spark.createDataFrame([(report.to_json(),), ("not json",)], "line string")
-    read = lines.select(F.from_json("line", "job string, mode string, status string, rows_read long, `end` string").alias("r")).where("r.job IS NOT NULL")
-    return read.select("r.job", "r.mode", "r.status", "r.rows_read", F.col("r.end").alias("ends"))
+    """Reports kept in a store and read back; one of another job, and one that cannot be read, are not among them."""
+    store = FileState(spark, f"{stage.folder(spark)}/keelson-queries/{uuid.uuid4().hex}")
+    store.add_run(RunReport(job="job", mode="incremental", status="SUCCESS", rows_read=3, end=mark_text(Watermark(datetime(2024, 1, 2), 7))))
+    store.add_run(RunReport(job="other"))
+    store._write(store._path("runs", "9-broken.json"), "not json")
+    return spark.createDataFrame([(r.job, r.mode, r.status, r.rows_read, r.end) for r in store.runs("job")], "job string, mode string, status string, rows_read long, ends string")
 
 
 # ---------------------------------------------------------------- sinks
@@ -378,8 +393,10 @@ def run_history(spark, sf_dir):
 
 @register("SELECT to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey})::VARCHAR AS value FROM nation")
 def sink_json(spark, sf_dir):
-    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    return nation.select(F.to_json(F.struct(*nation.columns), {"ignoreNullFields": "false"}).alias("value"))
+    """The lines of the files that the file sink wrote."""
+    cfg = from_dict({"source": {"url": sf_dir}, "read": {"table": "nation"}, "target": {"type": "file", "path": f"{stage.folder(spark)}/keelson-queries/{uuid.uuid4().hex}"}})
+    sinks.open_sink(spark, cfg).write(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    return spark.read.text(cfg.target.path)
 
 
 @register("SELECT n_regionkey::VARCHAR || '|' || n_nationkey::VARCHAR AS key, to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey, '_op': CASE WHEN n_nationkey < 3 THEN 'd' END})::VARCHAR AS value FROM nation")

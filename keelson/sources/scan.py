@@ -63,6 +63,11 @@ def key_window(df: DataFrame, key: str, after: object = None, upto: object = Non
     return out if upto is None else out.where(F.col(key) <= F.lit(upto))
 
 
+def key_set(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys alone, each once: nothing else is read."""
+    return df.select(*keys).distinct()
+
+
 def indexed_columns(spark: SparkSession, cfg: JobConfig) -> set[str] | None:
     """Leading columns of the table's indexes, in lower case; None where the source cannot tell (files, queries)."""
     if not is_jdbc(cfg) or cfg.read.mode == "query":
