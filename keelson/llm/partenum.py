@@ -16,9 +16,10 @@ signatures than a passage gives them. Orders change the work, never the result.
 Texts with equal sets are one class from the start. Classes that share a signature are
 candidates. Not all pairs of such a run are made: first each class is compared with one other,
 the least of the first classes of its runs, and what links becomes a component. Where a run
-has more than one component, each class outside the largest is compared with one class of
-that, another one each round; where then still is more than one, with all the rest, across
-components only. Candidates are pruned without loss by size and by parity sketches (two sets
+has more than one component, each class outside the largest is compared with some classes of
+that, others and more each round: every run names one by chance, and those that most of its runs
+name come first, since they share most with it; where then still is more than one component,
+with all the rest, across components only. Candidates are pruned without loss by size and by parity sketches (two sets
 differ in at least as many shingles as their sketches in bits), and the others verified on the
 shingles themselves: a link needs 100 * intersection >= percent * union, in whole numbers.
 Runs of signatures that the table knows as hot are dealt out in parts.
@@ -55,8 +56,8 @@ _BAND, _HOT, _PART_AT, _PART = 127, 128, 8, 15 << 8
 N2, K2 = 2, 1
 #: Least bits of the sketch that pairs are pruned by before their shingles are read; it grows with the set.
 WIDE = 1024
-#: Rounds in which each class outside a run's largest component is compared with one class of that.
-ROUNDS = 2
+#: Rounds, by how many classes of its runs' largest components a class outside them is compared with.
+ROUNDS = (2, 8, 32)
 #: Candidate classes whose ids are broadcast at most (16 bytes each); with more of them, texts join them in a shuffle.
 BROADCAST_CLASSES = 1_000_000
 
@@ -432,9 +433,8 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     # one more at a time across components, while that joins some; then all that is left
     apart = materialize(_mixed(shared.select("sig", "class"), roots).select("sig", "class"), "mixed")
     sets = read_sets(docs, apart.select("class"), classes, n)
-    for turn in range(ROUNDS + 1):
-        every = turn == ROUNDS
-        pairs = _across(_mixed(apart, roots), classes, percent) if every else pruned(_picked(_mixed(apart, roots), turn))
+    for turn, most in enumerate([*ROUNDS, None]):
+        pairs = _across(_mixed(apart, roots), classes, percent) if most is None else pruned(_picked(_mixed(apart, roots), turn, most))
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
             continue
@@ -454,12 +454,14 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(materialize(mixed, "mixed"), "sig")  # written: a hot run can be split
 
 
-def _picked(mixed: DataFrame, turn: int) -> DataFrame:
-    """For each class outside the largest component of a run one class (a, b) of such a component, another one each turn."""
-    order = F.xxhash64(F.col("class"), F.lit(turn))
-    chosen = mixed.where("root = main").groupBy("sig").agg(F.min(F.struct(order.alias("h"), F.col("class").alias("y"))).alias("c"))
-    one = mixed.where("root != main").join(chosen, "sig").groupBy(F.col("class").alias("x")).agg(F.min("c").alias("c"))
-    return one.select(F.least("x", "c.y").alias("a"), F.greatest("x", "c.y").alias("b")).distinct()
+def _picked(mixed: DataFrame, turn: int, most: int) -> DataFrame:
+    """For each class outside the largest component of its runs up to ``most`` classes (a, b) of such components: each run names one, others each turn."""
+    order = F.xxhash64(F.col("class"), F.col("sig"), F.lit(turn))
+    chosen = mixed.where("root = main").groupBy("sig").agg(F.min(F.struct(order.alias("h"), F.col("class").alias("y")))["y"].alias("y"))
+    named = mixed.where("root != main").join(chosen, "sig").groupBy(F.col("class").alias("x"), "y").agg(F.count(F.lit(1)).alias("n"))
+    ranked = F.sort_array(F.collect_list(F.struct("n", F.xxhash64("x", "y").alias("h"), "y")), asc=False)  # as many as a class has signatures
+    one = named.groupBy("x").agg(F.slice(ranked, 1, most).alias("ys")).select("x", F.explode("ys.y").alias("y"))
+    return one.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -493,3 +495,23 @@ def stage(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     if gone.count() <= BROADCAST_CLASSES:  # checked; else texts and ids meet in a shuffle
         gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), p AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(a, b) AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reached r JOIN both_ways e ON r.b = e.a
+), least_of AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.b, s.doc_id)) AS component_id FROM s LEFT JOIN least_of c ON c.a = s.doc_id
+"""
