@@ -299,3 +299,18 @@ def stage(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS, min_mat
                 yield batch.slice(lo, hi - lo).filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents) t
+), b AS (
+  SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark) t WHERE len(w) >= 2
+), h AS (
+  SELECT doc_id, item_id, n, d.at - b.k AS diagonal, b.k AS k, count(*) OVER (PARTITION BY doc_id, item_id, d.at - b.k) AS equal FROM d JOIN b USING (word)
+), r AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY k RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS most FROM h WHERE equal >= 0.75 * least(13, n)
+)
+SELECT doc_id, item_id, max(most) AS matched_stretch, max(equal) AS matched_words, CAST(max(n) AS BIGINT) AS item_words
+FROM r WHERE most >= 0.75 * least(13, n) GROUP BY doc_id, item_id
+"""

@@ -47,4 +47,4 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_formatting, op3_quality_ranking, op4_spotsigs, op5_partenum_join, op6_warc, op7_decontamination, op8_unigram_encoding, op9_huffman_files, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op6_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op5_partenum_join": partenum.ORACLE, "op6_warc": warc.ORACLE, "op7_decontamination": decontaminate.ORACLE}

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_and_sql_agree(spark, name):
     con = duckdb.connect()
-    for table in ("conversations", "pages", "documents"):
+    for table in ("conversations", "pages", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     cursor = con.execute(ORACLE_SQL[name])
     columns = sorted(d[0] for d in cursor.description)
