@@ -63,8 +63,8 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
 
 
 def fingerprint(sigs: Column) -> Column:
-    """The set as text: 8 hex digits of each signature, ascending."""
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))))), "")
+    """The set as text, whole: 16 hex digits of each signature, ascending. Likenesses are those of these sets."""
+    return F.array_join(F.array_sort(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x), 16, "0")))), "")
 
 
 def likeness(a: Column, b: Column, least: float = LEAST) -> Column:

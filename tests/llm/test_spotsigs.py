@@ -41,6 +41,9 @@ def check(rows, texts):
         for near, other in ((r.near_edited, b), (r.near_next, c)):
             pruned = min(len(a), len(other)) < spotsigs.LEAST * max(len(a), len(other))
             assert near == pytest.approx(0.0 if pruned else jaccard(a, other), abs=1e-9)
+        # likenesses are those of the reported fingerprints
+        signatures = lambda print_: {print_[k : k + 16] for k in range(0, len(print_), 16)}
+        assert r.near_edited == pytest.approx(jaccard(signatures(r.fingerprint), signatures(r.edited_fingerprint)), abs=1e-9)
         assert prints.setdefault(r.fingerprint, a) == a
         assert prints.setdefault(r.edited_fingerprint, b) == b
 
