@@ -18,7 +18,8 @@ Texts are cut at ASCII white space, which the tokenizer drops and no token cross
 distinct part is encoded once for many texts by the tokenizers library.
 
 Defined results: a null or empty text has the end id only. Null ids come first; rows of one
-id are ordered by their tokens. An empty table gives no files and no rows. Extra columns do
+id are ordered by their tokens (where they are very many, by a hash of these first, so that
+several tasks share them). An empty table gives no files and no rows. Extra columns do
 not matter.
 """
 
@@ -29,7 +30,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -283,7 +284,7 @@ class Code:
 
 @dataclass
 class Cuts:
-    """Where parts begin, ascending: an id, and for ids of very many rows also a first byte of the documents' bits."""
+    """Where parts begin, ascending: an id, and for ids of very many rows also a byte of a hash of the tokens."""
 
     ids: np.ndarray
     bytes: np.ndarray
@@ -294,12 +295,13 @@ class Cuts:
         own = [np.unique(np.arange(t) * 256 // t) for t in times]  # an id that is several quantiles has as many parts, up to 256
         return Cuts(np.repeat(ids, [len(x) for x in own]), np.concatenate([*own, np.zeros(0, np.int64)]))
 
-    def part(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def part(self, ids: np.ndarray, byte: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The part of each row; ``byte`` gives the hash's byte of some rows."""
         lo, hi = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
         out = hi.copy()
         for a, b in {(int(a), int(b)) for a, b in zip(lo[hi - lo > 1], hi[hi - lo > 1], strict=True)}:
             here = (lo == a) & (hi == b)
-            out[here] = a + np.searchsorted(self.bytes[a:b], first[here], "right")
+            out[here] = a + np.searchsorted(self.bytes[a:b], byte(np.flatnonzero(here)), "right")
         return out.astype(np.int32)
 
 
@@ -325,9 +327,9 @@ def write_files(tokens: DataFrame, folder: str, code: Code, file_tokens: int = F
                 n = np.diff(at[a : b + 1])
                 id_column = part.column(0)
                 byte_ends, mark_ends = (np.concatenate([[0], np.cumsum(x)]).astype(np.int32) for x in (doc_bytes, 4 * ((n + STEP - 1) // STEP)))
-                heads = np.frombuffer(bits + b"\0", np.uint8)[byte_ends[:-1]]
+                byte = lambda which, a=a, at=at, ids=ids: np.array([zlib.crc32(ids[at[a + k] : at[a + k + 1]]) >> 24 for k in which])
                 binary = lambda raw, ends: pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([pa.array(own_cuts.part(id_column.fill_null(_NO_ID).to_numpy(), heads)), id_column, pa.array(n), binary(marks.astype("<u4").tobytes(), mark_ends), binary(bits, byte_ends)], ["part", "doc_id", "n_tokens", "marks", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(own_cuts.part(id_column.fill_null(_NO_ID).to_numpy(), byte)), id_column, pa.array(n), binary(marks.astype("<u4").tobytes(), mark_ends), binary(bits, byte_ends)], ["part", "doc_id", "n_tokens", "marks", "bits"])
 
     packed = tokens.select("doc_id", "ids").mapInArrow(pack_docs, "part int, doc_id long, n_tokens long, marks binary, bits binary")
 
