@@ -15,19 +15,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
+    """The folder that the driver and all executors share, with its file system: spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a local folder is made.
+    Only where that is unset and driver and executors are one machine, as in tests, a local folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext.getCheckpointDir()
         found = made.rpartition("/")[0] if made else None
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="keelson-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    at = spark._jvm.org.apache.hadoop.fs.Path(found)  # without a scheme it is on the default file system, for Spark and for us
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
@@ -39,7 +43,16 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove the files of materialised frames that nothing reads any more."""
+    for df in written:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def store(path: str) -> tuple[pafs.FileSystem, str]:

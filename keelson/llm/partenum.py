@@ -44,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keelson.llm import kernel
-from keelson.llm.common import materialize, small_batches
+from keelson.llm.common import discard, materialize, small_batches
 
 U = kernel.U
 #: Signatures that a set may leave out are so many and half as many as linked sets may differ in shingles; ratio of a band's ends.
@@ -285,8 +285,11 @@ def shared_runs(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> Da
     order = F.row_number().over(W.partitionBy("class", "band").orderBy(F.desc("n"), "sig"))
     kept = both.withColumn("at", order).where(F.col("at") > F.element_at(F.array(*map(F.lit, later.tolist())), F.col("band") + 1)).select("sig", "class")
     kept = materialize(kept, "kept")
+    discard(runs, whole)
     ends = materialize(kept.groupBy("sig").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first < last").select("sig", "first"), "ends")
-    return materialize(kept.join(ends, "sig"), "shared")
+    shared = materialize(kept.join(ends, "sig"), "shared")
+    discard(kept, ends)
+    return shared
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -389,6 +392,8 @@ def _side(classes: DataFrame, end: str) -> list[Column]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of the edges (a, b). Alternating stars; each round is written to the shared folder."""
 
+    used: list[DataFrame] = []
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             e = e.union(e.select("b", "a"))
@@ -396,6 +401,7 @@ def components(edges: DataFrame) -> DataFrame:
             e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         # written, so that both sides of the join are dealt out for it alone and a hot node can be split
         least = materialize(e.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
+        used.append(least)
         joined = e.join(least, "a")
         if large:
             return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
@@ -405,7 +411,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = sign(now)
     while before[0]:
+        used.append(now)
         now = materialize(star(star(now, True), False), "edges")
+        discard(*used)  # the round is written
+        used.clear()
         after = sign(now)
         if after == before:
             break
