@@ -312,6 +312,100 @@ def test_token_files_in_many_files(spark, monkeypatch):
     assert {r.doc_id: bytes(r.ids) for r in rows} == ids
 
 
+def test_ids_of_very_many_rows_have_several_parts_and_files(spark):
+    rows = [(None if k % 3 else 7, f"text {k % 50} of words w{k * 7919 % 1000} " * (k % 5)) for k in range(600)] + [(-4, "first but for the nulls"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tokens = huffman.tokenize(docs)
+    code = huffman.Code(huffman.code_lengths(huffman.count_ids(tokens)))
+    index = huffman.write_files(tokens, f"{spark.conf.get('spark.checkpoint.dir')}/hot", code, file_tokens=500, file_bytes=1)
+    assert index.select("path").distinct().count() > 8
+    got = sorted(huffman.read_blocks(index).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    key = [-(1 << 63) if r.doc_id is None else r.doc_id for r in got]
+    assert key == sorted(key)
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == sorted((str(r.doc_id), bytes(r.ids)) for r in tokens.collect())
+    cuts = huffman.Cuts.of([5, 5, 5, 5, 9])
+    assert cuts.ids.tolist() == [5, 5, 5, 5, 9] and cuts.bytes.tolist() == [0, 64, 128, 192, 0]
+    byte = np.array([255, 0, 64, 255, 0, 0, 0])
+    assert cuts.part(np.array([4, 5, 5, 5, 8, 9, 10]), lambda which: byte[which]).tolist() == [0, 1, 2, 4, 4, 5, 5]
+
+
+# ---- scores against plain loops
+
+
+def plain_features(text):
+    """The features of one text, byte by byte and word by word."""
+    raw = (text or "").encode()
+    kinds = {k: 0 for k in ("upper", "lower", "digit", "space", "newline", "bar", "bang", "mark", "stop", "other", "symbol")}
+    for b in raw:
+        c = chr(b)
+        kind = "lower" if b >= 128 or "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "newline" if c == "\n" else "space" if c in " \t\x0b\x0c\r" else "bar" if c == "|" else "bang" if c == "!" else "mark" if c in "*#$%&@^~=" else "stop" if c in ".,;:?" else "symbol" if c in "<>{}[]\\/_+" else "other"
+        kinds[kind] += 1
+    share = {k: v / max(1, len(raw)) for k, v in kinds.items()}
+    words, word = [], b""
+    for b in raw + b" ":
+        if b in b" \t\n\x0b\x0c\r":
+            words += [word] * bool(word)
+            word = b""
+        else:
+            word += bytes([b + 32 if 65 <= b <= 90 else b])
+    n = len(words)
+    repeated = sum(x == y for x, y in zip(words, words[1:], strict=False)) / max(1, n)
+    mean = sum(map(len, words)) / max(1, n)
+    seen = [share[k] > at for k, at in (("upper", 0.15), ("digit", 0.1), ("bar", 0.02), ("bang", 0.02), ("mark", 0.03), ("symbol", 0.05))]
+    return [*(v**0.5 for v in share.values()), *map(float, seen), repeated, float(repeated > 0.2), np.log1p(n), min(mean, 40) / 10, float(n < 5)]
+
+
+def test_quality_scores_are_those_of_plain_loops(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.train(docs, labels)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()] + ODD
+    got = sorted(((r.doc_id, r.quality_score) for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()), key=str)
+    want = []
+    for doc, text in rows:
+        raw = sum((f - c) / s * w for f, c, s, w in zip(plain_features(text), m.centre, m.scale, m.weights, strict=True))
+        z = m.slope * (raw - m.threshold) + np.log(0.3 / 0.7)
+        want.append((doc, 1 / (1 + np.exp(-min(30, max(-30, z))))))
+    assert [g for g, _ in got] == [w for w, _ in sorted(want, key=str)]
+    assert sorted(x for _, x in got) == pytest.approx(sorted(x for _, x in want), abs=1e-9)
+
+
+def test_language_scores_are_those_of_plain_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = langid.train(docs)
+    rows = [(i, t) for i, t in docs.select("doc_id", "text").limit(150).collect()] + [(i, t) for i, t in ODD if t is None or len(t) < 1000]
+    got = langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()
+    assert len(got) == len(rows)
+    by_text = {r.text: r for r in got}
+    for _, text in rows:
+        raw = [b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in (text or "").encode()]
+        total, count, known = np.zeros(len(m.langs)), 0, 0
+        for k, n in enumerate((3, 4)):
+            for i in range(len(raw) - n + 1):
+                if set(raw[i : i + n]) != {32}:
+                    key = sum(b << (8 * j) for j, b in enumerate(raw[i : i + n]))
+                    h = ((key * 0x9E3779B1) & 0xFFFFFFFF) ^ (key >> 15)
+                    h = ((h * 0x85EBCA6B) & 0xFFFFFFFF) >> 12
+                    total += m.logits[(h + (k << 20)) >> 7]
+                    count, known = count + 1, known + bool(m.known[h + (k << 20)])
+        z = (total / max(1, count) + m.bias) / m.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        r = by_text[text]
+        if any(c.isalpha() for c in text or ""):
+            assert r.lang_pred == m.langs[int(p.argmax())] and r.lang_score == pytest.approx(p.max(), abs=1e-4)
+            assert r.lang_rejected == ((known + 20) / (count + 20) < m.reject_below)
+        else:
+            assert (r.lang_pred, r.lang_score, r.lang_rejected) == ("und", 0.0, True)
+
+
+def test_the_language_stage_keeps_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit("mine") for c in ("lang_pred", "lang_score", "lang_rejected")})
+    kept = langid.stage(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.select("lang_pred", "lang_score", "lang_rejected").distinct().collect()} == {("mine",) * 3}
+
+
 # ---- hashes
 
 
