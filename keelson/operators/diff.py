@@ -45,6 +45,11 @@ def classify(source: DataFrame, target: DataFrame, keys: list[str], compare: boo
     return both.select(*((keyed[c] if c in keyed else F.col("s")[c]).alias(c) for c in source.columns), op.alias(OP))
 
 
+def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that more than one row has, and how many (keys, n): a diff pairs each such row with each of the other side. A key with a NULL counts as well."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def summary(classified: DataFrame) -> DataFrame:
     """One row: inserts, rewrites, deletes, unchanged."""
     count = lambda op: F.count(F.when(F.col(OP) == op, 1)).alias

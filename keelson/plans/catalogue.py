@@ -300,6 +300,12 @@ def key_set_diff(spark, sf_dir):
     return diff.key_diff(orders, target(orders), ["o_orderkey"])
 
 
+@register("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def pk_diff_repeated(spark, sf_dir):
+    """Keys that are none."""
+    return diff.repeated(_read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
 # ---------------------------------------------------------------- fingerprints
 
 _EVENT_HASH = "('0x' || substr(md5(event_id::VARCHAR || '|' || user_id::VARCHAR || '|' || event_type), 1, 15))::BIGINT"

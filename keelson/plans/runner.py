@@ -238,6 +238,10 @@ class Job:
                 report.findings.append({"level": "INFO", "code": "UNCHANGED", "message": "source and target have the same fingerprints"})
                 return start
             source, target = fingerprint.moved(source, target, column)
+        if cfg.quality.preflight_enabled:
+            for side, rows in (("source", source), ("target", target)):
+                if diff.repeated(rows, keys).limit(1).count():
+                    report.findings.append({"level": "WARN", "code": "KEY_REPEATED", "message": f"rows of the {side} share a key: they are paired with each of the other side"})
         seen = Observation()
         counts = {name: F.count(F.when(F.col(OP) == op, 1)).alias(name) for op, name in (("i", "inserts"), ("u", "rewrites"), ("d", "deletes"), ("=", "unchanged"))}
         changes = diff.classify(source, target, keys, cfg.quality.compare_row_content).observe(seen, *counts.values()).where(F.col(OP) != "=")

@@ -116,6 +116,12 @@ def test_diff_converges(place):
     assert job.state.watermark("j").empty
 
 
+def test_repeated_keys_are_reported(place):
+    place.save([(1, "a", at(1)), (1, "b", at(1)), (None, "c", at(2)), (None, "d", at(2))])
+    report = place(deleteDetect={"mode": "pk_diff"}, quality={"preflightEnabled": True}).run("diff")
+    assert [f["message"].split(" share")[0] for f in report.findings if f["code"] == "KEY_REPEATED"] == ["rows of the source"]
+
+
 def test_fingerprint_is_kept_only_after_the_diff_is_applied(place, monkeypatch):
     place.save([(1, "a", at(1)), (2, "b", at(1))])
     job = place(deleteDetect={"mode": "fingerprint"})
