@@ -58,6 +58,8 @@ N2, K2 = 2, 1
 WIDE = 1024
 #: Rounds, by how many classes of its runs' largest components a class outside them is compared with.
 ROUNDS = (2, 8, 32)
+#: Candidates for each row of the mixed runs up to which no further round is worth its while.
+FEW = 8
 #: Candidate classes whose ids are broadcast at most (16 bytes each); with more of them, texts join them in a shuffle.
 BROADCAST_CLASSES = 1_000_000
 
@@ -443,16 +445,21 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     apart = materialize(_mixed(shared.select("sig", "class"), roots).select("sig", "class"), "mixed")
     sets = read_sets(docs, apart.select("class"), classes, n)
     for turn, most in enumerate([*ROUNDS, None]):
-        pairs = _across(_mixed(apart, roots), classes, percent) if most is None else pruned(_picked(_mixed(apart, roots), turn, most))
+        mixed = materialize(_mixed(apart, roots), "mixed")
+        rows, work = mixed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("root") != F.col("main"), 1)).alias("out")).agg(F.sum("n"), F.sum(F.col("n") * F.col("out"))).first()
+        every = most is None or (work or 0) <= FEW * (rows or 0)
+        pairs = _across(mixed, classes, percent) if every else pruned(_picked(mixed, turn, most))
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            continue
-        tested = tested.union(pairs)
-        found = materialize(verify(docs, pairs, classes, n, percent, sets), "links")
-        if found.limit(1).count():
-            linked = linked.union(found)
-            roots = materialize(components(linked), "roots")
-    return roots
+        discard(mixed)
+        if pairs.limit(1).count():
+            tested = tested.union(pairs)
+            found = materialize(verify(docs, pairs, classes, n, percent, sets), "links")
+            if found.limit(1).count():
+                linked = linked.union(found)
+                roots = materialize(components(linked), "roots")
+        if every:
+            return roots
+    raise AssertionError("the last round compares all")
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
