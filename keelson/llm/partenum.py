@@ -57,7 +57,7 @@ N2, K2 = 2, 1
 #: Least bits of the sketch that pairs are pruned by before their shingles are read; it grows with the set.
 WIDE = 1024
 #: Rounds, by how many classes of its runs' largest components a class outside them is compared with.
-ROUNDS = (2, 8, 32)
+ROUNDS = (8, 32)
 #: Candidates for each row of the mixed runs up to which no further round is worth its while.
 FEW = 8
 #: Candidate classes whose ids are broadcast at most (16 bytes each); with more of them, texts join them in a shuffle.
@@ -424,6 +424,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, root) after more edges (a, b): the components' roots alone are joined anew."""
+    ends = found.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    up = materialize(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "up")
+    new = up.select("node", F.col("node").alias("root")).join(roots.select("node"), "node", "left_anti")
+    return roots.unionByName(new).join(up.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, root) of all classes that link with another."""
     classes = materialize(
@@ -441,7 +449,7 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
     tested = materialize(pruned(shared.where(F.col("class") != F.col("first")).groupBy(F.col("class").alias("b")).agg(F.min("first").alias("a"))), "pairs")
     linked = materialize(verify(docs, tested, classes, n, percent), "links")
     roots = materialize(components(linked), "roots")
-    # one more at a time across components, while that joins some; then all that is left
+    # some more at a time across components, while that joins some; then all that is left
     apart = materialize(_mixed(shared.select("sig", "class"), roots).select("sig", "class"), "mixed")
     sets = read_sets(docs, apart.select("class"), classes, n)
     for turn, most in enumerate([*ROUNDS, None]):
@@ -455,8 +463,7 @@ def links(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
             tested = tested.union(pairs)
             found = materialize(verify(docs, pairs, classes, n, percent, sets), "links")
             if found.limit(1).count():
-                linked = linked.union(found)
-                roots = materialize(components(linked), "roots")
+                roots = materialize(joined(roots, found), "roots")
         if every:
             return roots
     raise AssertionError("the last round compares all")
