@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -185,7 +184,11 @@ def encode(data: np.ndarray, offsets: np.ndarray, tokenizer: object, pool: kerne
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
 
     def fresh(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return encode_parts([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)], tokenizer)
+        # all in one text, a line each
+        size = end[new] - start[new]
+        lines = np.full(int(size.sum()) + len(new), 10, np.uint8)
+        lines[ranges(np.cumsum(size + 1) - size - 1, size)] = data[ranges(start[new], size)]
+        return encode_parts(lines.tobytes().decode("utf-8", "replace").split("\n")[:-1], tokenizer)
 
     place, counts = pool.find(kernel.Units(data, start, end, h), fresh)
     return pool.ids[ranges(place, counts)], np.concatenate([[0], np.cumsum(counts)])[first]
@@ -198,19 +201,25 @@ def encode_parts(parts: list[str], tokenizer: object) -> tuple[np.ndarray, np.nd
     # the sign is the only token that can be found across a joint if no token's first character is in a part or further on in the sign
     first = {t[0] for t in special.values()}
     mark, sign = next(((i, t) for i, t in special.items() if not first & set(t[1:])), (None, None))
-    risky = re.compile("[" + re.escape("".join(first)) + "]") if first else None
-    alone = [k for k, p in enumerate(parts) if mark is None or risky.search(p)]
-    together = sorted(set(range(len(parts))) - set(alone))
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(parts)
-    for k, x in zip(alone, run([parts[k] for k in alone], add_special_tokens=False), strict=True):
-        out[k] = np.array(x.ids, np.int32)
+    alone = [k for k, p in enumerate(parts) if mark is None or any(c in p for c in first)]
+    together = sorted(set(range(len(parts))) - set(alone)) if alone else list(range(len(parts)))
+    size, flat = np.zeros(len(parts), np.int64), [np.zeros(0, np.int32)]
     texts = [together[i : i + 1000] for i in range(0, len(together), 1000)]
-    for own, x in zip(texts, run([sign.join(parts[k] for k in t) for t in texts], add_special_tokens=False) if texts else [], strict=True):
+    for own, x in zip(texts, run([sign.join([parts[k] for k in t]) for t in texts], add_special_tokens=False) if texts else [], strict=True):
         ids = np.array(x.ids, np.int32)
-        cuts = np.flatnonzero(ids == mark)
-        for k, a, b in zip(own, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-            out[k] = ids[a:b]
-    return np.concatenate([*out, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(x) for x in out])])
+        joint = ids == mark
+        size[own] = np.diff(np.concatenate([[-1], np.flatnonzero(joint), [len(ids)]])) - 1
+        flat.append(ids[~joint])
+    for k, x in zip(alone, run([parts[k] for k in alone], add_special_tokens=False) if alone else [], strict=True):
+        flat.append(np.array(x.ids, np.int32))
+        size[k] = len(x.ids)
+    ids = np.concatenate(flat)
+    if alone:
+        order = np.array(together + alone, np.int64)
+        begin = np.zeros(len(parts), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        ids = ids[ranges(begin, size)]
+    return ids, np.concatenate([[0], np.cumsum(size)])
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END_ID, width: int = 4) -> DataFrame:
