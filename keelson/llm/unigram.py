@@ -156,7 +156,7 @@ class Unigram:
     is_byte: np.ndarray
     alone: np.ndarray  # ASCII bytes that no longer piece holds
     whole: bool  # pieces reach over blanks: texts are not cut
-    pool: kernel.Pool = field(default_factory=kernel.Pool)
+    pool: kernel.Pool = field(default_factory=lambda: kernel.Pool(300_000, 1 << 24))
 
 
 def load(raw: bytes) -> Unigram:
