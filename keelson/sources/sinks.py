@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from keelson.config import SINKS, JobConfig, named
 from keelson.functions.values import OP, row_hash
 from keelson.operators import merge
-from keelson.sources import stage
+from keelson.sources import embedded, stage
 from keelson.sources.dialects import by_url
 from keelson.state import FileState
 
@@ -186,7 +186,10 @@ class PaimonSink(TableSink):
 
 
 class JdbcSink(Sink):
-    """A database table. Executors write changes to a staging table; one set of statements then merges it in a transaction."""
+    """A database table. Executors write changes to a staging table; one set of statements then merges it in a transaction.
+
+    Rows of a database that executors cannot see, one inside the driver's process, pass through the driver.
+    """
 
     readable = True
 
@@ -216,9 +219,20 @@ class JdbcSink(Sink):
             return False
         return True
 
-    def read(self) -> DataFrame | None:
+    def _there(self) -> DataFrame:
         return self.spark.read.jdbc(self.target.url, self.target.table, properties=self._properties())
 
+    def read(self) -> DataFrame | None:
+        if embedded.away(self.spark, self.target.url):
+            return embedded.read(self.spark, self.target.url, self.target.table, self._properties(), self.cfg.runtime.stage_path)
+        return self._there()
+
+    def _append(self, rows: DataFrame, table: str) -> None:
+        if embedded.away(self.spark, self.target.url):
+            embedded.append(rows, self.target.url, table, self._properties())
+        else:
+            rows.write.jdbc(self.target.url, table, mode="append", properties=self._properties())
+
     def _named(self, rows: DataFrame, there: DataFrame) -> DataFrame:
         """Column names in the target's spelling."""
         names = {c.lower(): c for c in there.columns}
@@ -226,18 +240,18 @@ class JdbcSink(Sink):
 
     def write(self, rows: DataFrame) -> None:
         dialect, t = by_url(self.target.url), self.target
-        there = self.read()
+        there = self._there()
         if self.cfg.quality.auto_add_columns:
             added = merge.missing_columns(rows.schema, there.schema)
             if added:
                 self._execute([dialect.add(t.table, f.name, merge.column_type(f.dataType)) for f in added])
-                there = self.read()
+                there = self._there()
         rows = self._named(rows, there)
         rows = rows.select(*(c for c in rows.columns if c in there.columns or c == OP))
         if t.write_mode == "append" or not self.keys:
             if OP in rows.columns and rows.where(merge.is_delete(rows)).limit(1).count():
                 raise ValueError("deletes need a primary key")
-            rows.drop(OP).write.jdbc(t.url, t.table, mode="append", properties=self._properties())
+            self._append(rows.drop(OP), t.table)
             return
         names = {c.lower(): c for c in there.columns}
         keys = [names[k.lower()] for k in self.keys]
