@@ -265,8 +265,12 @@ class JdbcSink(Sink):
             todo = []
             for name, (part, deletes) in staged.items():
                 texts = ", ".join(f"`{c}` {kind}" for c, kind in self._text_types().items() if c in part.columns)
-                writer = part.write.option("createTableColumnTypes", texts) if texts else part.write
+                away = embedded.away(self.spark, t.url)
+                first = self.spark.createDataFrame([], part.schema) if away else part
+                writer = first.write.option("createTableColumnTypes", texts) if texts else first.write
                 writer.jdbc(t.url, name, mode="overwrite", properties=self._properties())
+                if away:
+                    embedded.append(part, t.url, name, self._properties())
                 todo += [dialect.delete_staged(t.table, name, keys)] if deletes else dialect.upsert_staged(t.table, name, names, keys)
             if todo:
                 self._execute(todo)

@@ -11,7 +11,7 @@ from keelson.sources import embedded
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = "/root/testdata/sf0.001"
-NAMES = ("sink_jdbc_append",)
+NAMES = ("sink_jdbc_append", "sink_jdbc_delete", "sink_jdbc_evolve", "sink_jdbc_merge")
 PROGRAM = """
 import json, sys
 from pyspark.sql import SparkSession
