@@ -92,4 +92,4 @@ def reached(df: DataFrame, inc: Incremental) -> Watermark:
 
 
 def lag_ms(mark: Watermark, now: datetime) -> int | None:
-    return None if mark.ts is None else max(0, int((now - mark.ts).total_seconds() * 1000))
+    return None if mark.ts is None else max(0, (now - mark.ts) // timedelta(milliseconds=1))

@@ -361,8 +361,9 @@ def quality_counts(spark, sf_dir):
 def quality_lag(spark, sf_dir):
     mark = cursor.reached(_read(spark, sf_dir, "events"), Incremental(strategy="update_time", column="ts", id_column="event_id"))
     now = datetime(2024, 2, 1)
-    floor = Watermark(mark.ts - timedelta(microseconds=mark.ts.microsecond % 1000))
-    return spark.createDataFrame([(cursor.lag_ms(floor, now), quality.watermark_lag(floor, 86_400_000, now).ok)], "lag_ms long, ok boolean")
+    up = mark.ts + timedelta(microseconds=500)  # to the nearest millisecond, halves up, as epoch_ms has it
+    at = Watermark(up - timedelta(microseconds=up.microsecond % 1000))
+    return spark.createDataFrame([(cursor.lag_ms(at, now), quality.watermark_lag(at, 86_400_000, now).ok)], "lag_ms long, ok boolean")
 
 
 @register(
