@@ -46,10 +46,17 @@ FROM orders WHERE o_orderkey % 17 <> 0
 UNION ALL SELECT o_orderkey + 1000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 19 = 0)"""
 
 
-def target(orders: DataFrame) -> DataFrame:
+def ghosts_after(orders: DataFrame) -> int:
+    """The first million after all keys: TARGET's shift while keys are below it, and one at which no ghost meets a key of any table."""
+    last = splits.probe(orders, "o_orderkey")[1]
+    return 1_000_000 * ((last or 0) // 1_000_000 + 1)
+
+
+def target(orders: DataFrame, shift: int = 1_000_000) -> DataFrame:
+    """TARGET. With keys of a million and more its ghosts have keys of other rows; ``ghosts_after`` is a shift without that."""
     key = F.col("o_orderkey")
     there = orders.where(key % 17 != 0).withColumn("o_totalprice", F.when(key % 13 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return there.unionByName(orders.where(key % 19 == 0).withColumn("o_orderkey", key + 1_000_000))
+    return there.unionByName(orders.where(key % 19 == 0).withColumn("o_orderkey", key + shift))
 
 
 # ---------------------------------------------------------------- scans

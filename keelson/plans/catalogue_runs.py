@@ -15,7 +15,7 @@ from keelson import cli, config
 from keelson.functions.values import OP
 from keelson.operators import diff, quality, splits
 from keelson.operators.cursor import Watermark
-from keelson.plans.catalogue import TARGET, _read, register, target
+from keelson.plans.catalogue import TARGET, _read, ghosts_after, register, target
 from keelson.plans.runner import Job, PlanChanged, throttle_seconds, with_retry
 from keelson.sources import dialects, scan, sinks, stage
 from keelson.state import JdbcState, RunReport, StateStore, mark_of, mark_text, open_state
@@ -554,7 +554,7 @@ def quality_random(spark, sf_dir):
 @register("SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'missing' ELSE 'different' END AS problem FROM orders WHERE o_orderkey % 17 = 0 OR o_orderkey % 13 = 0")
 def quality_mismatches(spark, sf_dir):
     orders = _read(spark, sf_dir, "orders")
-    return quality.sample_mismatches(orders, target(orders), ["o_orderkey"])
+    return quality.sample_mismatches(orders, target(orders, ghosts_after(orders)), ["o_orderkey"])
 
 
 @register("SELECT 'row_count' AS name, true AS ok UNION ALL SELECT 'target_count', true UNION ALL SELECT 'sample_hash', true")

@@ -28,3 +28,12 @@ def test_lag_is_whole_milliseconds():
     now = datetime(2024, 2, 1)
     wrong = [ms for ms in range(0, 100_000, 7) if lag_ms(Watermark(datetime(2024, 1, 10, 0, 0, ms // 1000 % 60, ms % 1000 * 1000)), now) != (now - datetime(2024, 1, 10)).days * 86_400_000 - (ms // 1000 % 60 * 1000 + ms % 1000)]
     assert wrong == []
+
+
+@pytest.mark.parametrize("name", ["quality_mismatches"])
+def test_ghosts_do_not_hide_missing_rows(spark, tmp_path, name):
+    """Keys on both sides of a million, where TARGET's ghosts would have the keys of other orders."""
+    rows = [(k, k % 7, "F", float(k), datetime(2024, 1, 1), "1-URGENT") for k in (*range(500), *range(1_000_000, 1_000_500))]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got, wanted = _both(spark, tmp_path, name, "orders")
+    assert got == wanted
