@@ -382,7 +382,7 @@ WHERE rn % (n // want) = 0 AND rn // (n // want) < want AND (o_orderkey % 17 = 0
 def quality_sample(spark, sf_dir):
     """A stride sample of the source, looked up in the target."""
     orders = _read(spark, sf_dir, "orders")
-    return quality.sample_mismatches(quality.stride_sample(orders, ["o_orderkey"], 0.1), target(orders), ["o_orderkey"])
+    return quality.sample_mismatches(quality.stride_sample(orders, ["o_orderkey"], 0.1), target(orders, ghosts_after(orders)), ["o_orderkey"])
 
 
 @register("SELECT * FROM (VALUES ('WARN', 'NO_OVERLAP'), ('ERROR', 'COLUMN_MISSING'), ('ERROR', 'PK_MISSING'), ('ERROR', 'WATERMARK_REGRESSION')) t(level, code)")

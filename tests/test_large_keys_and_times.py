@@ -30,7 +30,7 @@ def test_lag_is_whole_milliseconds():
     assert wrong == []
 
 
-@pytest.mark.parametrize("name", ["quality_mismatches"])
+@pytest.mark.parametrize("name", ["quality_mismatches", "quality_sample"])
 def test_ghosts_do_not_hide_missing_rows(spark, tmp_path, name):
     """Keys on both sides of a million, where TARGET's ghosts would have the keys of other orders."""
     rows = [(k, k % 7, "F", float(k), datetime(2024, 1, 1), "1-URGENT") for k in (*range(500), *range(1_000_000, 1_000_500))]
