@@ -49,6 +49,8 @@ BLOCK_TOKENS = 1 << 19
 FILE_TOKENS = 1 << 23
 #: Parts that documents are dealt out to at most, in order; a part beyond FILE_BYTES has several files.
 PARTS, FILE_BYTES = 1 << 14, 1 << 26
+#: Parts in one text for the tokenizer; its time a part grows again with longer texts.
+JOINED = 50
 _NO_ID = -(1 << 63)
 END_ID = 2
 _TOKENIZERS: dict[str, tuple] = {}
@@ -201,10 +203,12 @@ def encode_parts(parts: list[str], tokenizer: object) -> tuple[np.ndarray, np.nd
     # the sign is the only token that can be found across a joint if no token's first character is in a part or further on in the sign
     first = {t[0] for t in special.values()}
     mark, sign = next(((i, t) for i, t in special.items() if not first & set(t[1:])), (None, None))
-    alone = [k for k, p in enumerate(parts) if mark is None or any(c in p for c in first)]
-    together = sorted(set(range(len(parts))) - set(alone)) if alone else list(range(len(parts)))
+    joins = [mark is not None] * len(parts)
+    for c in first:
+        joins = [j and c not in p for j, p in zip(joins, parts, strict=True)]
+    alone, together = [k for k, j in enumerate(joins) if not j], [k for k, j in enumerate(joins) if j]
     size, flat = np.zeros(len(parts), np.int64), [np.zeros(0, np.int32)]
-    texts = [together[i : i + 1000] for i in range(0, len(together), 1000)]
+    texts = [together[i : i + JOINED] for i in range(0, len(together), JOINED)]
     for own, x in zip(texts, run([sign.join([parts[k] for k in t]) for t in texts], add_special_tokens=False) if texts else [], strict=True):
         ids = np.array(x.ids, np.int32)
         joint = ids == mark
