@@ -38,6 +38,8 @@ from keelson.llm.kernel import ranges
 
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
+#: Bytes of new units that one search goes over, or one longer unit: its working memory is many times that.
+SEARCHED = 1 << 17
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -286,9 +288,14 @@ def encode_buffers(data: np.ndarray, offsets: np.ndarray, m: Unigram) -> tuple[n
     starts, stops = at[:-1], at[1:]
 
     def search(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = starts[new]
-        lengths = stops[new] - s
-        return viterbi(data[ranges(s, lengths)], np.concatenate([[0], np.cumsum(lengths)]), m)
+        found, ends, base = [], [np.zeros(1, np.int64)], 0
+        at = np.concatenate([[0], np.cumsum(stops[new] - starts[new])])
+        for a, b in kernel.row_slices(at, SEARCHED):
+            i, e = viterbi(data[ranges(starts[new[a:b]], np.diff(at[a : b + 1]))], at[a : b + 1] - at[a], m)
+            found.append(i)
+            ends.append(e[1:] + base)
+            base += len(i)
+        return np.concatenate(found), np.concatenate(ends)
 
     place, counts = m.pool.find(kernel.Units(data, starts, stops, kernel.span_hashes(data, starts, stops)), search)
     ids = m.pool.ids[ranges(place, counts)]
@@ -305,7 +312,7 @@ def encode(column: pa.Array, m: Unigram) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets by row) of a string column."""
     data, offsets = kernel.buffers(with_blank(column))
     ids, ends, base = [], [np.zeros(1, np.int64)], 0
-    for a, b in kernel.row_slices(offsets, 1 << 21):
+    for a, b in kernel.row_slices(offsets, kernel.PIECE):
         i, e = encode_buffers(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], m)
         ids.append(i)
         ends.append(e[1:] + base)

@@ -450,3 +450,20 @@ def test_a_memo_hit_needs_the_same_bytes():
 
             at, n = pool.find(units, encode)
             assert [bytes(pool.ids[a : a + k].astype(np.uint8)) for a, k in zip(at, n, strict=True)] == raw
+
+
+def test_unigram_search_of_many_new_units_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, w)) for w in rng.integers(97, 123, (200_000, 9))]
+    with open(unigram.default_model(), "rb") as f:
+        m = unigram.load(f.read())
+    texts = pa.array([" ".join(words[i : i + 20_000]) for i in range(0, len(words), 20_000)])
+    tracemalloc.start()
+    ids, at = unigram.encode(texts, m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    data, ends = unigram.decode(ids, at, m)
+    assert [data[a:b].tobytes().decode() for a, b in zip(ends[:-1], ends[1:], strict=True)] == texts.to_pylist()
