@@ -62,6 +62,8 @@ ROUNDS = (8, 32)
 FEW = 8
 #: Candidate classes whose ids are broadcast at most (16 bytes each); with more of them, texts join them in a shuffle.
 BROADCAST_CLASSES = 1_000_000
+#: Links between classes up to which the driver finds components (16 bytes each); of more of them, alternating stars do.
+FEW_EDGES = 1_000_000
 
 
 def bands(largest: int) -> np.ndarray:
@@ -391,8 +393,22 @@ def _side(classes: DataFrame, end: str) -> list[Column]:
     return [F.col("class").alias(end), F.col("n_shingles").alias(f"n_{end}"), *(F.col(f"s{k}").alias(f"s{k}_{end}") for k in range(4))]
 
 
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node reachable from each) of the edges (a, b). Roots with a smaller neighbour hook on to it, so that at most half are left each round."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[root]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable from each node of the edges (a, b). Alternating stars; each round is written to the shared folder."""
+    """(node, root): the smallest node reachable from each node of the edges (a, b). Up to FEW_EDGES in the driver; beyond by alternating stars, each round written to the shared folder."""
 
     used: list[DataFrame] = []
 
@@ -412,6 +428,10 @@ def components(edges: DataFrame) -> DataFrame:
     sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     now = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = sign(now)
+    if 0 < before[0] <= FEW_EDGES:
+        few = now.toArrow()  # checked: FEW_EDGES
+        nodes, roots = least_reachable(few["a"].to_numpy(), few["b"].to_numpy())
+        return edges.sparkSession.createDataFrame(pa.table({"node": nodes, "root": roots}))
     while before[0]:
         used.append(now)
         now = materialize(star(star(now, True), False), "edges")

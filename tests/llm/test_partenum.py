@@ -128,3 +128,23 @@ def test_sets_by_slices():
     texts = ["a b c d e", None, "x", "", "a b c d a b c d"]
     (lo, s, at), = partenum.sets_of(pa.array(texts), 4)
     assert lo == 0 and np.diff(at).tolist() == [len(shingles(t, 4)) for t in texts]
+
+
+def test_few_links_are_joined_without_further_files(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(-300, 300) << 40, rng.randrange(-300, 300) << 40) for _ in range(280)] + [(i, i + 1) for i in range(1, 60)]
+    up = {}
+    for _ in range(60):
+        for a, b in edges:
+            if a != b:
+                up[a] = up[b] = min(up.get(a, a), up.get(b, b))
+    df = spark.createDataFrame(edges, "a long, b long")
+    written = []
+    monkeypatch.setattr(partenum, "materialize", lambda frame, what, own=partenum.materialize: written.append(what) or own(frame, what))
+    assert {r.node: r.root for r in partenum.components(df).collect()} == up
+    assert written == ["edges"]
+    monkeypatch.setattr(partenum, "FEW_EDGES", 0)
+    assert {r.node: r.root for r in partenum.components(df).collect()} == up
+    assert len(written) > 2
+    empty = partenum.components(df.limit(0))
+    assert empty.columns == ["node", "root"] and not empty.count()
