@@ -14,8 +14,9 @@ A checkpoint stands before every STEP-th token of a document, so decoding runs o
 places at once: each lane peeks LIMIT bits, looks up symbol and length in one table, and
 goes on (numpy). The index (file, offset, size, first token) comes from the writers.
 
-Texts are cut at ASCII white space, which the tokenizer drops and no token crosses; each
-distinct part is encoded once for many texts by the tokenizers library.
+Texts are cut at ASCII white space, which the tokenizer drops and no token crosses, and between
+ASCII letters and signs where its file tells that it always cuts there; each distinct part is
+encoded once for many texts by the tokenizers library.
 
 Defined results: a null or empty text has the end id only. Null ids come first; rows of one
 id are ordered by their tokens (where they are very many, by a hash of these first, so that
@@ -45,6 +46,8 @@ MAGIC = b"KSHF1\n"
 #: Bits of a code at most, unless there are more ids than that allows.
 LIMIT = 16
 STEP = 256
+#: Lowest bits of a decoding table's entry, which hold a code's length.
+_SIZE_BITS, _SIZE = 5, 31
 BLOCK_TOKENS = 1 << 19
 FILE_TOKENS = 1 << 23
 #: Parts that documents are dealt out to at most, in order; a part beyond FILE_BYTES has several files.
@@ -54,6 +57,10 @@ JOINED = 50
 _NO_ID = -(1 << 63)
 END_ID = 2
 _TOKENIZERS: dict[str, tuple] = {}
+#: The decoding table of the last header that a worker met: its tasks need it again and again.
+_TABLES: dict[bytes, tuple] = {}
+#: Blocks that a task reads, one after another; a task has a cost of its own.
+BLOCKS = 4
 
 
 # ---------------------------------------------------------------- codes
@@ -100,15 +107,14 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(symbol, length) by the next ``top`` bits, and top."""
+def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """An entry for the next ``top`` bits, symbol << _SIZE_BITS | length; and top."""
     top = int(lengths.max(initial=0))
     used = np.flatnonzero(lengths)
     order = used[np.lexsort((used, lengths[used]))]
     width = np.int64(1) << (top - lengths[order].astype(np.int64))
-    symbols, sizes = np.repeat(order, width).astype(np.uint32), np.repeat(lengths[order], width).astype(np.int64)
-    room = (1 << top) - len(symbols)
-    return np.concatenate([symbols, np.zeros(room, np.uint32)]), np.concatenate([sizes, np.ones(room, np.int64)]), top
+    entries = np.repeat((order << _SIZE_BITS | lengths[order]).astype(np.uint32), width)
+    return np.concatenate([entries, np.ones((1 << top) - len(entries), np.uint32)]), top
 
 
 def pack(ids: np.ndarray, offsets: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -135,30 +141,40 @@ def pack(ids: np.ndarray, offsets: np.ndarray, codes: np.ndarray, lengths: np.nd
     return words.astype(">u4").tobytes()[:total], doc_bytes, checkpoints
 
 
-def unpack(bits: bytes, doc_bytes: np.ndarray, n_tokens: np.ndarray, checkpoints: np.ndarray, symbols: np.ndarray, sizes: np.ndarray, top: int) -> np.ndarray:
+def unpack(bits: bytes | memoryview, doc_bytes: np.ndarray, n_tokens: np.ndarray, checkpoints: np.ndarray, entries: np.ndarray, top: int) -> np.ndarray:
     """The ids of all documents, one after another."""
     raw = np.concatenate([np.frombuffer(bits, np.uint8), np.zeros(8, np.uint8)]).astype(np.uint32)
     window = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
     lanes_of = (n_tokens + STEP - 1) // STEP
     doc = np.repeat(np.arange(len(n_tokens)), lanes_of)
     lane = np.arange(len(doc)) - np.repeat(np.cumsum(lanes_of) - lanes_of, lanes_of)
-    left = np.minimum(STEP, n_tokens[doc] - lane * STEP)
-    pos = (np.cumsum(doc_bytes) - doc_bytes)[doc] * 8 + checkpoints.astype(np.int64)
-    token_at = (np.cumsum(n_tokens) - n_tokens)[doc] + lane * STEP
-    out = np.zeros(int(n_tokens.sum()), np.uint32)
-    order = np.argsort(-left, kind="stable")
-    left, pos, token_at = left[order], pos[order], token_at[order]
-    active = np.searchsorted(-left, -np.arange(1, STEP + 1), "right")  # lanes with more than k tokens
-    mask, shift = (1 << top) - 1, 32 - top
-    for k in range(STEP):
-        n = int(active[k])
-        if not n:
-            break
-        p = pos[:n]
-        peek = (window[p >> 3] >> (shift - (p & 7)).astype(np.uint32)) & np.uint32(mask)
-        out[token_at[:n] + k] = symbols[peek]
-        pos[:n] += sizes[peek]
-    return out
+    size = np.minimum(STEP, n_tokens[doc] - lane * STEP)
+    order = np.argsort(-size, kind="stable")
+    pos = ((np.cumsum(doc_bytes) - doc_bytes)[doc] * 8 + checkpoints.astype(np.int64))[order]
+    active = np.searchsorted(-size[order], -np.arange(1, STEP + 1), "right")  # lanes with more than k tokens
+    begin = np.cumsum(active) - active
+    found = np.empty(int(active.sum()), entries.dtype)  # step by step
+    at, peek, mask = np.empty(len(pos), np.int64), np.empty(len(pos), np.uint32), (1 << top) - 1
+    for n, first in zip(active[active > 0].tolist(), begin.tolist(), strict=False):
+        p, a, w, e = pos[:n], at[:n], peek[:n], found[first : first + n]
+        np.right_shift(p, 3, out=a)
+        window.take(a, out=w, mode="clip")  # all are inside; other modes copy
+        np.bitwise_and(p, 7, out=a)
+        np.subtract(32 - top, a, out=a)
+        np.right_shift(w, a, out=a)
+        np.bitwise_and(a, mask, out=a)
+        entries.take(a, out=e, mode="clip")
+        np.bitwise_and(e, _SIZE, out=a, casting="unsafe")
+        p += a
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return (found.take(_by_lane(begin, place, size)) >> _SIZE_BITS).astype(np.uint32)
+
+
+def _by_lane(begin: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where the tokens of each lane are, lane by lane: begin[k] + its place for its k-th."""
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return begin[step] + np.repeat(place, size)
 
 
 # ---------------------------------------------------------------- tokens
@@ -175,13 +191,34 @@ def _tokenizer(key: str, content: str) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[key] = (Tokenizer.from_str(content), kernel.Pool())
+        _TOKENIZERS[key] = (Tokenizer.from_str(content), kernel.Pool(), joints(content))
     return _TOKENIZERS[key]
 
 
-def encode(data: np.ndarray, offsets: np.ndarray, tokenizer: object, pool: kernel.Pool) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets by row)."""
-    h, start, end, first = kernel.words(data, offsets, lower=np.arange(256, dtype=np.uint8))
+#: A pre-tokenizer that keeps letters and signs apart, whatever stands beside them; apostrophes begin contractions.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def joints(content: str) -> np.ndarray:
+    """1 for ASCII letters and 2 for ASCII signs between which the tokenizer (its file's text) always cuts, by byte; 0 for all others, or if it is of an unknown kind."""
+    out, own = np.zeros(256, np.uint8), json.loads(content)
+    pre, normal = own.get("pre_tokenizer") or {}, own.get("normalizer") or {}
+    steps = [(x["type"], x.get("pattern"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in pre.get("pretokenizers", [])]
+    kinds = {x["type"] if x["type"] != "Replace" else json.dumps(x["pattern"]) + x["content"] for x in normal.get("normalizers", [normal] if normal else [])}
+    if steps == [("Split", {"Regex": _WORDS}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)] and kinds <= {"NFC", "Lowercase", json.dumps({"Regex": r"\s+"}) + " "}:
+        added = set("".join(t["content"] for t in own.get("added_tokens") or []))
+        for i in range(33, 127):
+            out[i] = 1 if chr(i).isalpha() else 2 if not chr(i).isdigit() and chr(i) != "'" and chr(i) not in added else 0
+    return out
+
+
+def encode(data: np.ndarray, offsets: np.ndarray, tokenizer: object, pool: kernel.Pool, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets by row). ``kinds``: what ``joints`` says of the tokenizer."""
+    cuts = None
+    if kinds is not None and kinds.any():
+        kind = kinds[data]
+        cuts = np.flatnonzero((kind[1:] ^ kind[:-1]) == 3) + 1
+    h, start, end, first = kernel.words(data, offsets, lower=np.arange(256, dtype=np.uint8), cuts=cuts)
     if not len(h):
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
 
@@ -209,10 +246,11 @@ def encode_parts(parts: list[str], tokenizer: object) -> tuple[np.ndarray, np.nd
     alone, together = [k for k, j in enumerate(joins) if not j], [k for k, j in enumerate(joins) if j]
     size, flat = np.zeros(len(parts), np.int64), [np.zeros(0, np.int32)]
     texts = [together[i : i + JOINED] for i in range(0, len(together), JOINED)]
-    for own, x in zip(texts, run([sign.join([parts[k] for k in t]) for t in texts], add_special_tokens=False) if texts else [], strict=True):
-        ids = np.array(x.ids, np.int32)
+    if texts:
+        end = np.array([mark], np.int32)  # of each text, as between its parts
+        ids = np.concatenate([y for x in run([sign.join([parts[k] for k in t]) for t in texts], add_special_tokens=False) for y in (np.array(x.ids, np.int32), end)])
         joint = ids == mark
-        size[own] = np.diff(np.concatenate([[-1], np.flatnonzero(joint), [len(ids)]])) - 1
+        size[together] = np.diff(np.flatnonzero(joint), prepend=-1) - 1
         flat.append(ids[~joint])
     for k, x in zip(alone, run([parts[k] for k in alone], add_special_tokens=False) if alone else [], strict=True):
         flat.append(np.array(x.ids, np.int32))
@@ -233,11 +271,11 @@ def tokenize(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = E
         content = docs.sparkSession.sparkContext.broadcast(f.read())  # a tokenizer file's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, pool = _tokenizer(path, content.value)
+        tokenizer, pool, kinds = _tokenizer(path, content.value)
         for batch in batches:
             data, offsets = kernel.buffers(batch.column(1))
-            for a, b in kernel.row_slices(offsets, 1 << 21):
-                ids, at = encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tokenizer, pool)
+            for a, b in kernel.row_slices(offsets, kernel.PIECE):
+                ids, at = encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tokenizer, pool, kinds)
                 n = np.diff(at)
                 full = np.full(len(ids) + b - a, end_id, f"<u{width}")
                 full[np.arange(len(ids)) + np.repeat(np.arange(b - a), n)] = ids
@@ -411,7 +449,6 @@ def read_blocks(index: DataFrame, digest: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the documents in the blocks of an index, each block decoded on its own; with ``digest`` ids_crc32 instead of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[bytes, tuple] = {}
         for batch in batches:
             for path, offset, size, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, at = store(path)
@@ -421,9 +458,10 @@ def read_blocks(index: DataFrame, digest: bool = False) -> DataFrame:
                         raise ValueError(f"{path} is not a token file")
                     packed = f.read_at(struct.unpack("<I", head[len(MAGIC) :])[0], len(MAGIC) + 4)
                     body = f.read_at(size, offset)
-                if packed[-64:] not in tables:
+                if packed not in _TABLES:
                     _, _, lengths = zlib.decompress(packed).partition(b"\n")
-                    tables = {packed[-64:]: decode_table(np.frombuffer(lengths, np.uint8))}
+                    _TABLES.clear()  # one at a time
+                    _TABLES[packed] = decode_table(np.frombuffer(lengths, np.uint8))
                 docs, marks = struct.unpack_from("<II", body)
                 spot = 8
                 parts = []
@@ -432,7 +470,7 @@ def read_blocks(index: DataFrame, digest: bool = False) -> DataFrame:
                     spot += parts[-1].nbytes
                 ids, nulls, n, doc_bytes, checkpoints = parts
                 n = n.astype(np.int64)
-                tokens = unpack(body[spot:], doc_bytes.astype(np.int64), n, checkpoints, *tables[packed[-64:]])
+                tokens = unpack(memoryview(body)[spot:], doc_bytes.astype(np.int64), n, checkpoints, *_TABLES[packed])
                 ends = np.concatenate([[0], np.cumsum(n)])
                 raw = tokens.astype("<u4").tobytes()
                 if digest:
@@ -460,5 +498,5 @@ def save(docs: DataFrame, folder: str | None = None, tokenizer_path: str | None
 def query(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row per document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
     index = save(docs, tokenizer_path=tokenizer_path)
-    spread = index.repartition(max(1, min(100_000, index.count())), "path", "offset")
+    spread = index.repartition(max(1, min(100_000, -(-index.count() // BLOCKS))), "path", "offset")
     return read_blocks(spread, digest=True)

@@ -107,14 +107,16 @@ def pieces(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> Iterator[t
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACES, lower: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end, first) of all words: byte ranges in data; first[r] is the number of words before row r.
+def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACES, lower: np.ndarray = LOWER, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, first) of all words: byte ranges in data; first[r] is the number of words before row r. ``cuts``: positions where words are cut too.
 
     Hashes are of the word's bytes after ``lower``; equal words have equal hashes in any process.
     """
     hashes, starts, ends = [], [], []
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
+    if cuts is not None:
+        edge[cuts] = True
     for lo, hi in pieces(data, offsets, sep):
         b = data[lo:hi]
         inside = ~sep[b]

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import os
 import struct
@@ -467,3 +468,42 @@ def test_unigram_search_of_many_new_units_takes_little_memory():
     assert peak < 100 << 20
     data, ends = unigram.decode(ids, at, m)
     assert [data[a:b].tobytes().decode() for a, b in zip(ends[:-1], ends[1:], strict=True)] == texts.to_pylist()
+
+
+@functools.cache
+def _public_tokenizer():
+    from tokenizers import Tokenizer
+
+    with open(huffman.default_tokenizer(), encoding="utf-8") as f:
+        content = f.read()
+    return Tokenizer.from_str(content), huffman.joints(content)
+
+
+def _encoded(texts):
+    tokenizer, kinds = _public_tokenizer()
+    data, offsets = kernel.buffers(pa.array(texts, pa.string()))
+    pool = kernel.Pool()
+    ids, at = huffman.encode(data, offsets, tokenizer, pool, kinds)
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)], [tokenizer.encode(t, add_special_tokens=False).ids for t in texts], pool
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aZs.,'-=_(1<|≯́KéİΣσ \n東😀", "'ll", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "endoftext", "word"]), max_size=12).map("".join), max_size=5))
+def test_words_cut_from_signs_have_the_library_s_ids(texts):
+    own, want, _ = _encoded(texts)
+    assert own == want
+
+
+def test_words_and_signs_beside_them_are_encoded_once():
+    words = [chr(97 + i) + chr(97 + j) for i in range(10) for j in range(10)]
+    own, want, pool = _encoded([" ".join(a + w + b for w in words) for a in ("", "(", '"') for b in ("", ",", ".", "!", '")')])
+    assert own == want
+    assert pool.units < 120  # 1,500 if signs stay with the words
+
+
+def test_signs_of_added_tokens_and_unknown_tokenizers_are_not_cut():
+    with open(huffman.default_tokenizer(), encoding="utf-8") as f:
+        content = f.read()
+    kinds = huffman.joints(content)
+    assert not kinds[list(b"<|>'0\n ")].any() and kinds[ord("a")] == 1 and kinds[ord(",")] == 2
+    assert not huffman.joints(content.replace('"ByteLevel"', '"Other"')).any() and not huffman.joints('{"pre_tokenizer": null}').any()
